@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bit_filter, filter_bit, filter_slot, filter_slots, has_bit, new_path, stored
+from .common import FILTER_BROADCAST_BYTES, bit_filter, filter_bit, filter_slot, filter_slots, has_bit, new_path, stored
 
 MAGIC = "WARC/1.0\r\n"
 GAP = "\r\n\r\n"
@@ -149,7 +149,7 @@ def _chain(pieces: pd.DataFrame) -> pd.DataFrame:
     reached = reached[:n] & whole
     owner = np.maximum.accumulate(np.where(reached, np.arange(n), -1))
     inside = (owner >= 0) & (offset < np.where(owner >= 0, target[owner], 0))
-    return pd.DataFrame({"file": pieces["file"], "block": pieces["block"], "seq": pieces["seq"], "record": np.where(inside, offset[owner], -1), "starts": reached})
+    return pd.DataFrame({"file": pieces["file"], "block": pieces["block"], "seq": pieces["seq"], "record": np.where(inside, offset[owner], -1), "starts": reached, "like_one": pieces["head"] > 0})
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -181,15 +181,20 @@ def _fields(payload: Column) -> list[Column]:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Records of the archives: record_type, url, page_id, refers_to, referred_bytes, declared_digest, payload (binary)."""
     pieces = _pieces(spark, path)
-    chain = pieces.select("file", "block", "seq", "n", "head", "content").groupBy("file").applyInPandas(_chain, "file string, block bigint, seq bigint, record bigint, starts boolean")
-    chain = stored(chain.filter("record >= 0"), "warc-chain")
+    chain = pieces.select("file", "block", "seq", "n", "head", "content").groupBy("file").applyInPandas(_chain, "file string, block bigint, seq bigint, record bigint, starts boolean, like_one boolean")
+    chain = stored(chain, "warc-chain")
     # a record in one piece is read where it stands: its length says so, and the chain that it starts a record
     in_one = (F.col("head") > 0) & (F.col("n") >= F.col("head") + F.col("content"))
-    starts = chain.filter("starts").select("file", "block", "seq")
     payload = lambda raw, head, content: F.substring(raw, (head + 1).cast("int"), content.cast("int"))
     narrow = pieces.filter(in_one).select("file", "block", "seq", *_fields(payload(F.col("value").cast("binary"), F.col("head"), F.col("content"))))
-    whole = narrow.join(starts, ["file", "block", "seq"], "left_semi").drop("file", "block", "seq")
-    many = chain.groupBy("file", "record").agg(F.count("*").alias("parts")).filter("parts > 1")
+    place = ["file", "block", "seq"]
+    # what only looks like a record is rare, so as a rule payloads needn't move to leave it out
+    fakes = chain.filter("like_one AND NOT starts").select(place)
+    if fakes.count() * 256 <= FILTER_BROADCAST_BYTES:
+        whole = narrow.join(F.broadcast(fakes), place, "left_anti").drop(*place)
+    else:
+        whole = narrow.join(chain.filter("starts").select(place), place, "left_semi").drop(*place)
+    many = chain.filter("record >= 0").groupBy("file", "record").agg(F.count("*").alias("parts")).filter("parts > 1")
     if many.isEmpty():
         return whole
     parts = pieces.join(chain.join(many, ["file", "record"], "left_semi"), ["file", "block", "seq"])
