@@ -4,7 +4,7 @@ A line is the set of its words. Lines with Jaccard similarity of 4/5 or more
 match, and of a pair the later one (by doc_id, then line number) is removed,
 whether or not the earlier one stays; so the result has no order of evaluation.
 
-- Order: words are counted in hashed buckets over all lines; a word's number is its
+- Order: words are counted in hashed buckets over all texts; a word's number is its
   bucket's frequency class and 56 bits of its hash, so sorting a line's numbers
   puts rare words first. Any fixed order gives the same result.
 - Equal sets are one entry with its first place; only entries are joined.
@@ -12,15 +12,16 @@ whether or not the earlier one stays; so the result has no order of evaluation.
 - Filters: length, position (what may still follow the shared word) and a parity
   signature: each word flips one of 64 bits, so the signatures of two sets differ
   in no more bits than the sets in words.
-- Candidates are found by semi joins on narrow rows, in both directions; pairs are
-  never emitted. Only entries that have a candidate bring their word numbers, to
-  a second semi join that verifies the Jaccard similarity by the intersection.
+- Candidates are found by a semi join on narrow rows; pairs are never emitted. An
+  entry with a candidate is verified by a semi join on its rarest shared word, and
+  only if that fails on all its other ones; word numbers are read again from the
+  text for just the entries that such a join holds.
 
 Defined results: lines are separated by line feeds; lines without words are never
 removed; null texts have no lines, empty texts one; rows with a null id come first
 in the order; rows equal in id and text are treated as one document and get equal
-results; of rows with one id and different texts the order goes by a hash of the
-text; an empty table gives an empty result; further columns are ignored.
+results; rows with one id and different texts are ordered by line, then signature;
+an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,94 +31,114 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bit_filter, filter_bit, filter_slot, filter_slots, has_bit, stored
 
 #: Similarity as a fraction.
 NUM, DEN = 4, 5
-BUCKETS = 1 << 17
+BUCKETS = 1 << 14
 
 
-def _words(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), ""))
-
-
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, text_h, line, words); null ids are the smallest number."""
+def _text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, text): null ids are the smallest number; all spaces but line feeds are blanks."""
     text = F.col(text_col).cast("string")
+    odd = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c"))
     doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)))
-    rows = docs.select(doc.alias("doc"), F.xxhash64(text).alias("text_h"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
-    return rows.select("doc", "text_h", "line", _words(F.col("raw")).alias("words"))
+    return docs.select(doc.alias("doc"), F.xxhash64(text).alias("text_h"), F.when(odd, F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text).alias("text"))
 
 
-def rarity(lines: DataFrame, buckets: int = BUCKETS) -> bytes:
-    """A byte (1 to 126) for each bucket of words: the class of its count."""
-    counted = lines.select(F.explode("words").alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(buckets)).alias("b")).count()
-    classes = bytearray(b"\x01" * buckets)
+def rarity(texts: DataFrame, buckets: int = BUCKETS) -> list[int]:
+    """A class (1 to 126) for each bucket of words, by its count in blank-separated text."""
+    counted = texts.select(F.explode(F.split("text", " ")).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(buckets)).alias("b")).count()
+    classes = [1] * buckets
     for b, n in counted.collect():  # `buckets` rows at most
         classes[b] = min(126, 1 + round(5 * math.log2(n + 1)))
-    return bytes(classes)
-
-
-def _numbers(words: Column, classes: bytes) -> Column:
-    """Word numbers, rare ones first."""
+    return classes
 
-    def number(w: Column) -> Column:
-        h = F.xxhash64(w)
-        kind = F.ascii(F.substring(F.lit(classes), (F.pmod(h, F.lit(len(classes))) + 1).cast("int"), F.lit(1)).cast("string"))
-        return F.shiftleft(kind.cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.transform(words, number))
+def _numbers(line: Column, classes: list[int]) -> Column:
+    """Word numbers of a line, rare ones first."""
+    words = F.array_distinct(F.array_remove(F.split(line, " "), ""))
+    by_bucket = F.from_json(F.lit(str([c << 56 for c in classes])), "array<bigint>")  # folded to a constant
+    number = lambda h: F.coalesce(F.get(by_bucket, F.pmod(h, F.lit(len(classes))).cast("int")), F.lit(0).cast("bigint")) + F.shiftrightunsigned(h, 8)
+    return F.sort_array(F.transform(F.transform(words, lambda w: F.xxhash64(w)), number))
 
 
-def _sets(lines: DataFrame, classes: bytes) -> DataFrame:
-    """Lines with words: numbers, n, set_h and sig; (set_h, sig, n) is a set's identity."""
-    numbered = lines.filter(F.size("words") > 0).select("doc", "text_h", "line", _numbers(F.col("words"), classes).alias("numbers"))
-    sig = F.aggregate("numbers", F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(x, F.lit(64)).cast("int"))))
-    return numbered.select("*", F.size("numbers").alias("n"), F.xxhash64("numbers").alias("set_h"), sig.alias("sig"))
+def _sets(texts: DataFrame, classes: list[int]) -> DataFrame:
+    """Lines with words: doc, text_h, line, identity (set_h, sig, n) and prefix (31 bits of each of its words)."""
+    lines = texts.select("doc", "text_h", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    numbered = lines.select("doc", "text_h", "line", _numbers(F.col("raw"), classes).alias("numbers")).filter(F.size("numbers") > 0)
+    sig = F.aggregate("numbers", F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    n = F.size("numbers")
+    prefix = F.transform(F.slice("numbers", 1, n - F.floor((NUM * n + DEN - 1) / DEN).cast("int") + 1), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    return numbered.select("doc", "text_h", "line", F.xxhash64("numbers").alias("set_h"), sig.alias("sig"), n.alias("n"), prefix.alias("prefix"))
 
 
 def _may_match(x: str, y: str) -> Column:
     """Entry y stands earlier and passes the length, position and signature filters."""
     c = lambda side, name: F.col(f"{side}.{name}")
     n, m = c(x, "n"), c(y, "n")
-    total = n + m
-    alpha = F.floor((NUM * total + NUM + DEN - 1) / (NUM + DEN))
-    earlier = F.struct(c(y, "doc"), c(y, "text_h"), c(y, "line")) < F.struct(c(x, "doc"), c(x, "text_h"), c(x, "line"))
-    length = (DEN * F.least(n, m) >= NUM * F.greatest(n, m))
-    most = F.least(c(x, "i"), c(y, "i")) + 1 + F.least(n - c(x, "i"), m - c(y, "i")) - 1
-    return earlier & length & (most >= alpha) & (F.bit_count(c(x, "sig").bitwiseXOR(c(y, "sig"))) <= total - 2 * alpha)
-
-
-def matched(entries: DataFrame, wide: DataFrame) -> DataFrame:
-    """Identities (set_h, sig, n) of the entries that match an earlier one.
-
-    entries: doc, text_h, line (first place), set_h, sig, n, prefix. wide: set_h, sig, n, numbers.
-    """
-    rows = entries.select("doc", "text_h", "line", "set_h", "sig", "n", F.posexplode("prefix").alias("i", "word"))
-    same = F.col("x.word") == F.col("y.word")
-    later = stored(rows.alias("x").join(rows.alias("y"), same & _may_match("x", "y"), "left_semi"), "line-candidates")
-    earlier = stored(rows.alias("y").join(later.alias("x"), same & _may_match("x", "y"), "left_semi"), "line-partners")
-    identity = ["set_h", "sig", "n"]
-    needed = stored(wide.join(later.select(identity).unionByName(earlier.select(identity)).distinct(), identity, "left_semi").dropDuplicates(identity), "line-words")
-    x, y = (part.join(needed, identity) for part in (later, earlier))
+    alpha = F.expr(f"({NUM} * ({x}.n + {y}.n) + {NUM + DEN - 1}) div {NUM + DEN}")
+    earlier = (c(y, "doc") < c(x, "doc")) | ((c(y, "doc") == c(x, "doc")) & ((c(y, "line") < c(x, "line")) | ((c(y, "line") == c(x, "line")) & (c(y, "sig") < c(x, "sig")))))
+    length = DEN * F.least(n, m) >= NUM * F.greatest(n, m)
+    most = F.least(c(x, "i"), c(y, "i")) + F.least(n - c(x, "i"), m - c(y, "i"))
+    return (c(x, "word") == c(y, "word")) & earlier & length & (F.bit_count(c(x, "sig").bitwiseXOR(c(y, "sig"))) <= n + m - 2 * alpha) & (most >= alpha)
+
+
+#: The first place of an entry and its signature identify it.
+_ENTRY = ["doc", "line", "sig"]
+
+
+def _among(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """Semi join that moves only the rows that pass a filter of the keys, while that is small enough."""
+    slots = filter_slots(keys.count(), 16)
+    if slots:
+        bits = bit_filter(keys.select(F.xxhash64(*columns).alias("h")), slots)
+        h = F.xxhash64(*columns)
+        rows = rows.withColumn("__slot", filter_slot(h, slots)).join(F.broadcast(bits.withColumnRenamed("slot", "__slot").withColumnRenamed("bits", "__bits")), "__slot").filter(has_bit(F.col("__bits"), filter_bit(h))).drop("__slot", "__bits")
+    return rows.join(keys, columns, "left_semi")
+
+
+def _verify(later: DataFrame, rows: DataFrame, texts: DataFrame, classes: list[int]) -> DataFrame:
+    """Those of the candidates (prefix rows) that match an earlier entry by one of their words."""
+    words = stored(later.select("word").distinct(), "line-words")
+    earlier = _among(rows, words, ["word"])
+    earlier = stored(earlier.alias("y").join(later.alias("x"), _may_match("x", "y"), "left_semi"), "line-partners")
+    needed = stored(later.select(_ENTRY).unionByName(earlier.select(_ENTRY)).distinct(), "line-needed")
+    lines = texts.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    lines = _among(lines, needed.select("doc", "line").distinct(), ["doc", "line"])
+    sig = F.aggregate("numbers", F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    wide = lines.select("doc", "line", _numbers(F.col("raw"), classes).alias("numbers")).select("*", sig.alias("sig")).dropDuplicates(_ENTRY)
+    wide = stored(wide, "line-numbers")
+    x, y = (part.join(wide, _ENTRY) for part in (later, earlier))
     shared = F.size(F.array_intersect("x.numbers", "y.numbers"))
     similar = (NUM + DEN) * shared >= NUM * (F.col("x.n") + F.col("y.n"))
-    return x.alias("x").join(y.alias("y"), same & _may_match("x", "y") & similar, "left_semi").select(identity).distinct()
+    return x.alias("x").join(y.alias("y"), _may_match("x", "y") & similar, "left_semi").select(_ENTRY).distinct()
+
+
+def matched(entries: DataFrame, texts: DataFrame, classes: list[int]) -> DataFrame:
+    """(doc, line, sig) of the entries that match an earlier one; entries: doc, line, sig, n, prefix."""
+    rows = entries.select(*_ENTRY, "n", F.posexplode("prefix").alias("i", "word"))
+    later = stored(rows.alias("x").join(rows.alias("y"), _may_match("x", "y"), "left_semi"), "line-candidates")
+    first = stored(later.groupBy(*_ENTRY, "n").agg(F.min(F.struct("i", "word")).alias("at")).select(*_ENTRY, "n", "at.i", "at.word"), "line-first-words")
+    found = stored(_verify(first, rows, texts, classes), "line-matches")
+    rest = stored(later.join(found, _ENTRY, "left_anti").join(first, [*_ENTRY, "i"], "left_anti"), "line-rest")
+    if rest.isEmpty():
+        return found
+    return found.unionByName(_verify(rest, rows, texts, classes))
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, text_h, n_lines, removed (ascending numbers of its removed lines, from 0)."""
-    lines = _lines(docs, id_col, text_col)
-    sets = _sets(lines, rarity(lines))
+    texts = _text(docs, id_col, text_col)
+    classes = rarity(texts)
+    sets = stored(_sets(texts, classes), "line-sets")
     identity = ["set_h", "sig", "n"]
-    prefix = F.slice("numbers", 1, F.col("n") - F.floor((NUM * F.col("n") + DEN - 1) / DEN).cast("int") + 1)
-    place = F.struct("doc", "text_h", "line")
-    entries = sets.select(*identity, prefix.alias("prefix"), place.alias("place")).groupBy(*identity, "prefix").agg(F.min("place").alias("place"))
-    entries = stored(entries.select(*identity, "prefix", "place.doc", "place.text_h", "place.line"), "line-sets")
-    gone = stored(matched(entries, sets.select(*identity, "numbers")).withColumn("gone", F.lit(True)), "line-matches")
-    first = entries.select(*identity, *[F.col(c).alias(f"first_{c}") for c in ("doc", "text_h", "line")]).join(gone, identity, "left")
-    is_first = (F.col("doc") == F.col("first_doc")) & (F.col("text_h") == F.col("first_text_h")) & (F.col("line") == F.col("first_line"))
-    removed = sets.select("doc", "text_h", "line", *identity).join(first, identity).filter(F.coalesce("gone", F.lit(False)) | ~is_first)
+    entries = sets.groupBy(*identity, "prefix").agg(F.min(F.struct("doc", "line")).alias("place"))
+    entries = stored(entries.select("place.doc", "place.line", *identity, "prefix"), "line-entries")
+    gone = stored(matched(entries.drop("set_h"), texts, classes).withColumn("gone", F.lit(True)), "line-gone")
+    first = entries.drop("prefix").join(gone, _ENTRY, "left").select(*identity, F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), "gone")
+    is_first = (F.col("doc") == F.col("first_doc")) & (F.col("line") == F.col("first_line"))
+    removed = sets.drop("prefix").join(first, identity).filter(F.coalesce("gone", F.lit(False)) | ~is_first)
     removed = removed.groupBy("doc", "text_h").agg(F.sort_array(F.collect_set("line")).alias("removed"))
     text = F.col(text_col).cast("string")
     rows = docs.select(
