@@ -1 +1 @@
-"""See the modules of this package."""
+"""Chains of operators, and the registry of translation engines."""

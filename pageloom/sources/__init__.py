@@ -1 +1 @@
-"""See the modules of this package."""
+"""Sources and sinks: images, configuration, vocabularies, bindings of the driver tables."""
