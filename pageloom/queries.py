@@ -1,3 +1,377 @@
-"""Queries over the driver's tables."""
-QUERIES = {}
-SQL = {}
+"""Queries over the driver's tables, one for each operator or family, and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pageloom.functions import decoding as D
+from pageloom.functions import geometry as G
+from pageloom.functions import text as T
+from pageloom.operators import accounts, detect, layout, merge, order, raster, translate
+from pageloom.sources import config, images, tables
+from pageloom.sources.tables import ATTEMPTS, BOXES, USERS, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _r(c, digits: int = 6):
+    return F.round(c, digits)
+
+
+_BANDS = f"""
+    WITH b AS ({BOXES}),
+    c AS (SELECT *, x + w / 2.0 AS cx, y + h / 2.0 AS cy, (y + h)::DOUBLE AS low FROM b),
+    o AS (SELECT *, CASE WHEN cy >= max(low) OVER (PARTITION BY page_id ORDER BY cy, zone_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                    OR row_number() OVER (PARTITION BY page_id ORDER BY cy, zone_idx) = 1 THEN 1 ELSE 0 END AS opens FROM c),
+    d AS (SELECT *, sum(opens) OVER (PARTITION BY page_id ORDER BY cy, zone_idx ROWS UNBOUNDED PRECEDING) AS band FROM o),
+    r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY band, CASE WHEN direction = 'LTR' THEN cx ELSE -cx END, cy, zone_idx) - 1 AS rank FROM d)"""
+
+
+@query(f"{_BANDS} SELECT page_id, zone_idx, direction, rank::INT AS rank FROM r")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.reading_order(tables.zones(spark, sf_dir)).select("page_id", "zone_idx", "direction", "rank")
+
+
+@query(f"{_BANDS} SELECT page_id, zone_idx, direction, rank::INT AS rank FROM r")
+def reading_order_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.reading_order(tables.zones(spark, sf_dir), fold=True).select("page_id", "zone_idx", "direction", "rank")
+
+
+@query(f"""{_BANDS}, l AS (SELECT page_id, rank, lag(cx) OVER w AS from_x, lag(cy) OVER w AS from_y, cx AS to_x, cy AS to_y FROM r WINDOW w AS (PARTITION BY page_id ORDER BY rank))
+    SELECT page_id, rank::INT AS rank, from_x, from_y, to_x, to_y FROM l WHERE from_x IS NOT NULL""")
+def reading_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.reading_path(order.reading_order(tables.zones(spark, sf_dir)))
+
+
+_TRIM = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+_SENTENCES = (
+    "list_filter(list_transform(regexp_extract_all(text, '(?s)([^.!?…]*[.!?…]+|[^.!?…]+)', 1), lambda s: "
+    + _TRIM.format("s")
+    + "), lambda s: s <> '')"
+)
+
+
+@query(f"""SELECT conv_id, turn, generate_subscripts(p, 1)::INT - 1 AS part, unnest(p) AS sentence
+    FROM (SELECT conv_id, turn, CASE WHEN len({_SENTENCES}) > 0 THEN {_SENTENCES} ELSE [text] END AS p FROM conversations)""")
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(T.sentences(F.col("text"))).alias("part", "sentence"))
+
+
+@query(f"""SELECT doc_id, len(p)::INT AS n_sentences, list_max(list_transform(p, lambda s: length(s)))::INT AS longest
+    FROM (SELECT doc_id, CASE WHEN len({_SENTENCES}) > 0 THEN {_SENTENCES} ELSE [text] END AS p FROM documents)""")
+def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.sentences(F.col("text")).alias("p"))
+    return rows.select("doc_id", F.size("p").alias("n_sentences"), F.array_max(F.transform("p", lambda s: F.length(s))).alias("longest"))
+
+
+@query("""SELECT conv_id, turn, regexp_replace(lifted, '(^|[^A-Za-z0-9_])i([^A-Za-z0-9_]|$)', '\\1I\\2', 'g') AS calmed FROM (
+      SELECT conv_id, turn, regexp_extract(l, '^([^a-z]*)([a-z])', 1) || upper(regexp_extract(l, '^([^a-z]*)([a-z])', 2)) || substr(l, length(regexp_extract(l, '^([^a-z]*)([a-z])', 0)) + 1) AS lifted
+      FROM (SELECT conv_id, turn, lower(regexp_replace(text, '[^ -~]', '', 'g')) AS l FROM conversations) WHERE l SIMILAR TO '.*[a-z].*')""")
+def case_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = F.regexp_replace("text", "[^ -~]", "")
+    shouted = table(spark, sf_dir, "conversations").withColumn("shout", F.upper(plain)).filter(F.col("shout").rlike("[A-Z]"))
+    return shouted.select("conv_id", "turn", T.calmed(F.col("shout")).alias("calmed"))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda s: s <> '') AS words FROM conversations),
+    f AS (SELECT conv_id, turn, words, CASE WHEN len(words) = 0 THEN [['']] ELSE list_reduce(list_transform(words, lambda s: [[s]]),
+        lambda a, b: CASE WHEN length(a[len(a)][1]) + 1 + length(b[1][1]) <= 24 THEN list_concat(a[1:len(a) - 1], [[a[len(a)][1] || ' ' || b[1][1]]]) ELSE list_concat(a, b) END) END AS l FROM w)
+    SELECT conv_id, turn, len(l)::INT AS n_lines, list_max(list_transform(l, lambda s: length(s[1])))::INT AS widest, array_to_string(list_transform(l, lambda s: s[1]), '|') AS lines FROM f""")
+def word_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.wrapped(F.col("text"), F.lit(24)).alias("l"))
+    return rows.select("conv_id", "turn", F.size("l").alias("n_lines"), F.array_max(F.transform("l", lambda s: F.length(s))).alias("widest"), F.array_join("l", "|").alias("lines"))
+
+
+def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = tables.boxes(spark, sf_dir)
+    return b.select(
+        "page_id", F.col("zone_idx").alias("i"), (F.col("x") % 300 + F.col("w") / 2).alias("cx"), (F.col("y") % 300 + F.col("h") / 2).alias("cy"), "w", "h", "score", F.lit(2048).alias("page_w"), F.lit(1536).alias("page_h")
+    )
+
+
+_ANCHORS = f"SELECT page_id, zone_idx AS i, x % 300 + w / 2.0 AS cx, y % 300 + h / 2.0 AS cy, w, h, score FROM ({BOXES})"
+_DECODED = f"SELECT page_id, i, trunc((cx - w / 2.0) * 2)::INT AS x, trunc((cy - h / 2.0) * 1.5)::INT AS y, trunc(w * 2)::INT AS w, trunc(h * 1.5)::INT AS h, score FROM ({_ANCHORS}) WHERE score >= 0.5"
+
+
+@query(_DECODED)
+def decode_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.decode(_anchors(spark, sf_dir))
+
+
+_OVERLAP = "(CASE WHEN least({a}.w * {a}.h, {b}.w * {b}.h) > 0 THEN greatest(0, least({a}.x + {a}.w, {b}.x + {b}.w) - greatest({a}.x, {b}.x)) * greatest(0, least({a}.y + {a}.h, {b}.y + {b}.h) - greatest({a}.y, {b}.y))::DOUBLE / least({a}.w * {a}.h, {b}.w * {b}.h) ELSE 0 END)"
+
+
+@query(f"""WITH RECURSIVE d AS ({_DECODED}),
+    n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, i) AS r FROM d),
+    top AS (SELECT page_id, max(r) AS m FROM n GROUP BY page_id),
+    k AS (SELECT page_id, 0::BIGINT AS r, []::STRUCT(x INT, y INT, w INT, h INT, score DOUBLE, i BIGINT)[] AS kept FROM top
+          UNION ALL
+          SELECT k.page_id, n.r, CASE WHEN len(list_filter(k.kept, lambda q: {_OVERLAP.format(a="q", b="n")} > 0.4)) > 0 THEN k.kept
+                 ELSE list_append(k.kept, {{'x': n.x, 'y': n.y, 'w': n.w, 'h': n.h, 'score': n.score, 'i': n.i::BIGINT}}) END
+          FROM k JOIN n ON n.page_id = k.page_id AND n.r = k.r + 1),
+    u AS (SELECT page_id, unnest(kept) AS b FROM k JOIN top USING (page_id) WHERE r = m)
+    SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY b.y, b.x, b.score DESC, b.i) - 1)::INT AS zone_idx, b.x AS x, b.y AS y, b.w AS w, b.h AS h, b.score AS score, b.i AS i FROM u""")
+def suppress_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.suppress(detect.decode(_anchors(spark, sf_dir)))
+
+
+@query(f"WITH d AS ({_DECODED}) SELECT p.page_id AS page_id, p.i AS a, q.i AS b FROM d p JOIN d q ON p.page_id = q.page_id AND p.i < q.i AND {_OVERLAP.format(a='p', b='q')} > 0.4")
+def overlapping_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.overlapping_pairs(detect.decode(_anchors(spark, sf_dir)))
+
+
+def _ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two zones of a page make a block; corners come in mixed order."""
+    b = tables.boxes(spark, sf_dir)
+    x, y, w, h = (F.col(c).cast("double") for c in "xywh")
+    corners = F.array(G.point(x + w, y + h), G.point(x, y), G.point(x + w, y), G.point(x, y + h))
+    return b.select("page_id", F.floor(F.col("zone_idx") / 2).cast("int").alias("zone_idx"), F.col("zone_idx").alias("line"), F.when(F.col("x") % 7 == 0, F.lit(" \t ")).otherwise(F.concat(F.lit(" "), "text_src", F.lit("  "))).alias("text"), "score", corners.alias("corners"))
+
+
+@query(f"""WITH b AS (SELECT page_id, zone_idx // 2 AS z, zone_idx AS line, text_src, x, y, w, h, score FROM ({BOXES}) WHERE x % 7 <> 0)
+    SELECT page_id, z::INT AS zone_idx, string_agg(text_src, ' ' ORDER BY y + h / 2.0, x + w / 2.0, line) AS text_src, min(score) AS confidence, round(avg(h), 6) AS line_height, 0.0::DOUBLE AS angle,
+           min(x)::DOUBLE AS x0, min(y)::DOUBLE AS y0, max(x + w)::DOUBLE AS x1, max(y + h)::DOUBLE AS y1, count(*) AS n_lines
+    FROM b GROUP BY page_id, z HAVING min(score) >= 0.5""")
+def block_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = merge.blocks(_ocr(spark, sf_dir))
+    at = lambda c, k: F.col(f"rect.{c}.{k}")
+    return made.select("page_id", "zone_idx", "text_src", "confidence", _r(F.col("line_height")).alias("line_height"), _r(F.col("angle")).alias("angle"), at("hg", "x").alias("x0"), at("hg", "y").alias("y0"), at("bd", "x").alias("x1"), at("bd", "y").alias("y1"), "n_lines")
+
+
+@query(f"""WITH b AS ({BOXES}), m AS (SELECT page_id, coalesce(shape, 10 + zone_idx) AS g, min(zone_idx) AS zone_idx, string_agg(text_src, ' ' ORDER BY zone_idx) AS text_src, min(confidence) AS confidence,
+      round(avg(line_height), 6) AS line_height, CASE WHEN count(*) = 1 THEN min(angle) ELSE degrees(atan2(sum(sin(radians(angle))), sum(cos(radians(angle))))) END AS angle, count(*) AS fragments,
+      min(x)::DOUBLE AS x0, min(y)::DOUBLE AS y0, max(x + w)::DOUBLE AS x1, max(y + h)::DOUBLE AS y1, min_by(x * 3 % 256, zone_idx)::INT AS red, sqrt(pow(sum(sin(radians(angle))), 2) + pow(sum(cos(radians(angle))), 2)) AS force
+      FROM b GROUP BY page_id, coalesce(shape, 10 + zone_idx))
+    SELECT page_id, zone_idx, text_src, confidence, line_height, CASE WHEN force > 1e-6 THEN round(CASE WHEN angle <= -179.9999 THEN angle + 360 ELSE angle END, 4) END AS angle, fragments, x0, y0, x1, y1, CASE WHEN g < 10 THEN red END AS red FROM m""")
+def merge_bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones = tables.zones(spark, sf_dir)
+    made = merge.same_bubble(zones)
+    at = lambda c, k: F.col(f"rect.{c}.{k}")
+    # opposite angles cancel out: there the mean is noise, and null in both
+    force = zones.groupBy("page_id", "contour", F.when(F.col("contour").isNull(), F.col("zone_idx")).otherwise(-1).alias("alone")).agg(
+        F.min("zone_idx").alias("zone_idx"), F.hypot(F.sum(F.sin(F.radians("angle"))), F.sum(F.cos(F.radians("angle")))).alias("force")
+    ).select("page_id", "zone_idx", "force")
+    made = made.join(force, ["page_id", "zone_idx"])
+    half = F.when(F.col("angle") <= -179.9999, F.col("angle") + 360).otherwise(F.col("angle"))
+    return made.select("page_id", "zone_idx", "text_src", "confidence", _r(F.col("line_height")).alias("line_height"), F.when(F.col("force") > 1e-6, _r(half, 4)).alias("angle"), "fragments", at("hg", "x").alias("x0"), at("hg", "y").alias("y0"), at("bd", "x").alias("x1"), at("bd", "y").alias("y1"), F.col("background.r").alias("red"))
+
+
+@query(f"""SELECT page_id, zone_idx, round((sqrt(w*w + 49.0) + sqrt(w*w + 49.0)) / 2, 6) AS width, round((sqrt(h*h + 9.0) + sqrt(h*h + 9.0)) / 2, 6) AS height,
+      (x + (x + w) + (x + w + 3) + (x + 3)) / 4.0 AS cx, (y + (y + 7) + (y + h + 7) + (y + h)) / 4.0 AS cy, round(degrees(atan2(14.0, 2.0 * w)), 6) AS angle, round(sqrt((w + 3.0) * (w + 3) + (h + 7.0) * (h + 7)), 6) AS diagonal FROM ({BOXES})""")
+def quad_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y, w, h = (F.col(c) for c in "xywh")
+    q = G.quad(G.point(x, y), G.point(x + w, y + 7), G.point(x + w + 3, y + h + 7), G.point(x + 3, y + h))
+    rows = tables.boxes(spark, sf_dir).withColumn("q", q)
+    q = F.col("q")
+    return rows.select("page_id", "zone_idx", _r(G.width(q)).alias("width"), _r(G.height(q)).alias("height"), G.centre_x(q).alias("cx"), G.centre_y(q).alias("cy"), _r(G.angle(q)).alias("angle"), _r(G.distance(q["hg"], q["bd"])).alias("diagonal"))
+
+
+@query(f"""WITH p AS (SELECT page_id, zone_idx, shape, x % 14 + 0.5 AS px, y % 12 + 0.3 AS py FROM ({BOXES}) WHERE shape IS NOT NULL)
+    SELECT page_id, zone_idx, CASE shape WHEN 0 THEN px < 10 AND py < 10 WHEN 1 THEN (px < 10 AND py < 4) OR (px < 4 AND py < 10) ELSE py < 9 AND px > py * 6 / 9 AND px < 12 - py * 6 / 9 END AS inside,
+      CASE shape WHEN 2 THEN 6.0 WHEN 1 THEN 28 / 6.0 ELSE 5.0 END::DOUBLE AS mean_x, CASE shape WHEN 2 THEN 12.0 ELSE 10.0 END::DOUBLE AS x1, CASE shape WHEN 2 THEN 9.0 ELSE 10.0 END::DOUBLE AS y1 FROM p""")
+def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = tables.zones(spark, sf_dir).filter("contour IS NOT NULL")
+    c = F.col("contour")
+    return z.select("page_id", "zone_idx", G.contains(c, F.col("x") % 14 + 0.5, F.col("y") % 12 + 0.3).alias("inside"), G.centroid(c)["x"].alias("mean_x"), G.bounds(c)["x1"].alias("x1"), G.bounds(c)["y1"].alias("y1"))
+
+
+@query(f"""SELECT page_id, zone_idx, greatest(0, x - 12) AS x, greatest(0, y - 12) AS y, greatest(1, least(1200, x + w + 12) - greatest(0, x - 12)) AS w, greatest(1, least(1700, y + h + 12) - greatest(0, y - 12)) AS h,
+      coalesce(CASE shape WHEN 2 THEN 12 >= 0.8 * (w / 20) AND 9 >= 0.8 * (h / 20) ELSE 10 >= 0.8 * (w / 20) AND 10 >= 0.8 * (h / 20) END AND shape IS NOT NULL, false) AS covered FROM ({BOXES})""")
+def crop_and_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = tables.zones(spark, sf_dir)
+    box = F.struct("x", "y", "w", "h")
+    small = F.struct((F.col("w") / 20).alias("w"), (F.col("h") / 20).alias("h"))
+    grown = G.expanded(box, F.lit(tables.PAGE_W), F.lit(tables.PAGE_H))
+    return z.select("page_id", "zone_idx", grown["x"].alias("x"), grown["y"].alias("y"), grown["w"].alias("w"), grown["h"].alias("h"), G.covers(F.col("contour"), small).alias("covered"))
+
+
+@query(f"""SELECT page_id, zone_idx, x::DOUBLE AS ax, (y + 1)::DOUBLE AS ay, (x + w)::DOUBLE AS bx, y::DOUBLE AS by_, (x + w)::DOUBLE AS cx, (y + h)::DOUBLE AS cy, x::DOUBLE AS dx, (y + h + 1)::DOUBLE AS dy FROM ({BOXES})""")
+def relabel_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y, w, h = (F.col(c) for c in "xywh")
+    mixed = F.array(G.point(x, y + h + 1), G.point(x + w, y), G.point(x + w, y + h), G.point(x, y + 1))
+    rows = tables.boxes(spark, sf_dir).withColumn("q", G.relabelled(mixed))
+    return rows.select("page_id", "zone_idx", *[F.col(f"q.{c}.{k}").alias(f"{n}{k}" + ("_" if n + k == "by" else "")) for c, n in (("hg", "a"), ("hd", "b"), ("bd", "c"), ("bg", "d")) for k in ("x", "y")])
+
+
+@query("""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS id, unnest(embedding)::DOUBLE AS score FROM embeddings),
+    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, id) AS place FROM e)
+    SELECT vec_id, place::INT - 1 AS place, id::INT AS id, score FROM r WHERE place <= 4""")
+def top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(D.top_k(F.col("embedding").cast("array<double>"), 4)).alias("place", "t"))
+    return rows.select("vec_id", "place", "t.id", "t.score")
+
+
+@query("""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS id, unnest(embedding)::DOUBLE AS z FROM embeddings),
+    m AS (SELECT vec_id, max(z) AS most FROM e GROUP BY vec_id), s AS (SELECT vec_id, most, ln(sum(exp(z - most))) AS total FROM e JOIN m USING (vec_id) GROUP BY vec_id, most)
+    SELECT vec_id, id::INT AS id, round(z - most - total, 6) AS log_p FROM e JOIN s USING (vec_id) WHERE id <> 1""")
+def log_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(D.log_softmax(F.col("embedding").cast("array<double>"), pad=1)).alias("id", "log_p"))
+    return rows.filter("id <> 1").select("vec_id", "id", _r(F.col("log_p")).alias("log_p"))
+
+
+@query("""WITH h AS (SELECT vec_id, k, embedding[k]::DOUBLE * 4 AS score, 1 + (vec_id + k) % 5 AS n FROM embeddings, (VALUES (1), (2), (3), (4)) t(k)),
+    b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score / n DESC, k) AS r FROM h)
+    SELECT vec_id, k::INT AS hypothesis, round(score / n, 6) AS norm, least(512, 3 * n + 20)::INT AS cap FROM b WHERE r = 1""")
+def best_hypothesis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def hypothesis(k: int):
+        return F.struct(F.array_repeat(F.lit(k), (1 + (F.col("vec_id") + k) % 5).cast("int")).alias("tokens"), (F.col("embedding")[k - 1].cast("double") * 4).alias("score"))
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", D.best(F.array(*[hypothesis(k) for k in (1, 2, 3, 4)])).alias("b"))
+    b = F.col("b")
+    return rows.select("vec_id", b["tokens"][0].alias("hypothesis"), _r(D.normalised_score(b["score"], b["tokens"])).alias("norm"), D.length_cap(F.size(b["tokens"])).alias("cap"))
+
+
+@query("""WITH v AS (SELECT c_custkey, c_custkey % 7 AS a, c_custkey % 11 AS b FROM customer)
+    SELECT c_custkey, array_to_string([(CASE WHEN a < 5 THEN a ELSE 1 END)::VARCHAR, (CASE WHEN b < 5 THEN b ELSE 1 END)::VARCHAR, '2'], ',') AS opus_ids,
+      array_to_string(['9', (CASE WHEN a < 5 AND a <> 1 THEN a + 1 ELSE 2 END)::VARCHAR, (CASE WHEN b < 5 AND b <> 1 THEN b + 1 ELSE 2 END)::VARCHAR, '2'], ',') AS nllb_ids,
+      trim((CASE WHEN a = 0 THEN ' p0' WHEN a = 2 THEN ' p2' WHEN a = 4 THEN ' p4' ELSE '' END) || (CASE WHEN b = 0 THEN ' p0' WHEN b = 2 THEN ' p2' WHEN b = 4 THEN ' p4' ELSE '' END)) AS back FROM v""")
+def vocabulary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces to ids and back over a vocabulary with a gap at 3; ids out of range are dropped."""
+    vocab = config.vocabulary(F.lit('{"▁p0": 0, "<unk>": 1, "▁p2": 2, "▁p4": 4}'))
+    a, b = F.col("c_custkey") % 7, F.col("c_custkey") % 11
+    pieces = F.array(*[F.when(c == 1, "<unk>").when(c == 3, "").otherwise(F.concat(F.lit("▁p"), c.cast("string"))) for c in (a, b)])
+    rows = table(spark, sf_dir, "customer").select("c_custkey", pieces.alias("p"), vocab.alias("v"), a.alias("a"), b.alias("b"))
+    # 3 is no piece of this vocabulary; the oracle takes it for itself, as does the reverse table with its gap
+    ids = F.transform(F.array("a", "b"), lambda i: F.when(i < 5, i).otherwise(F.lit(9)).cast("int"))
+    rows = rows.withColumn("found", F.zip_with(D.piece_ids(F.col("p"), F.col("v"), config.unknown_id(F.col("v"))), ids, lambda f, i: F.when(i == 3, i).otherwise(f)))
+    reverse = D.reverse_vocabulary(F.col("v"))
+    text = T.pieces_to_text(F.filter(D.id_pieces(ids, reverse), lambda p: p != "<unk>"))
+    joined = lambda ids: F.array_join(ids.cast("array<string>"), ",")
+    return rows.select("c_custkey", joined(T.framed_ids(F.col("found"), 2)).alias("opus_ids"), joined(T.framed_ids(F.col("found"), 2, source=9)).alias("nllb_ids"), text.alias("back"))
+
+
+_REGISTER = f"""WITH u AS ({USERS}), a AS ({ATTEMPTS}),
+    r AS (SELECT a.*, upper(a.username) AS normalized, CASE WHEN length(password) < 8 THEN 'User.PasswordTooShort' WHEN length(password) > 128 THEN 'User.PasswordTooLong'
+        WHEN NOT regexp_matches(a.username, '^[A-Za-z0-9_-]{{3,20}}\\n?$') THEN 'User.InvalidUsername' WHEN u.id IS NOT NULL THEN 'User.UsernameTaken' END AS rule FROM a LEFT JOIN u ON upper(a.username) = u.normalized_username),
+    t AS (SELECT *, row_number() OVER (PARTITION BY normalized, rule IS NULL ORDER BY attempt_id) AS turn FROM r),
+    f AS (SELECT attempt_id, username, normalized, CASE WHEN rule IS NULL AND turn > 1 THEN 'User.UsernameTaken' ELSE rule END AS error FROM t)"""
+
+
+@query(f"{_REGISTER} SELECT attempt_id, username, error, CASE WHEN error IS NULL THEN 201 WHEN error = 'User.UsernameTaken' THEN 409 ELSE 400 END::INT AS status FROM f")
+def register_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accounts.register(tables.attempts(spark, sf_dir), tables.users(spark, sf_dir)).select("attempt_id", "username", "error", "status")
+
+
+@query(f"{_REGISTER} SELECT username, normalized AS normalized_username FROM f WHERE error IS NULL UNION ALL SELECT username, normalized_username FROM u")
+def insert_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    users = tables.users(spark, sf_dir)
+    return accounts.insert(users, accounts.register(tables.attempts(spark, sf_dir), users)).select("username", "normalized_username")
+
+
+@query(f"""WITH u AS ({USERS}), a AS ({ATTEMPTS}) SELECT attempt_id, a.username AS username, CASE WHEN length(password) <= 128 AND u.password_hash = a.password THEN NULL ELSE 'User.InvalidCredentials' END AS error,
+    CASE WHEN length(password) <= 128 AND u.password_hash = a.password THEN 200 ELSE 401 END::INT AS status FROM a LEFT JOIN u ON upper(a.username) = u.normalized_username""")
+def login_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accounts.login(tables.attempts(spark, sf_dir), tables.users(spark, sf_dir), lambda p, h: p == h).select("attempt_id", "username", "error", "status")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 <> 0 AND event_type <> 'click' THEN (event_id % 1000)::INT END AS id, CASE WHEN event_id % 3 <> 0 AND event_type <> 'click' THEN event_type END AS name FROM events""")
+def parse_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("+"), F.col("event_id").cast("string"))).otherwise((F.col("event_id") % 1000).cast("string"))
+    name = F.when(F.col("event_type") == "click", "").otherwise(F.col("event_type"))
+    c = accounts.claims(text, name)
+    return e.select("event_id", c["id"].alias("id"), c["name"].alias("name"))
+
+
+@query("SELECT c_custkey AS id, replace(c_name, '#', '_') AS username, upper(replace(c_name, '#', '_')) AS normalized_username FROM customer")
+def migrate_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accounts.with_normalised_name(tables.users(spark, sf_dir).select("id", "username"))
+
+
+@query(f"""SELECT page_id, count(*) AS zones, round(avg(CASE WHEN shape IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS with_bubble, round(avg(confidence), 6) AS mean_confidence, round(avg(len(string_split(text_src, ' '))), 6) AS words_per_zone FROM ({BOXES}) GROUP BY page_id""")
+def page_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = tables.zones(spark, sf_dir)
+    words = F.size(F.filter(F.split("text_src", " "), lambda w: w != ""))
+    return z.groupBy("page_id").agg(F.count("*").alias("zones"), _r(F.avg(G.usable(F.col("contour")).cast("double"))).alias("with_bubble"), _r(F.avg("confidence")).alias("mean_confidence"), _r(F.avg(words)).alias("words_per_zone"))
+
+
+@query(f"""SELECT page_id, zone_idx, printf('RVB(%d, %d, %d) #%02X%02X%02X', x * 3 % 256, x * 5 % 256, x * 7 % 256, x * 3 % 256, x * 5 % 256, x * 7 % 256) AS colour, '(' || x || ', ' || y || ')' AS corner,
+      shape::INT AS usable_shape FROM ({BOXES}) WHERE shape IS NOT NULL""")
+def describe_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = tables.zones(spark, sf_dir).filter(G.usable(F.col("contour")))
+    return z.select("page_id", "zone_idx", T.colour_text(F.col("background")).alias("colour"), T.point_text(F.col("rect.hg")).alias("corner"), F.col("shape").cast("int").alias("usable_shape"))
+
+
+@query(f"""SELECT page_id, zone_idx, CASE WHEN shape IS NOT NULL THEN (x * 3 % 256)::INT ELSE 255 END AS red, (shape IS NOT NULL AND line_height IS NOT NULL) AS to_rewrite FROM ({BOXES})""")
+def erase_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = tables.zones(spark, sf_dir)
+    white = F.struct(*[F.lit(255).alias(c) for c in "rgb"])
+    text = F.when(F.col("line_height").isNotNull(), F.col("text_src")).otherwise(F.lit(""))
+    return z.select("page_id", "zone_idx", layout.background(F.col("background"), white)["r"].alias("red"), layout.rewritable(F.col("contour"), text).alias("to_rewrite"))
+
+
+@query()
+def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dialogue in boxes: font size, lines and their places."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("text_dst"), (20 + F.col("turn") * 3 % 30).cast("double").alias("line_height"), F.lit(420.0).alias("box_w"), F.lit(300.0).alias("box_h"), F.lit(500.0).alias("centre_x"), F.lit(400.0).alias("centre_y"))
+    return layout.placed_lines(layout.layout(c))
+
+
+@query()
+def frame_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.frame(tables.zones(spark, sf_dir).select("page_id", "zone_idx", F.col("x").cast("double"), F.col("y").cast("double"), F.col("w").cast("double"), F.col("h").cast("double"), "contour"))
+
+
+@query()
+def translate_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences through the beam search over a synthetic decoder."""
+    zones = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page_id"), F.col("turn").cast("int").alias("zone_idx"), F.col("text").alias("text_src"), F.lit(None).cast("string").alias("text_dst"))
+
+    def engine():
+        def step(source: list[int], tokens: list[int]) -> np.ndarray:
+            logits = np.zeros(12)
+            at = len(tokens) - 1
+            logits[source[at] if at < len(source) else 2] = 5.0
+            logits[3 + (tokens[-1] * 5 + at) % 9] += 1.0
+            return logits
+
+        def run(texts: list[str]) -> list[str | None]:
+            out = []
+            for t in texts:
+                ids = [3 + len(w) % 9 for w in t.split()][:12]
+                out.append(" ".join(map(str, translate.beam_search(ids, step, start=1, end=2, pad=0))) if len(ids) > 1 else None)
+            return out
+
+        return run
+
+    return translate.translate(zones, engine, split=True, calm=False).withColumnRenamed("page_id", "conv_id")
+
+
+@query()
+def erase_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For a few hundred drawn pages: bubble search around the block, erasing, PNG out and in."""
+    pages = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for page in batch["page_id"].tolist():
+                drawn = np.full((120, 160, 3), 40, np.uint8)
+                y, x = np.ogrid[:120, :160]
+                inside = ((x - 80) / (45 + page % 20)) ** 2 + ((y - 60) / (35 + page % 15)) ** 2 <= 1
+                drawn[inside] = (250, 245, 240)
+                drawn[50:54, 60:100:3] = 0
+                found = raster.bubble(images.decode(images.encode(drawn)), (55, 40, 50, 30))
+                clean = raster.erase(drawn, [(found[0], found[1] or (255, 255, 255))]) if found else drawn
+                back = images.decode(images.encode(clean))
+                rows.append((page, len(found[0]) if found else 0, int((back[inside] == 0).sum()), int(back[60, 80, 0])))
+            yield pd.DataFrame(rows, columns=["page_id", "contour_points", "ink_left", "centre_red"])
+
+    return pages.mapInPandas(run, "page_id bigint, contour_points int, ink_left int, centre_red int")
