@@ -40,7 +40,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THETA = 1.5
 SEED = 3
 MAX_WORD = 64
-CACHE_WORDS = 200_000
+CACHE_WORDS = 80_000
 _SPACE, _LITERAL = 0x2581, 0x110000
 _WORD = re.compile(r" *[^ \n\r\t]+| +|[\n\r\t]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -179,9 +179,9 @@ class Sampler:
         """Ids of each text; keys are 64-bit numbers of the rows."""
         out: list[np.ndarray] = []
         at = 0
-        while at < len(texts):  # blocks of about a million characters; a longer text is a block
+        while at < len(texts):  # blocks of about 400,000 characters; a longer text is a block
             to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) <= 1_000_000):
+            while to < len(texts) and (to == at or size + len(texts[to]) <= 400_000):
                 size += len(texts[to])
                 to += 1
             out += self._encode(texts[at:to], keys[at:to])
@@ -261,8 +261,8 @@ def encode(rows: DataFrame, key_col: str = "doc_id", text_col: str = "text", kee
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(pieces.value, theta, seed)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
                 data = as_bytes(part.column(part.num_columns - 1))
                 keys = [sampler.row_key(k, t) for k, t in zip(part.column(part.num_columns - 2).to_pylist(), data, strict=True)]
                 found = sampler.encode([t.decode("utf-8") for t in data], keys)
@@ -283,8 +283,8 @@ def decode(rows: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = (), mo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(pieces.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
                 column = part.column(part.num_columns - 1)
                 values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
                 texts, counts = [], []
