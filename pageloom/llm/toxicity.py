@@ -32,8 +32,8 @@ from .common import as_bytes
 SAMPLE_DOCS = 3000
 GRADES = 4
 MIN_DOCS = 5
-#: How many standard errors the log odds of a marking word must be above zero.
-Z = 4.0
+#: The least root of the likelihood ratio (G squared) of a marking word: standard errors, about.
+Z = 4.7
 #: The least log odds ratio of a marking word.
 MIN_ODDS = 3.5
 PREFIX = 4
@@ -71,6 +71,16 @@ class Model:
         return _sigmoid(x - self.thresholds)
 
 
+def _likelihood_ratio(t: np.ndarray, n_toxic: int, c: np.ndarray, n_clean: int) -> np.ndarray:
+    """G squared of each word's two-by-two table."""
+    n = n_toxic + n_clean
+    total = np.zeros(len(t))
+    for seen, group, held in ((t, n_toxic, t + c), (n_toxic - t, n_toxic, n - t - c), (c, n_clean, t + c), (n_clean - c, n_clean, n - t - c)):
+        expected = held * (group / n)
+        total += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-12)), 0.0)
+    return np.maximum(total, 0)
+
+
 def marking(clean: list[np.ndarray], toxic: list[np.ndarray]) -> np.ndarray:
     """Hashes of the words that mark toxic documents, at most MAX_WORDS."""
     if not clean or not toxic:
@@ -80,9 +90,8 @@ def marking(clean: list[np.ndarray], toxic: list[np.ndarray]) -> np.ndarray:
     c = np.bincount(where[:n_clean], minlength=len(every))
     t = np.bincount(where[n_clean:], minlength=len(every))
     odds = lambda n, total: np.log((n + 0.5) / (total - n + 0.5))
-    error = np.sqrt(1 / (c + 0.5) + 1 / (len(clean) - c + 0.5) + 1 / (t + 0.5) + 1 / (len(toxic) - t + 0.5))
     ratio = odds(t, len(toxic)) - odds(c, len(clean))
-    z = ratio / error
+    z = np.sqrt(_likelihood_ratio(t, len(toxic), c, len(clean)))  # holds for words that no clean document has, too
     ok = np.flatnonzero((t >= MIN_DOCS) & (z >= Z) & (ratio >= MIN_ODDS))
     return np.sort(every[ok[np.argsort(-z[ok], kind="stable")[:MAX_WORDS]]])
 

@@ -258,12 +258,13 @@ def test_lm_prefers_corpus_order(spark):
 
 
 def test_lm_learns_both_sides():
+    # the first of each pair follows from the one to its right, the second from the one to its left
     rng = np.random.default_rng(0)
-    seqs = [np.array([a, (a + b) % 5 + 10, b] * 20, np.uint8) for a, b in rng.integers(0, 5, (600, 2))]
+    seqs = [np.stack((k + 10, k), axis=1).reshape(-1).astype(np.uint8) for k in rng.integers(0, 5, (800, 30))]
     net = lm_score.train(lm_score.start(), seqs, rate=0.1)
     sides, centre = lm_score.windows(seqs[:50])
     z = lm_score.forward(net, sides)[2][np.arange(len(centre)), centre]
-    assert z.mean() > -1.0
+    assert z.mean() > -0.3
 
 
 def test_pipeline_stages(spark, tmp_path):
