@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bits of one bitmap of Spark's bitmap_construct_agg.
 BITMAP_BITS = 32768
+#: Spark's switch to remove a query's shuffle files when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A filter up to this size is broadcast; above it the callers shuffle instead.
 FILTER_BROADCAST_BYTES = 16 << 20
 
@@ -55,11 +57,19 @@ def _clean() -> None:
 
 
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: lineage ends there, and lost executors cost nothing."""
+    """df written as Parquet to the shared folder and read back: lineage ends there, and lost executors cost nothing.
+
+    The shuffle files that the write needed go with it; nothing reads them again.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
