@@ -9,18 +9,19 @@ whether or not the earlier one stays; so the result has no order of evaluation.
   puts rare words first. Any fixed order gives the same result.
 - Equal sets are one entry with its first place; only entries are joined.
 - Prefix: entries share one of their first n - ceil(4n/5) + 1 words if they match.
-- Filters: length, position (what may still follow the shared word) and a parity
-  signature: each word flips one of 64 bits, so the signatures of two sets differ
-  in no more bits than the sets in words.
+- Filters: length, position (what may still follow the shared word; the shorter of
+  two sets shares one of its first n - ceil(8n/9) + 1 words) and a parity signature:
+  each word flips one of 64 bits, or 256 in longer sets, so the signatures of two
+  sets differ in no more bits than the sets in words.
 - Candidates are found by a semi join on narrow rows; pairs are never emitted. An
   entry with a candidate is verified by a semi join on its rarest shared word, and
   only if that fails on all its other ones; word numbers are read again from the
-  text for just the entries that such a join holds.
+  text for just the entries that have a candidate.
 
 Defined results: lines are separated by line feeds; lines without words are never
 removed; null texts have no lines, empty texts one; rows with a null id come first
 in the order; rows equal in id and text are treated as one document and get equal
-results; rows with one id and different texts are ordered by line, then signature;
+results; rows with one id and different texts are ordered by line, then hash;
 an empty table gives an empty result; further columns are ignored.
 """
 
@@ -36,6 +37,11 @@ from .common import bit_filter, filter_bit, filter_slot, filter_slots, has_bit,
 #: Similarity as a fraction.
 NUM, DEN = 4, 5
 BUCKETS = 1 << 14
+#: Sets of more words have signatures of 256 bits, others of 64.
+LONG = 80
+#: The first place of an entry and its hash identify it.
+_ENTRY = ["doc", "line", "set_h"]
+_SIG = ["s0", "s1", "s2", "s3"]
 
 
 def _text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -63,68 +69,80 @@ def _numbers(line: Column, classes: list[int]) -> Column:
     return F.sort_array(F.transform(F.transform(words, lambda w: F.xxhash64(w)), number))
 
 
+def _parity(numbers: str, part: int | None = None) -> Column:
+    """64 bits, each word flipping the one that its low 6 bits name; with a part, only words that the next 2 bits put there."""
+    flips = ((v & 63, v >> 6) for v in range(256))
+    bits = F.from_json(F.lit(str([((1 << b) - (1 << 64 if b == 63 else 0)) * (part in (None, k)) for b, k in flips])), "array<bigint>")
+    return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(F.get(bits, x.bitwiseAND(F.lit(255)).cast("int"))))
+
+
 def _sets(texts: DataFrame, classes: list[int]) -> DataFrame:
-    """Lines with words: doc, text_h, line, identity (set_h, sig, n) and prefix (31 bits of each of its words)."""
+    """Lines with words: doc, text_h, line, identity (set_h, s0 to s3, n) and prefix (31 bits of each of its words)."""
     lines = texts.select("doc", "text_h", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     numbered = lines.select("doc", "text_h", "line", _numbers(F.col("raw"), classes).alias("numbers")).filter(F.size("numbers") > 0)
-    sig = F.aggregate("numbers", F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))))
     n = F.size("numbers")
+    sig = [F.when(n > LONG, _parity("numbers", 0)).otherwise(_parity("numbers"))] + [F.when(n > LONG, _parity("numbers", k)).otherwise(F.lit(0).cast("bigint")) for k in (1, 2, 3)]
     prefix = F.transform(F.slice("numbers", 1, n - F.floor((NUM * n + DEN - 1) / DEN).cast("int") + 1), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    return numbered.select("doc", "text_h", "line", F.xxhash64("numbers").alias("set_h"), sig.alias("sig"), n.alias("n"), prefix.alias("prefix"))
+    return numbered.select("doc", "text_h", "line", F.xxhash64("numbers").alias("set_h"), *[c.alias(name) for c, name in zip(sig, _SIG, strict=True)], n.alias("n"), prefix.alias("prefix"))
+
+
+def _earlier(x: str, y: str) -> Column:
+    """Entry y stands before entry x."""
+    return F.expr(f"{y}.doc < {x}.doc or ({y}.doc = {x}.doc and ({y}.line < {x}.line or ({y}.line = {x}.line and {y}.set_h < {x}.set_h)))")
 
 
 def _may_match(x: str, y: str) -> Column:
-    """Entry y stands earlier and passes the length, position and signature filters."""
+    """Prefix rows of two entries share their word and pass the length, position and signature filters."""
     c = lambda side, name: F.col(f"{side}.{name}")
     n, m = c(x, "n"), c(y, "n")
     alpha = F.expr(f"({NUM} * ({x}.n + {y}.n) + {NUM + DEN - 1}) div {NUM + DEN}")
-    earlier = (c(y, "doc") < c(x, "doc")) | ((c(y, "doc") == c(x, "doc")) & ((c(y, "line") < c(x, "line")) | ((c(y, "line") == c(x, "line")) & (c(y, "sig") < c(x, "sig")))))
     length = DEN * F.least(n, m) >= NUM * F.greatest(n, m)
     most = F.least(c(x, "i"), c(y, "i")) + F.least(n - c(x, "i"), m - c(y, "i"))
-    return (c(x, "word") == c(y, "word")) & earlier & length & (F.bit_count(c(x, "sig").bitwiseXOR(c(y, "sig"))) <= n + m - 2 * alpha) & (most >= alpha)
-
-
-#: The first place of an entry and its signature identify it.
-_ENTRY = ["doc", "line", "sig"]
-
-
-def _among(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
-    """Semi join that moves only the rows that pass a filter of the keys, while that is small enough."""
+    index = lambda side: F.expr(f"{side}.i <= {side}.n - ({2 * NUM} * {side}.n + {NUM + DEN - 1}) div {NUM + DEN}")
+    shorter = ((n <= m) & index(x)) | ((m <= n) & index(y))
+    differ = lambda one, other: F.bit_count(one.bitwiseXOR(other))
+    whole = lambda side: c(side, "s0").bitwiseXOR(c(side, "s1")).bitwiseXOR(c(side, "s2")).bitwiseXOR(c(side, "s3"))
+    parts = sum((differ(c(x, s), c(y, s)) for s in _SIG[1:]), differ(c(x, "s0"), c(y, "s0")))
+    flipped = F.when((n > LONG) & (m > LONG), parts).otherwise(differ(whole(x), whole(y)))
+    return (c(x, "word") == c(y, "word")) & length & shorter & (most >= alpha) & (flipped <= n + m - 2 * alpha)
+
+
+def _wide(needed: DataFrame, texts: DataFrame, classes: list[int]) -> DataFrame:
+    """Entries with their word numbers, read from the text; only lines that pass a filter move, while that is small enough."""
+    places = ["doc", "line"]
+    keys = stored(needed.select(places).distinct(), "line-needed")
+    lines = texts.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     slots = filter_slots(keys.count(), 16)
     if slots:
-        bits = bit_filter(keys.select(F.xxhash64(*columns).alias("h")), slots)
-        h = F.xxhash64(*columns)
-        rows = rows.withColumn("__slot", filter_slot(h, slots)).join(F.broadcast(bits.withColumnRenamed("slot", "__slot").withColumnRenamed("bits", "__bits")), "__slot").filter(has_bit(F.col("__bits"), filter_bit(h))).drop("__slot", "__bits")
-    return rows.join(keys, columns, "left_semi")
+        h = F.xxhash64(*places)
+        bits = bit_filter(keys.select(h.alias("h")), slots).toDF("__slot", "__bits")
+        lines = lines.withColumn("__slot", filter_slot(h, slots)).join(F.broadcast(bits), "__slot").filter(has_bit(F.col("__bits"), filter_bit(h))).drop("__slot", "__bits")
+    numbered = lines.join(keys, places).select(*places, _numbers(F.col("raw"), classes).alias("numbers"))  # a semi join would be moved below the filter
+    return numbered.select(*places, F.xxhash64("numbers").alias("set_h"), "numbers")
 
 
-def _verify(later: DataFrame, rows: DataFrame, texts: DataFrame, classes: list[int]) -> DataFrame:
+def _verify(later: DataFrame, rows: DataFrame, wide: DataFrame) -> DataFrame:
     """Those of the candidates (prefix rows) that match an earlier entry by one of their words."""
-    words = stored(later.select("word").distinct(), "line-words")
-    earlier = _among(rows, words, ["word"])
-    earlier = stored(earlier.alias("y").join(later.alias("x"), _may_match("x", "y"), "left_semi"), "line-partners")
-    needed = stored(later.select(_ENTRY).unionByName(earlier.select(_ENTRY)).distinct(), "line-needed")
-    lines = texts.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    lines = _among(lines, needed.select("doc", "line").distinct(), ["doc", "line"])
-    sig = F.aggregate("numbers", F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    wide = lines.select("doc", "line", _numbers(F.col("raw"), classes).alias("numbers")).select("*", sig.alias("sig")).dropDuplicates(_ENTRY)
-    wide = stored(wide, "line-numbers")
+    earlier = stored(rows.alias("y").join(later.alias("x"), _may_match("x", "y") & _earlier("x", "y"), "left_semi"), "line-partners")
     x, y = (part.join(wide, _ENTRY) for part in (later, earlier))
     shared = F.size(F.array_intersect("x.numbers", "y.numbers"))
     similar = (NUM + DEN) * shared >= NUM * (F.col("x.n") + F.col("y.n"))
-    return x.alias("x").join(y.alias("y"), _may_match("x", "y") & similar, "left_semi").select(_ENTRY).distinct()
+    return x.alias("x").join(y.alias("y"), _may_match("x", "y") & _earlier("x", "y") & similar, "left_semi").select(_ENTRY).distinct()
 
 
 def matched(entries: DataFrame, texts: DataFrame, classes: list[int]) -> DataFrame:
-    """(doc, line, sig) of the entries that match an earlier one; entries: doc, line, sig, n, prefix."""
-    rows = entries.select(*_ENTRY, "n", F.posexplode("prefix").alias("i", "word"))
-    later = stored(rows.alias("x").join(rows.alias("y"), _may_match("x", "y"), "left_semi"), "line-candidates")
-    first = stored(later.groupBy(*_ENTRY, "n").agg(F.min(F.struct("i", "word")).alias("at")).select(*_ENTRY, "n", "at.i", "at.word"), "line-first-words")
-    found = stored(_verify(first, rows, texts, classes), "line-matches")
+    """(doc, line, set_h) of the entries that match an earlier one; entries: doc, line, set_h, s0 to s3, n, prefix."""
+    rows = entries.select(*_ENTRY, *_SIG, "n", F.posexplode("prefix").alias("i", "word"))
+    near = stored(rows.alias("x").join(rows.alias("y"), _may_match("x", "y") & (_earlier("x", "y") | _earlier("y", "x")), "left_semi"), "line-candidates")
+    later = stored(near.alias("x").join(near.alias("y"), _may_match("x", "y") & _earlier("x", "y"), "left_semi"), "line-later")
+    wide = stored(_wide(near, texts, classes), "line-numbers")
+    first = later.groupBy(*_ENTRY, *_SIG, "n").agg(F.min(F.struct("i", "word")).alias("at"))
+    first = stored(first.select(*_ENTRY, *_SIG, "n", "at.i", "at.word"), "line-first-words")
+    found = stored(_verify(first, near, wide), "line-matches")
     rest = stored(later.join(found, _ENTRY, "left_anti").join(first, [*_ENTRY, "i"], "left_anti"), "line-rest")
     if rest.isEmpty():
         return found
-    return found.unionByName(_verify(rest, rows, texts, classes))
+    return found.unionByName(_verify(rest, near, wide))
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,10 +150,10 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = _text(docs, id_col, text_col)
     classes = rarity(texts)
     sets = stored(_sets(texts, classes), "line-sets")
-    identity = ["set_h", "sig", "n"]
+    identity = ["set_h", *_SIG, "n"]
     entries = sets.groupBy(*identity, "prefix").agg(F.min(F.struct("doc", "line")).alias("place"))
     entries = stored(entries.select("place.doc", "place.line", *identity, "prefix"), "line-entries")
-    gone = stored(matched(entries.drop("set_h"), texts, classes).withColumn("gone", F.lit(True)), "line-gone")
+    gone = stored(matched(entries, texts, classes).withColumn("gone", F.lit(True)), "line-gone")
     first = entries.drop("prefix").join(gone, _ENTRY, "left").select(*identity, F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), "gone")
     is_first = (F.col("doc") == F.col("first_doc")) & (F.col("line") == F.col("first_line"))
     removed = sets.drop("prefix").join(first, identity).filter(F.coalesce("gone", F.lit(False)) | ~is_first)
