@@ -79,7 +79,8 @@ def _parity(numbers: str, part: int | None = None) -> Column:
 def _sets(texts: DataFrame, classes: list[int]) -> DataFrame:
     """Lines with words: doc, text_h, line, identity (set_h, s0 to s3, n) and prefix (31 bits of each of its words)."""
     lines = texts.select("doc", "text_h", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    numbered = lines.select("doc", "text_h", "line", _numbers(F.col("raw"), classes).alias("numbers")).filter(F.size("numbers") > 0)
+    lines = lines.filter(F.trim("raw") != "")  # a filter on the numbers would compute them twice
+    numbered = lines.select("doc", "text_h", "line", _numbers(F.col("raw"), classes).alias("numbers"))
     n = F.size("numbers")
     sig = [F.when(n > LONG, _parity("numbers", 0)).otherwise(_parity("numbers"))] + [F.when(n > LONG, _parity("numbers", k)).otherwise(F.lit(0).cast("bigint")) for k in (1, 2, 3)]
     prefix = F.transform(F.slice("numbers", 1, n - F.floor((NUM * n + DEN - 1) / DEN).cast("int") + 1), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
