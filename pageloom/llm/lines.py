@@ -53,8 +53,8 @@ def _text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def rarity(texts: DataFrame, buckets: int = BUCKETS) -> list[int]:
-    """A class (1 to 126) for each bucket of words, by its count in blank-separated text."""
-    counted = texts.select(F.explode(F.split("text", " ")).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(buckets)).alias("b")).count()
+    """A class (1 to 126) for each bucket of words (a power of two of them), by its count in blank-separated text."""
+    counted = texts.select(F.explode(F.split("text", " ")).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(F.lit(buckets - 1)).alias("b")).count()
     classes = [1] * buckets
     for b, n in counted.collect():  # `buckets` rows at most
         classes[b] = min(126, 1 + round(5 * math.log2(n + 1)))
@@ -63,10 +63,10 @@ def rarity(texts: DataFrame, buckets: int = BUCKETS) -> list[int]:
 
 def _numbers(line: Column, classes: list[int]) -> Column:
     """Word numbers of a line, rare ones first."""
-    words = F.array_distinct(F.array_remove(F.split(line, " "), ""))
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     by_bucket = F.from_json(F.lit(str([c << 56 for c in classes])), "array<bigint>")  # folded to a constant
-    number = lambda h: F.coalesce(F.get(by_bucket, F.pmod(h, F.lit(len(classes))).cast("int")), F.lit(0).cast("bigint")) + F.shiftrightunsigned(h, 8)
-    return F.sort_array(F.transform(F.transform(words, lambda w: F.xxhash64(w)), number))
+    number = lambda h: F.coalesce(F.get(by_bucket, h.bitwiseAND(F.lit(len(classes) - 1)).cast("int")), F.lit(0).cast("bigint")).bitwiseOR(F.shiftrightunsigned(h, 8))
+    return F.sort_array(F.transform(hashes, number))
 
 
 def _parity(numbers: str, part: int | None = None) -> Column:
