@@ -27,8 +27,6 @@ an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +34,7 @@ from .common import bit_filter, filter_bit, filter_slot, filter_slots, has_bit,
 
 #: Similarity as a fraction.
 NUM, DEN = 4, 5
-BUCKETS = 1 << 14
+BUCKETS = 1 << 17
 #: Sets of more words have signatures of 256 bits, others of 64.
 LONG = 80
 #: The first place of an entry and its hash identify it.
@@ -53,19 +51,25 @@ def _text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def rarity(texts: DataFrame, buckets: int = BUCKETS) -> list[int]:
-    """A class (1 to 126) for each bucket of words (a power of two of them), by its count in blank-separated text."""
-    counted = texts.select(F.explode(F.split("text", " ")).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(F.lit(buckets - 1)).alias("b")).count()
-    classes = [1] * buckets
-    for b, n in counted.collect():  # `buckets` rows at most
-        classes[b] = min(126, 1 + round(5 * math.log2(n + 1)))
+    """A class (1 to 126) for each bucket of words (a power of two of them), by its count in blank-separated text; eight to a number."""
+    b, n = F.xxhash64("w").bitwiseAND(F.lit(buckets - 1)), F.col("count")
+    counted = texts.select(F.explode(F.split("text", " ")).alias("w")).groupBy(b.alias("b")).count()
+    grade = F.least(F.lit(126), 1 + F.round(5 * F.log2(n + 1)).cast("int")).cast("bigint")
+    shift = (F.col("b").bitwiseAND(F.lit(7)) * 8).cast("int")
+    packed = counted.groupBy(F.shiftright("b", 3).alias("k")).agg(F.sum(F.call_function("shiftleft", grade, shift)).alias("v"))
+    classes = [0] * (buckets // 8)
+    for k, v in packed.collect():  # buckets / 8 rows at most
+        classes[k] = v
     return classes
 
 
 def _numbers(line: Column, classes: list[int]) -> Column:
     """Word numbers of a line, rare ones first."""
     hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    by_bucket = F.from_json(F.lit(str([c << 56 for c in classes])), "array<bigint>")  # folded to a constant
-    number = lambda h: F.coalesce(F.get(by_bucket, h.bitwiseAND(F.lit(len(classes) - 1)).cast("int")), F.lit(0).cast("bigint")).bitwiseOR(F.shiftrightunsigned(h, 8))
+    packed = F.from_json(F.lit(str(classes)), "array<bigint>")  # folded to a constant
+    eight = lambda h: F.get(packed, F.shiftright(h, 3).bitwiseAND(F.lit(len(classes) - 1)).cast("int"))
+    grade = lambda h: F.call_function("shiftright", eight(h), (h.bitwiseAND(F.lit(7)) * 8).cast("int")).bitwiseAND(F.lit(127))
+    number = lambda h: F.coalesce(F.call_function("shiftleft", grade(h), F.lit(56)), F.lit(0).cast("bigint")).bitwiseOR(F.shiftrightunsigned(h, 8))
     return F.sort_array(F.transform(hashes, number))
 
 
