@@ -1,0 +1,157 @@
+"""Near duplicates by Jaccard similarity of word shingles, found by an exact set-similarity join.
+
+A document is the set of its shingles of WORDS words (lower case, by white space; one
+shingle if it has fewer words). Documents of similarity NUM / DEN or more are linked,
+and linked ones form components. Fingerprints of 64 bits differ in about ten bits at
+that similarity, which is too far to cover, so none are used and no link is missed.
+
+- Order: shingles are counted in BUCKETS hashed buckets; those of fuller buckets come
+  later, the rest in the order of their hashes. Any fixed order gives the same result.
+- Prefix: linked sets share one of their first n - ceil(NUM n / DEN) + 1 shingles. Of the
+  rows of these only those with a shingle in common go on, with length and position
+  filters.
+- Stars first: each row is held against the first and the last text of its shingle, so a
+  large group is mostly joined by as many pairs as it has rows. All pairs are made only
+  between texts that are in different components after that; texts that share rare
+  shingles and are still apart then cost pairs by the square.
+- Each candidate is verified on the whole sets, as 64-bit hashes.
+
+Defined results: null counts as empty, and texts without words are alike; texts are
+known by a 64-bit hash; of a component the smallest id is kept, a null one only if
+all are null, then the smallest hash; rows equal in id and text get equal results; an
+empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import as_bytes, stored
+from .simhash import components
+
+WORDS = 5
+#: Similarity as a fraction.
+NUM, DEN = 4, 5
+BUCKETS = 1 << 16
+_ROWS = 500
+
+
+def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+    """The distinct hashes of the shingles, as signed longs."""
+    parts = text.lower().split()
+    joined, digest = b" ".join(parts), xxhash.xxh64_intdigest
+    if len(parts) <= words:
+        return np.array([digest(joined)], np.uint64).view(np.int64)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-words] + 1))
+    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)).view(np.int64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)])))
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """(node, n, words) for (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                found = [shingles(t) for t in as_bytes(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in found], pa.int32()), _lists(found)], ["node", "n", "words"])
+
+    return texts.mapInArrow(run, "node bigint, n int, words array<bigint>")
+
+
+def _values(column: pa.Array) -> list[np.ndarray]:
+    flat, ends = column.flatten().to_numpy(), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))
+    return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _fullness(sets: DataFrame) -> np.ndarray:
+    """By bucket: how many times, in powers of two, it holds the mean of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy() & (BUCKETS - 1), minlength=BUCKETS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
+
+    found = sets.select("words").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
+    counts = np.zeros(BUCKETS)
+    counts[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return np.rint(2 * np.log2(np.maximum(counts / max(counts.mean(), 1), 1))).astype(np.int8)
+
+
+def _prefixes(sets: DataFrame, full: np.ndarray) -> DataFrame:
+    """(word, node, n, i) for the first shingles of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                firsts = []
+                for words in _values(part.column(2)):
+                    n = len(words)
+                    firsts.append(words[np.lexsort((words, full[words & (BUCKETS - 1)]))][: n - -(-NUM * n // DEN) + 1])
+                sizes = np.array([len(x) for x in firsts], np.int64)
+                rows = np.repeat(np.arange(len(firsts)), sizes)
+                place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                node, n = (np.asarray(part.column(c))[rows] for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), pa.array(node), pa.array(n), pa.array(place.astype(np.int32))], ["word", "node", "n", "i"])
+
+    return sets.mapInArrow(run, "word bigint, node bigint, n int, i int")
+
+
+def _may_match(x: str, y: str):
+    """Prefix rows with the same shingle pass the length and position filters."""
+    return F.expr(
+        f"{DEN} * least({x}.n, {y}.n) >= {NUM} * greatest({x}.n, {y}.n)"
+        f" and {NUM + DEN} * (least({x}.i, {y}.i) + least({x}.n - {x}.i, {y}.n - {y}.i)) >= {NUM} * ({x}.n + {y}.n)"
+    )
+
+
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets are similar."""
+    u, v = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("words").alias(f"words_{c}")) for c in "uv")
+    both = pairs.join(u, "u").join(v, "v")
+    return both.filter((NUM + DEN) * F.size(F.array_intersect("words_u", "words_v")) >= NUM * (F.col("n_u") + F.col("n_v"))).select("u", "v").distinct()
+
+
+def links(texts: DataFrame) -> DataFrame:
+    """Links (u, v) between the nodes of (node, text), enough of them to connect all that are connected."""
+    sets = stored(_sets(texts), "shingle-sets")
+    rows = _prefixes(sets, _fullness(sets))
+    ends = Window.partitionBy("word")
+    row = F.struct("node", "n", "i")
+    shared = rows.withColumn("lo", F.min(row).over(ends)).withColumn("hi", F.max(row).over(ends)).filter("lo.node <> hi.node")
+    shared = stored(shared, "shared-shingles")
+    near = [shared.select("node", f"{c}.node", F.struct("n", "i").alias("x"), F.col(c).alias("y")).toDF("u", "v", "x", "y").filter("u <> v").filter(_may_match("x", "y")) for c in ("lo", "hi")]
+    stars = near[0].unionByName(near[1]).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    found = stored(_verify(stars, sets), "star-links")
+    roots = components(found)
+    apart = shared.select("word", "node", "n", "i").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = apart.withColumn("lo", F.min("root").over(ends)).withColumn("hi", F.max("root").over(ends)).filter("lo <> hi").drop("lo", "hi")
+    apart = stored(apart, "shingles-apart")
+    pairs = apart.alias("x").join(apart.alias("y"), (F.col("x.word") == F.col("y.word")) & F.expr("x.root < y.root") & _may_match("x", "y"))
+    pairs = pairs.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
+    return found.unionByName(stored(_verify(pairs, sets), "links"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_h) of the documents to keep: of each component the one with the smallest id; text_h is xxhash64 of the text (null as empty)."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
+    roots = components(links(texts))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("node"))
+    rows = rows.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
+    return rows.agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")).select("first.id", F.col("first.node").alias("text_h"))

@@ -72,6 +72,44 @@ def test_simhash_links_lose_nothing(spark, cell_rows):
     assert [found.get(i, i) for i in range(len(fps))] == brute_components(fps)
 
 
+def brute_near(texts):
+    """Of each component of five-word Jaccard similarity 0.8, the first place."""
+    sets = []
+    for t in texts:
+        p = (t or "").encode().lower().split()
+        sets.append({tuple(p[i : i + 5]) for i in range(len(p) - 4)} or {tuple(p)})
+    label, changed = list(range(len(texts))), True
+    while changed:
+        changed = False
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if label[i] > label[j] and 5 * len(a & b) >= 4 * len(a | b):
+                    label[i], changed = label[j], True
+    return {i for i, x in enumerate(label) if i == x}
+
+
+def test_near_stage_against_brute_jaccard(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(rng.randint(3, 250))) for _ in range(40)]
+    for _ in range(110):  # chains of copies of copies, edits around the bound
+        words = rng.choice(texts).split()
+        for _ in range(rng.randint(1, 4)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [*nasty()[3:5], nasty()[5], *nasty()[8:], None, ""]
+    texts = list({t: None for t in texts})
+    kept = P.near_stage(spark, docs_of(spark, texts), DATA)
+    want = brute_near(texts)
+    assert len(want) < len(texts) - 30
+    assert {r["doc_id"] for r in kept.collect()} == want
+    assert P.near_stage(spark, kept.limit(0), DATA).count() == 0
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    assert {r["doc_id"] for r in P.near_stage(spark, docs, DATA).collect()} == {rows[i][0] for i in brute_near([t for _, t in rows])}
+
+
 def test_exact(spark):
     texts = nasty()
     rows = docs_of(spark, texts).unionByName(docs_of(spark, ["x", "x", "x"], [None, 90, 90]))
