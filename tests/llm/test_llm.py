@@ -327,3 +327,22 @@ def test_pipeline_stages(spark, tmp_path):
             assert kept.count() == before.count()
     out = P.STAGES[-1][1](spark, kept, DATA)
     assert out.count() == kept.count() and out.filter("NOT lossless").count() == 0
+
+
+def test_pipeline_result_follows_the_mix(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as P
+
+    sizes = {"a": 3600, "b": 1600, "c": 400}
+    rows = [(i, f"text {i} " * (1 + i * 7 % 50), "en", s, None, "x", 1) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    spark.createDataFrame(rows, DOCS).repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(P, "STAGES", P.STAGES[-2:])
+    got = P.run(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) == len({r["position"] for r in got})
+    weights = mixing.tempered({f"={s}": n for s, n in sizes.items()})
+    done = dict.fromkeys(sizes, 0)
+    for t, r in enumerate(got, 1):
+        done[r["source"]] += 1
+        if t % mixing.BLOCK_ROWS == 0 and t <= 1600:  # the first frame of 100 blocks
+            assert all(abs(done[s] - t * weights[f"={s}"] / sum(weights.values())) <= mixing.BLOCK_ROWS for s in sizes), t
+    again = {r["doc_id"]: r["position"] for r in P.pieces_stage(spark, spark.createDataFrame(rows, DOCS).repartition(3), str(tmp_path)).collect()}
+    assert again == {r["doc_id"]: r["position"] for r in got}
