@@ -340,12 +340,14 @@ def translate_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
             at = len(tokens) - 1
             logits[source[at] if at < len(source) else 2] = 5.0
             logits[3 + (tokens[-1] * 5 + at) % 9] += 1.0
+            if at < len(source):
+                logits[2] = -5.0  # as one of many equals, the end would fill the finished beams after a word
             return logits
 
         def run(texts: list[str]) -> list[str | None]:
             out = []
             for t in texts:
-                ids = [3 + len(w) % 9 for w in t.split()][:12]
+                ids = [3 + len(w) % 9 for w in t.split()]
                 out.append(" ".join(map(str, translate.beam_search(ids, step, start=1, end=2, pad=0))) if len(ids) > 1 else None)
             return out
 

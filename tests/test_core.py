@@ -227,3 +227,16 @@ def test_config_and_decoding(spark, tmp_path):
     assert [t["id"] for t in one(spark, D.top_k(F.array(*[F.lit(x) for x in (1.0, 3.0, 3.0, 2.0)]), 3))] == [1, 2, 3]
     assert one(spark, D.stripped(F.array(*[F.lit(x) for x in (9, 4, 2, 5, 2)]), 2)) == [4, 5]
     assert one(spark, T.unframed_ids(F.array(*[F.lit(x) for x in (7, 5, 0, 3)]), 7)) == [4, 2]
+
+
+def test_translate_dialogue_reaches_the_end_of_sentences(spark):
+    from pageloom import queries
+
+    rows = queries.QUERIES["translate_dialogue"](spark, "/root/testdata/sf0.001").withColumn("sentences", T.sentences(F.col("text_src"))).collect()
+    whole = 0
+    for r in rows:
+        coded = [[str(3 + len(w) % 9) for w in s.split()] for s in r["sentences"] or []]
+        if r["text_dst"] is not None and all(len(c) > 1 for c in coded):
+            assert r["text_dst"].split() == [x for c in coded for x in c]
+            whole += max(map(len, coded)) > 12
+    assert whole > 5
