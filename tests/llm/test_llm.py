@@ -346,3 +346,26 @@ def test_pipeline_result_follows_the_mix(spark, tmp_path, monkeypatch):
             assert all(abs(done[s] - t * weights[f"={s}"] / sum(weights.values())) <= mixing.BLOCK_ROWS for s in sizes), t
     again = {r["doc_id"]: r["position"] for r in P.pieces_stage(spark, spark.createDataFrame(rows, DOCS).repartition(3), str(tmp_path)).collect()}
     assert again == {r["doc_id"]: r["position"] for r in got}
+
+
+def test_lm_hears_the_order_of_content_words(spark):
+    # 3000 equally frequent words in 20 topics; the topic changes every 30 words
+    rng = np.random.default_rng(4)
+
+    def made():
+        return [f"t{t}x{rng.integers(150)}y" for t in rng.permutation(20)[:10] for _ in range(30)]
+
+    held = [made() for _ in range(20)]
+    texts = [" ".join(made()) for _ in range(1500)] + [" ".join(w) for w in held] + [" ".join(rng.permutation(w)) for w in held]
+    got = {r["id"]: r["log_likelihood"] for r in lm_score.score(docs_of(spark, texts)).collect()}
+    better = [got[1500 + i] - got[1520 + i] for i in range(20)]
+    assert np.mean(better) > 100 and min(better) > 0
+
+
+def test_lm_vocabulary_follows_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "MIN_WORDS", 2)
+    monkeypatch.setattr(lm_score, "WORDS_ROOT", 0)
+    # both rare words share a leaf and stand alone: their scores differ by their own counts, not by pooled ones
+    texts = ["a a a b b"] * 30 + ["rare1zq"] + ["rare2zq"] * 3
+    got = {r["id"]: r["log_likelihood"] for r in lm_score.score(docs_of(spark, texts)).collect()}
+    assert got[31] - got[30] == pytest.approx(np.log(3), abs=1e-3)
