@@ -369,3 +369,11 @@ def test_lm_vocabulary_follows_the_corpus(spark, monkeypatch):
     texts = ["a a a b b"] * 30 + ["rare1zq"] + ["rare2zq"] * 3
     got = {r["id"]: r["log_likelihood"] for r in lm_score.score(docs_of(spark, texts)).collect()}
     assert got[31] - got[30] == pytest.approx(np.log(3), abs=1e-3)
+
+
+@pytest.mark.parametrize("shard_tokens", [10, 1000])
+def test_lm_trains_twice_at_every_size(spark, monkeypatch, shard_tokens):
+    passes, trained = [], lm_score._trained
+    monkeypatch.setattr(lm_score, "_trained", lambda shards, net: passes.append(1) or trained(shards, net))
+    assert lm_score.score(docs_of(spark, ["a b c d e"] * 6), shard_tokens=shard_tokens).count() == 6
+    assert len(passes) == 2
