@@ -98,7 +98,7 @@ def gumbel(key: bytes, seed: int = SEED) -> float:
 
 
 def _score(docs: DataFrame, id_col: str, text_col: str, ratio: np.ndarray, sharpness: float, seed: int, name: str) -> DataFrame:
-    """(id, importance, score), written."""
+    """(id, importance, score, text_h), written; text_h is xxhash64 of the text (null as empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,10 +109,10 @@ def _score(docs: DataFrame, id_col: str, text_col: str, ratio: np.ndarray, sharp
                 mean = sharpness * float(counts @ ratio) / (n + PRIOR) if n else -np.inf
                 weight.append(mean)
                 score.append(mean + gumbel(text if key is None else str(key).encode(), seed))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(weight, pa.float64()), pa.array(score, pa.float64())], ["id", "importance", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(weight, pa.float64()), pa.array(score, pa.float64()), batch.column(2)], ["id", "importance", "score", "text_h"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return stored(rows.mapInArrow(run, "id bigint, importance double, score double"), name)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_h"))
+    return stored(rows.mapInArrow(run, "id bigint, importance double, score double, text_h bigint"), name)
 
 
 def best_cut(good: np.ndarray, bad: np.ndarray, care: float = CARE) -> float:
@@ -157,8 +157,8 @@ def kth_score(scored: DataFrame, k: int) -> tuple[float, int | None] | None:
     return None
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", k: int | None = None, target_docs: int = TARGET_DOCS, sharpness: float = SHARPNESS, seed: int = SEED) -> DataFrame:
-    """One row per document: id, importance, score (with Gumbel noise), selected."""
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", k: int | None = None, target_docs: int = TARGET_DOCS, sharpness: float = SHARPNESS, seed: int = SEED, with_hash: bool = False) -> DataFrame:
+    """One row per document: id, importance, score (with Gumbel noise), selected; and text_h with_hash."""
     judged = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("label")).dropna().groupBy("id").agg(F.min("label").alias("label"))
     order = F.xxhash64(F.lit(seed), F.col("id"))
     picked = [judged.filter(c).orderBy(order, "id").limit(target_docs).collect() for c in ("label = 1", "label <> 1")]  # bounded by target_docs
@@ -189,4 +189,5 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         score, last = found
         tie = F.lit(True) if last is None else F.coalesce(F.col("id") >= last, F.lit(False))
         chosen = (F.col("score") > score) | ((F.col("score") == score) & tie)
-    return scored.withColumn("selected", chosen & (F.col("score") > float("-inf")))
+    found = scored.withColumn("selected", chosen & (F.col("score") > float("-inf")))
+    return found if with_hash else found.drop("text_h")

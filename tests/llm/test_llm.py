@@ -377,3 +377,18 @@ def test_lm_trains_twice_at_every_size(spark, monkeypatch, shard_tokens):
     monkeypatch.setattr(lm_score, "_trained", lambda shards, net: passes.append(1) or trained(shards, net))
     assert lm_score.score(docs_of(spark, ["a b c d e"] * 6), shard_tokens=shard_tokens).count() == 6
     assert len(passes) == 2
+
+
+def test_pipeline_stages_decide_by_id_and_text(spark):
+    import corpus_pipeline as P
+
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = docs_of(spark, ["lone", "lone", "both", "both", "first", "second", long, long + " end"], [None, None, None, 7, 8, 8, None, None])
+    kept = sorted(((r["doc_id"], r["text"]) for r in P.exact_stage(spark, rows, DATA).collect()), key=str)
+    assert kept == sorted([(None, "lone"), (7, "both"), (8, "first"), (8, "second"), (None, long), (None, long + " end")], key=str)
+    kept = [(r["doc_id"], r["text"]) for r in P.near_stage(spark, rows.filter("text <> 'lone' and text <> 'both'"), DATA).collect()]
+    assert len(kept) == 3 and {(8, "first"), (8, "second")} < set(kept)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    more = docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType))).unionByName(docs.withColumn("text", F.lit(None).cast("string")))
+    kept = P.quality_stage(spark, more, DATA)
+    assert kept.filter("text IS NULL").count() == 0 and kept.filter("doc_id IS NULL").count() > 0
