@@ -14,7 +14,7 @@ that similarity, which is too far to cover, so none are used and no link is miss
   large group is mostly joined by as many pairs as it has rows. All pairs are made only
   between texts that are in different components after that; texts that share rare
   shingles and are still apart then cost pairs by the square.
-- Each candidate is verified on the whole sets, as 64-bit hashes.
+- Candidates pass a parity signature, then are verified on the whole sets, as 64-bit hashes.
 
 Defined results: null counts as empty, and texts without words are alike; texts are
 known by a 64-bit hash; of a component the smallest id is kept, a null one only if
@@ -32,13 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, stored
+from .common import as_bytes, bit_filter, filter_bit, filter_slot, filter_slots, has_bit, stored
 from .simhash import components
 
 WORDS = 5
 #: Similarity as a fraction.
 NUM, DEN = 4, 5
 BUCKETS = 1 << 16
+#: Bits of a set's signature.
+SIGNATURE = 512
 _ROWS = 500
 
 
@@ -59,16 +61,17 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """(node, n, words) for (node, text)."""
+    """(node, n, words, sig) for (node, text); each shingle flips one bit of sig."""
+    sig = lambda x: np.packbits((np.bincount(x & (SIGNATURE - 1), minlength=SIGNATURE) & 1).astype(np.uint8)).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
                 found = [shingles(t) for t in as_bytes(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in found], pa.int32()), _lists(found)], ["node", "n", "words"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in found], pa.int32()), _lists(found), _lists([sig(x) for x in found])], ["node", "n", "words", "sig"])
 
-    return texts.mapInArrow(run, "node bigint, n int, words array<bigint>")
+    return texts.mapInArrow(run, "node bigint, n int, words array<bigint>, sig array<bigint>")
 
 
 def _values(column: pa.Array) -> list[np.ndarray]:
@@ -121,7 +124,22 @@ def _may_match(x: str, y: str):
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are similar."""
+    """The pairs (u, v) whose sets are similar.
+
+    Similar sets differ in (n + m) / 9 shingles at most, so in no more bits of their
+    signatures. Of the rest, only sets that pass a filter of their nodes move, while that
+    is small enough.
+    """
+    u, v = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")) for c in "uv")
+    differ = F.aggregate(F.zip_with("sig_u", "sig_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, x: acc + x)
+    pairs = pairs.join(u, "u").join(v, "v").filter((NUM + DEN) * differ <= (DEN - NUM) * (F.col("n_u") + F.col("n_v"))).select("u", "v").distinct()
+    pairs = stored(pairs, "pairs")
+    nodes = stored(pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct(), "near-nodes")
+    slots = filter_slots(nodes.count(), 16)
+    if slots:
+        h = F.col("node")
+        bits = bit_filter(nodes, slots).toDF("__slot", "__bits")
+        sets = sets.withColumn("__slot", filter_slot(h, slots)).join(F.broadcast(bits), "__slot").filter(has_bit(F.col("__bits"), filter_bit(h))).drop("__slot", "__bits")
     u, v = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("words").alias(f"words_{c}")) for c in "uv")
     both = pairs.join(u, "u").join(v, "v")
     return both.filter((NUM + DEN) * F.size(F.array_intersect("words_u", "words_v")) >= NUM * (F.col("n_u") + F.col("n_v"))).select("u", "v").distinct()
@@ -136,7 +154,7 @@ def links(texts: DataFrame) -> DataFrame:
     shared = rows.withColumn("lo", F.min(row).over(ends)).withColumn("hi", F.max(row).over(ends)).filter("lo.node <> hi.node")
     shared = stored(shared, "shared-shingles")
     near = [shared.select("node", f"{c}.node", F.struct("n", "i").alias("x"), F.col(c).alias("y")).toDF("u", "v", "x", "y").filter("u <> v").filter(_may_match("x", "y")) for c in ("lo", "hi")]
-    stars = near[0].unionByName(near[1]).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    stars = stored(near[0].unionByName(near[1]).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "stars")
     found = stored(_verify(stars, sets), "star-links")
     roots = components(found)
     apart = shared.select("word", "node", "n", "i").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
