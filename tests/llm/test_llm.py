@@ -251,6 +251,49 @@ def test_pieces_are_sampled_by_weight():
     assert abs(got - p[3] / (p[3] + p[1] * p[2])) < 0.015
 
 
+def all_ways(text, ids):
+    """Each way to write text in pieces, with its weight's logarithm."""
+    if not text:
+        return [((), 0.0)]
+    return [((i, *rest), w + v) for p, (i, v) in ids.items() if text.startswith(p) for rest, w in all_ways(text[len(p) :], ids)]
+
+
+@pytest.mark.parametrize("text", ["ab aba", "a  ba\nab", " bab", "abaababa"])
+def test_pieces_against_all_ways(text):
+    # over the whole text, spaces included: nothing is lost by cutting it into words
+    names = ["▁", "a", "b", "ab", "▁a", "ba", "aba", "▁▁", "▁ab", "\n"]
+    s = pieces.Sampler([("<unk>", 2), *[(p, 0) for p in names]], theta=1.0)
+    ways = all_ways(text.replace(" ", "▁"), {p: (i, s.log_p[i]) for i, p in enumerate(names, 1)})
+    p = np.exp([w for _, w in ways])
+    n = 30_000
+    drawn = {}
+    for x in s.encode([text] * n, list(range(n))):
+        drawn[tuple(x.tolist())] = drawn.get(tuple(x.tolist()), 0) + 1
+    assert set(drawn) <= {k for k, _ in ways} and len(ways) > 4
+    assert sum(abs(drawn.get(k, 0) / n - q) for (k, _), q in zip(ways, p / p.sum(), strict=True)) < 0.05
+
+
+def test_pieces_cross_any_place_of_a_long_word(monkeypatch):
+    monkeypatch.setattr(pieces, "BLOCK", 100)
+    s = pieces.Sampler([("<unk>", 2), ("a", 0), ("aa", 0)], theta=1.0)
+    n = 3000
+    ends = np.zeros(301)
+    for x in s.encode(["a" * 300] * n, list(range(n))):
+        ends[np.cumsum(x)] += 1  # the id is the piece's length
+    assert ends[300] == n and np.ptp(ends[20:280] / n) < 0.07
+    whole = s.encode(["aa a aaa " * 60, "a"], [5, 6])
+    monkeypatch.setattr(pieces, "BLOCK", 400_000)
+    assert [x.tolist() for x in whole] == [x.tolist() for x in s.encode(["aa a aaa " * 60, "a"], [5, 6])]
+
+
+def test_pieces_of_odd_bytes(spark):
+    rows = spark.sql("select cast(X'61FF62EDA08063' as string) as text, cast(null as bigint) as doc_id, 'x' as ids_ union all select '', 1, 'y' union all select cast(null as string), null, 'z'")
+    back = pieces.decode(pieces.encode(rows, keep=("ids_",)), keep=("ids_",)).select("ids_", F.hex(F.col("text").cast("binary")).alias("h")).collect()
+    assert {r["ids_"]: r["h"] for r in back} == {"x": "61FF62EDA08063", "y": "", "z": ""}
+    odd = spark.createDataFrame([([1, -5, 99999, 2],), (None,)], "ids array<int>")
+    assert sorted(r["n_pieces"] for r in pieces.decode(odd).collect()) == [0, 2]
+
+
 def test_quality_separates_and_counts(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     got = quality.resample(docs, labels)
