@@ -258,7 +258,7 @@ def all_ways(text, ids):
     return [((i, *rest), w + v) for p, (i, v) in ids.items() if text.startswith(p) for rest, w in all_ways(text[len(p) :], ids)]
 
 
-@pytest.mark.parametrize("text", ["ab aba", "a  ba\nab", " bab", "abaababa"])
+@pytest.mark.parametrize("text", ["ab aba", "a  ba\nab", " babab", "abaababa"])
 def test_pieces_against_all_ways(text):
     # over the whole text, spaces included: nothing is lost by cutting it into words
     names = ["▁", "a", "b", "ab", "▁a", "ba", "aba", "▁▁", "▁ab", "\n"]
