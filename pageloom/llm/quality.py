@@ -4,12 +4,12 @@ Two generative models are counted over hashed n-grams (of bytes, and pairs of
 neighbouring words as equal or not, which byte n-grams can't see): one of the target (a
 bounded sample of labelled good documents: TARGET_DOCS, by hash of the id), one of
 the raw text (all documents). A document's importance is the mean log ratio of the
-two over its n-grams, times SHARPNESS; the mean keeps long documents from ruling,
-and PRIOR n-grams without evidence keep very short ones near zero.
-Gumbel noise seeded by the document's id is added and the k highest stay. By
-default k is the number of documents whose importance reaches the cut that best
-tells apart the labels of the bounded sample (a lost good document weighs CARE
-times a kept bad one), so k follows the input.
+two over its n-grams, times SHARPNESS (an inverse temperature: so many n-grams count
+as independent evidence); the mean keeps long documents from ruling, and PRIOR n-grams
+without evidence keep very short ones near zero. Gumbel noise seeded by the document's
+id is added and the k highest stay: a sample without replacement in proportion to
+exp(importance). By default k is the share of good ones among all labelled documents, of
+the documents with n-grams.
 
 The k-th score is found by a radix search over counts, never by sorting all
 documents in one place. Rows are scored in one pass over the text after one pass
@@ -19,34 +19,36 @@ Defined results: null and empty texts (no n-grams) have importance minus infinit
 and are never selected; equal scores are told apart by id, then all rows equal in
 both stay together; rows with a null id draw the noise of their text alone; an
 empty table gives an empty result; without labels of both kinds all texts with
-n-grams are selected; repeated labels of an id count once (the worst one).
+n-grams are selected; repeated labels of an id count once (the worst one); rows equal in
+id and text get equal scores; texts of any length are read whole, in blocks; further
+columns may have any name and are ignored, or returned by selected_rows().
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_bytes, stored
 
 BUCKETS = 1 << 14
 SIZES = (2, 3, 4)
-#: Labelled documents used: for the target's model and for the cut.
+#: Labelled documents used for the target's model.
 TARGET_DOCS = 6000
-SHARPNESS = 2000.0
+SHARPNESS = 60.0
 SEED = 11
 SMOOTHING = 0.5
 #: A pair of words counts as so many n-grams.
 PAIR_WEIGHT = 4
 PRIOR = 400
-#: How much worse it is to lose a good document than to keep a bad one, for the cut.
-CARE = 20.0
 _BLOCK = 1 << 16
 
 
@@ -80,7 +82,7 @@ def _count(docs: DataFrame, text_col: str) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     found = rows.toPandas()  # BUCKETS rows at most
     counts = np.zeros(BUCKETS)
     counts[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
@@ -97,32 +99,29 @@ def gumbel(key: bytes, seed: int = SEED) -> float:
     return float(-np.log(-np.log(min(u, 1 - 1e-16))))
 
 
-def _score(docs: DataFrame, id_col: str, text_col: str, ratio: np.ndarray, sharpness: float, seed: int, name: str) -> DataFrame:
-    """(id, importance, score, text_h), written; text_h is xxhash64 of the text (null as empty)."""
+def _score(docs: DataFrame, id_col: str, text_col: str, ratio: np.ndarray, sharpness: float, seed: int, name: str, carry: bool = False) -> DataFrame:
+    """(id, importance, score), written; carry: and all columns of docs, as c0, c1, ..."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            weight, score = [], []
-            for key, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                counts = grams(text)
-                n = int(counts.sum())
-                mean = sharpness * float(counts @ ratio) / (n + PRIOR) if n else -np.inf
-                weight.append(mean)
-                score.append(mean + gumbel(text if key is None else str(key).encode(), seed))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(weight, pa.float64()), pa.array(score, pa.float64()), batch.column(2)], ["id", "importance", "score", "text_h"])
-
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_h"))
-    return stored(rows.mapInArrow(run, "id bigint, importance double, score double, text_h bigint"), name)
-
-
-def best_cut(good: np.ndarray, bad: np.ndarray, care: float = CARE) -> float:
-    """The cut with the highest accuracy, good documents weighing `care` times as much; midway between two values."""
-    values = np.unique(np.concatenate((good, bad)))
-    middles = np.concatenate(([values[0] - 1], (values[1:] + values[:-1]) / 2))
-    good, bad = np.sort(good), np.sort(bad)
-    kept = 1 - np.searchsorted(good, middles) / len(good)
-    gone = np.searchsorted(bad, middles) / len(bad)
-    return float(middles[np.argmax(care * kept + gone)])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                weight, score = [], []
+                for key, text in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), strict=True):
+                    counts = grams(text)
+                    n = int(counts.sum())
+                    mean = sharpness * float(counts @ ratio) / (n + PRIOR) if n else -np.inf
+                    weight.append(mean)
+                    score.append(mean + gumbel(text if key is None else str(key).encode(), seed))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(weight, pa.float64()), pa.array(score, pa.float64()), *part.columns[1 if carry else 2 :]], names)
+
+    # the text goes to Python once: where it is carried, it is read from its own column
+    text = F.col(f"`{text_col}`").cast("string").alias("text")
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col] if carry else []
+    picked = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), text, *others)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("importance", T.DoubleType()), T.StructField("score", T.DoubleType()), *(picked.schema.fields[1:] if carry else [])])
+    names = schema.names
+    return stored(picked.mapInArrow(run, schema), name)
 
 
 def kth_score(scored: DataFrame, k: int) -> tuple[float, int | None] | None:
@@ -157,37 +156,43 @@ def kth_score(scored: DataFrame, k: int) -> tuple[float, int | None] | None:
     return None
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", k: int | None = None, target_docs: int = TARGET_DOCS, sharpness: float = SHARPNESS, seed: int = SEED, with_hash: bool = False) -> DataFrame:
-    """One row per document: id, importance, score (with Gumbel noise), selected; and text_h with_hash."""
+def _models(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, target_docs: int, seed: int) -> tuple[np.ndarray, float | None]:
+    """The log ratio of the target's and the raw model, and the share of good labels (None without labels of both kinds)."""
     judged = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("label")).dropna().groupBy("id").agg(F.min("label").alias("label"))
+    n, n_good = judged.agg(F.count("*"), F.coalesce(F.sum((F.col("label") == 1).cast("int")), F.lit(0))).first()
+    raw = _count(docs, text_col)
+    if not 0 < n_good < n:
+        return log_ratio(raw, raw), None
     order = F.xxhash64(F.lit(seed), F.col("id"))
-    picked = [judged.filter(c).orderBy(order, "id").limit(target_docs).collect() for c in ("label = 1", "label <> 1")]  # bounded by target_docs
-    good, bad = ([r[0] for r in p] for p in picked)
-    spark = docs.sparkSession
+    listed = judged.filter("label = 1").orderBy(order, "id").limit(target_docs).select(F.col("id").alias("__quality_id"))
+    target = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("__quality_id"), F.col(f"`{text_col}`").alias(text_col)).join(F.broadcast(listed), "__quality_id", "left_semi")  # target_docs rows at most
+    return log_ratio(_count(target, text_col), raw), n_good / n
 
-    def of(ids: list[int]) -> DataFrame:
-        # half of the good ones make the model, the other half and the bad ones the cut
-        listed = spark.createDataFrame([(i,) for i in ids], "__quality_id bigint")
-        return docs.join(F.broadcast(listed), F.col(id_col).cast("bigint") == F.col("__quality_id"), "left_semi")
 
-    model, check = good[::2], good[1::2]
-    raw = _count(docs, text_col)
-    target = _count(of(model), text_col) if model else raw
-    scored = _score(docs, id_col, text_col, log_ratio(target, raw), sharpness, seed, "importance")
+def _chosen(scored: DataFrame, share: float | None, k: int | None) -> Column:
+    """Whether a row of scored is among the k highest."""
     if k is None:
-        cut = -np.inf
-        if check and bad:
-            known = {r[0]: r[1] for r in scored.join(F.broadcast(spark.createDataFrame([(i,) for i in check + bad], "id bigint")), "id", "left_semi").select("id", "importance").collect()}
-            values = [np.array([known[i] for i in ids if np.isfinite(known.get(i, -np.inf))]) for ids in (check, bad)]
-            if len(values[0]) and len(values[1]):
-                cut = best_cut(*values)
-        k = scored.filter((F.col("importance") >= float(cut)) & (F.col("importance") > float("-inf"))).count()
+        some = scored.filter("importance > double('-Infinity')").count()
+        k = some if share is None else min(some, math.ceil(some * share))
     found = kth_score(scored, k)
+    some = F.col("score") > float("-inf")
     if found is None:
-        chosen = F.col("score") > float("-inf")
-    else:
-        score, last = found
-        tie = F.lit(True) if last is None else F.coalesce(F.col("id") >= last, F.lit(False))
-        chosen = (F.col("score") > score) | ((F.col("score") == score) & tie)
-    found = scored.withColumn("selected", chosen & (F.col("score") > float("-inf")))
-    return found if with_hash else found.drop("text_h")
+        return some
+    score, last = found
+    tie = F.lit(True) if last is None else F.coalesce(F.col("id") >= last, F.lit(False))
+    return ((F.col("score") > score) | ((F.col("score") == score) & tie)) & some
+
+
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", k: int | None = None, target_docs: int = TARGET_DOCS, sharpness: float = SHARPNESS, seed: int = SEED) -> DataFrame:
+    """One row per document: id, importance, score (with Gumbel noise), selected."""
+    ratio, share = _models(docs, labels, id_col, text_col, label_col, target_docs, seed)
+    scored = _score(docs, id_col, text_col, ratio, sharpness, seed, "importance")
+    return scored.withColumn("selected", _chosen(scored, share, k))
+
+
+def selected_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", k: int | None = None, target_docs: int = TARGET_DOCS, sharpness: float = SHARPNESS, seed: int = SEED) -> DataFrame:
+    """The rows of docs that resample() selects, with all their columns; they are written with their scores, so texts aren't shuffled."""
+    ratio, share = _models(docs, labels, id_col, text_col, label_col, target_docs, seed)
+    scored = _score(docs, id_col, text_col, ratio, sharpness, seed, "importance-rows", carry=True)
+    back = [F.col("text").cast(docs.schema[c].dataType).alias(c) if c == text_col else F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return scored.filter(_chosen(scored, share, k)).select(*back)

@@ -11,16 +11,28 @@ threshold, 1 + 1 = 2. If x and y differ in one bit of the segment, y reaches x's
 home; so comparing, per anchor, those at home with all that reached it finds
 every link, without a probability of missing one.
 
+Of two homes it is enough to reach the one with the larger number, so only those
+are probed.
+
 Equal fingerprints are one class from the start, so copies cost nothing. Per
 anchor only a spanning forest of the links is emitted, never all pairs. An anchor
 with more rows than CELL_ROWS is split into a grid of cells (homes by probes),
 which still brings each pair together once and bounds a task's memory. Classes
 are joined by alternating large-star and small-star steps over written tables.
 
+near_duplicates() links by the 64 bits of one fingerprint. similar_texts() links by
+Jaccard similarity of shingle sets, 0.8 by default: at that similarity fingerprints
+differ in about ten bits, so it takes TABLES fingerprints, meets texts that differ in
+one bit at most on a segment of any and in REACH bits at most of that fingerprint,
+emits for each anchor the forest of the shortest links, and verifies them on the
+whole sets. A pair of similarity 0.8 meets on a segment with probability 0.15, so
+with probability 0.94 somewhere, one of 0.85 with 0.99; the links it makes are exact.
+
 Defined results: a null text counts as empty, an empty one has fingerprint 0 and
-links like any other; rows with a null id get a fingerprint and the component of
+links like any other (all texts without words are alike for similar_texts); texts of
+any length are read whole; rows with a null id get a fingerprint and the component of
 their class if another row of it has an id, else null; repeated rows are copies;
-an empty table gives an empty result; further columns are ignored.
+an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, stored
+from .common import as_bytes, bit_filter, filter_bit, filter_slot, filter_slots, has_bit, stored
 
 WORDS = 4
 SEED = 42
@@ -42,8 +54,34 @@ DISTANCE = 4
 SEGMENTS = ((0, 6), (21, 6), (42, 7))
 #: Rows of an anchor that one task compares.
 CELL_ROWS = 1 << 16
+#: An anchor's rows have their homes at so many anchors at most: within distance 3 on the code, or one free bit off.
+_AROUND = 36 + 7
 _HASHES = 1 << 16
 _PAIRS = 1 << 21
+#: For similar_texts(): words of a shingle, similarity as a fraction, fingerprints, differing bits of a fingerprint.
+SET_WORDS, NUM, DEN = 5, 4, 5
+TABLES, REACH = 6, 14
+#: Hashes of words that a task remembers.
+_KNOWN = 200_000
+
+
+def _lanes() -> np.ndarray:
+    """For each byte, its bits as the bytes of a number."""
+    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+    return bits.reshape(256, 8).copy().view("<u8").reshape(256)
+
+
+_LANES = _lanes()
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit numbers have each bit."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 255 * 64):
+        lanes = _LANES[hashes[at : at + 255 * 64].astype("<u8").view(np.uint8).reshape(-1, 8)]
+        for k in range(0, len(lanes), 255):  # 255 ones fit a byte
+            counts += lanes[k : k + 255].sum(axis=0).view(np.uint8)
+    return counts
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -60,8 +98,7 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, n, _HASHES):
         spans = zip(starts[at : at + _HASHES].tolist(), ends[at + words - 1 : at + words - 1 + _HASHES].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], seed) for a, b in spans], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += bit_counts(np.array([digest(joined[a:b], seed) for a, b in spans], "<u8"))
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
@@ -80,55 +117,81 @@ def pc_long(column: pa.Array) -> pa.Array:
     return column.cast(pa.int64())
 
 
-def _near_codewords() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each 15-bit value: the nearest codeword, all within distance 2 (padded with -1), and how many."""
+def _near_codewords() -> tuple[np.ndarray, np.ndarray]:
+    """For each 15-bit value: the nearest codeword, and all others within distance 2 (padded with -1)."""
     values = np.arange(1 << 15)
     syndrome = np.zeros(1 << 15, np.int64)
     for bit in range(15):
         syndrome ^= np.where(values >> bit & 1, bit + 1, 0)
     flip = np.concatenate(([0], 1 << np.arange(15)))  # by syndrome
     nearest = values ^ flip[syndrome]
-    near = np.full((1 << 15, 8), -1)
-    near[:, 0] = nearest
-    slot = np.ones(1 << 15, np.int64)
+    near = np.full((1 << 15, 7), -1)
+    slot = np.zeros(1 << 15, np.int64)
     for a in range(1, 16):
         for b in range(a + 1, 16):
             rows = np.flatnonzero(syndrome == a ^ b)
             near[rows, slot[rows]] = rows ^ flip[a] ^ flip[b]
             slot[rows] += 1
-    return nearest, near, slot
+    return nearest, near
+
+
+_NEAREST, _NEAR = _near_codewords()
+
+
+def home_anchors(fps: np.ndarray) -> list[np.ndarray]:
+    """By segment: the anchor keys at which the unsigned fingerprints are at home."""
+    out = []
+    for number, (first, free) in enumerate(SEGMENTS):
+        segment = (fps >> np.uint64(first) & np.uint64((1 << 15 + free) - 1)).astype(np.int64)
+        out.append(number << 40 | segment >> 15 << 15 | _NEAREST[segment & 0x7FFF])
+    return out
 
 
 def anchor_rows(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For unsigned fingerprints: anchor keys, the index of the fingerprint, whether it is at home there."""
-    nearest, near, _ = _near_codewords()
+    """For unsigned fingerprints: anchor keys, the index of the fingerprint, whether it is at home there; other anchors only if larger than the home."""
     keys, index, home = [], [], []
-    for number, (first, free) in enumerate(SEGMENTS):
+    every = np.arange(len(fps))
+    for number, ((first, free), own) in enumerate(zip(SEGMENTS, home_anchors(fps), strict=True)):
         segment = (fps >> np.uint64(first) & np.uint64((1 << 15 + free) - 1)).astype(np.int64)
-        code, rest, base = segment & 0x7FFF, segment >> 15, number << 40
-        around = near[code]
+        keys.append(own)
+        index.append(every)
+        home.append(np.ones(len(fps), bool))
+        around = _NEAR[segment & 0x7FFF]
         row, place = np.nonzero(around >= 0)
-        keys.append(base | rest[row] << 15 | around[row, place])
-        index.append(row)
-        home.append(place == 0)
-        for bit in range(free):  # one free bit off leaves a distance of 1 for the code
-            keys.append(base | (rest ^ 1 << bit) << 15 | nearest[code])
-            index.append(np.arange(len(fps)))
-            home.append(np.zeros(len(fps), bool))
+        reached = [(number << 40 | segment[row] >> 15 << 15 | around[row, place], row)]
+        reached += [(own ^ (1 << bit + 15), every) for bit in range(free)]  # one free bit off leaves a distance of 1 for the code
+        for key, row in reached:
+            larger = key > own[row]
+            keys.append(key[larger])
+            index.append(row[larger])
+            home.append(np.zeros(int(larger.sum()), bool))
     return np.concatenate(keys), np.concatenate(index), np.concatenate(home)
 
 
 def _anchors(classes: DataFrame) -> DataFrame:
-    """(key, fp, rep, home) for each anchor within reach of each class."""
+    """(key, fp, rep, home) for each anchor within reach of each class (fp, rep, part); parts have anchors of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                fp, rep, part = (np.asarray(batch.column(i)[at : at + 8192]) for i in range(3))
+                keys, index, home = anchor_rows(fp.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(part[index] << 44 | keys), pa.array(fp[index]), pa.array(rep[index]), pa.array(home)], ["key", "fp", "rep", "home"])
+
+    return classes.select("fp", "rep", "part").mapInArrow(run, "key bigint, fp bigint, rep bigint, home boolean")
+
+
+def _fullest_home(classes: DataFrame) -> int:
+    """The most classes that are at home at one anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, rep = (np.asarray(batch.column(i)) for i in (0, 1))
-            for at in range(0, len(fp), 8192):
-                keys, index, home = anchor_rows(fp[at : at + 8192].view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[at : at + 8192][index]), pa.array(rep[at : at + 8192][index]), pa.array(home)], ["key", "fp", "rep", "home"])
+            fp, part = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            key, n = np.unique(np.concatenate([part << 44 | x for x in home_anchors(fp.view(np.uint64))]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
-    return classes.select("fp", "rep").mapInArrow(run, "key bigint, fp bigint, rep bigint, home boolean")
+    found = classes.select("fp", "part").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return found.agg(F.max("n")).first()[0] or 0
 
 
 def _star(left: np.ndarray, right: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,8 +214,37 @@ def _star(left: np.ndarray, right: np.ndarray, rep: np.ndarray) -> tuple[np.ndar
     return rows[off], rows[label[off]]
 
 
-def _forest(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, home: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links in rows that are sorted by key, as pairs of reps."""
+def _shortest(left: np.ndarray, right: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Places of the links of a spanning forest of least length: each part takes its shortest link out, until none is left."""
+    ends, where = np.unique(np.concatenate((left, right)), return_inverse=True)
+    a, b = where[: len(left)], where[len(left) :]
+    order = np.argsort(length, kind="stable")  # ties by place: no circles
+    a, b = a[order], b[order]
+    label, taken = np.arange(len(ends)), []
+    while len(order):
+        first = np.full(len(ends), len(order))
+        np.minimum.at(first, label[a], np.arange(len(order)))
+        np.minimum.at(first, label[b], np.arange(len(order)))
+        chosen = np.unique(first[first < len(order)])
+        taken.append(order[chosen])
+        x, y = label[a[chosen]], label[b[chosen]]
+        to = np.arange(len(ends))
+        while True:
+            before = to.copy()
+            low = np.minimum(to[x], to[y])
+            np.minimum.at(to, x, low)
+            np.minimum.at(to, y, low)
+            to = to[to]
+            if np.array_equal(before, to):
+                break
+        label = to[label]
+        apart = np.flatnonzero(label[a] != label[b])
+        a, b, order = a[apart], b[apart], order[apart]
+    return np.concatenate([*taken, np.zeros(0, np.int64)])
+
+
+def _forest(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, home: np.ndarray, distance: int, shortest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links in rows that are sorted by key, as pairs of reps: stars, or links that are as short as can be."""
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(key)])))
     group = np.repeat(np.arange(len(starts)), sizes)
@@ -161,6 +253,14 @@ def _forest(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, home: np.ndarray,
     begin, size = starts[group[homes]], sizes[group[homes]]
     done = np.concatenate(([0], np.cumsum(size)))
     at = 0
+
+    def reduced() -> tuple[np.ndarray, np.ndarray]:
+        left, right = np.concatenate(lefts), np.concatenate(rights)
+        if not shortest:
+            return _star(left, right, rep)
+        taken = _shortest(left, right, np.bitwise_count(fp[left] ^ fp[right]))
+        return left[taken], right[taken]
+
     while at < len(homes):
         to = max(at + 1, int(np.searchsorted(done, done[at] + _PAIRS, "right")) - 1)
         count = size[at:to]
@@ -171,16 +271,16 @@ def _forest(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, home: np.ndarray,
         rights.append(right[linked])
         held += int(linked.sum())
         if held > _PAIRS:
-            star = _star(np.concatenate(lefts), np.concatenate(rights), rep)
-            lefts, rights, held = [star[0]], [star[1]], len(star[0])
+            left, right = reduced()
+            lefts, rights, held = [left], [right], len(left)
         at = to
     if not held:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = _star(np.concatenate(lefts), np.concatenate(rights), rep)
+    a, b = reduced()
     return rep[a], rep[b]
 
 
-def _compare(rows: DataFrame, distance: int) -> DataFrame:
+def _compare(rows: DataFrame, distance: int, shortest: bool) -> DataFrame:
     """Links (u, v) among rows of the same (key, cell): a spanning forest for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +293,7 @@ def _compare(rows: DataFrame, distance: int) -> DataFrame:
             cell = columns[0]
             cut = len(cell) if last else int(np.searchsorted(cell, cell[-1]))
             if cut:
-                u, v = _forest(*(x[:cut] for x in columns), distance)
+                u, v = _forest(*(x[:cut] for x in columns), distance, shortest)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
             held, count = [[x[cut:] for x in columns]], len(cell) - cut
@@ -217,12 +317,17 @@ def _compare(rows: DataFrame, distance: int) -> DataFrame:
     return rows.select("key", "cell", "fp", "rep", "home").mapInArrow(run, "u bigint, v bigint")
 
 
-def links(classes: DataFrame, n_classes: int, distance: int = DISTANCE, cell_rows: int = CELL_ROWS) -> DataFrame:
+def links(classes: DataFrame, distance: int = DISTANCE, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Links between classes (fp, rep), enough of them to connect all that are connected."""
     if distance > 5:
         raise ValueError("three segments with a threshold of one cover up to 5 differing bits")
+    return _met(classes.withColumn("part", F.lit(0).cast("bigint")), distance, cell_rows, False)
+
+
+def _met(classes: DataFrame, distance: int, cell_rows: int, shortest: bool) -> DataFrame:
+    """Links (u, v) between classes (fp, rep, part) that meet at an anchor of their part: a spanning forest for each anchor."""
     rows = _anchors(classes).withColumn("cell", F.lit(0))
-    if n_classes > cell_rows:  # else no anchor can hold more
+    if _fullest_home(classes) * _AROUND > cell_rows:  # else no anchor can hold more
         heavy = stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("n_home")).filter(F.col("n") > cell_rows), "heavy-anchors")
         if not heavy.isEmpty():
             heavy = heavy.select("key", F.ceil(F.col("n") / cell_rows).cast("int").alias("probes"), F.greatest(F.lit(1), F.ceil(F.col("n_home") / cell_rows)).cast("int").alias("homes"))
@@ -232,7 +337,7 @@ def links(classes: DataFrame, n_classes: int, distance: int = DISTANCE, cell_row
             at_home = F.transform(F.sequence(F.lit(0), F.col("probes") - 1), lambda j: F.struct((F.pmod(mine, F.col("homes")) * F.col("probes") + j).cast("int").alias("cell"), F.lit(True).alias("home")))
             split = joined.filter("probes IS NOT NULL").withColumn("to", F.explode(F.when(F.col("home"), F.concat(probe, at_home)).otherwise(probe))).select("key", "fp", "rep", "to.home", "to.cell")
             rows = joined.filter("probes IS NULL").select("key", "fp", "rep", "home", F.lit(0).alias("cell")).unionByName(split)
-    return _compare(rows.repartition("key", "cell").sortWithinPartitions("key", "cell"), distance).distinct()
+    return _compare(rows.repartition("key", "cell").sortWithinPartitions("key", "cell"), distance, shortest).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -259,6 +364,92 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: id, fp (signed long), component (smallest id reachable over links)."""
     fps = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
     classes = stored(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    edges = links(classes.filter("rep IS NOT NULL"), classes.count(), distance, cell_rows)
+    edges = links(classes.filter("rep IS NOT NULL"), distance, cell_rows)
     roots = classes.join(components(edges), F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component"))
     return fps.join(roots, "fp", "left")
+
+
+class Shingler:
+    """Sets of shingles as 64-bit hashes, put together from the hashes of words."""
+
+    def __init__(self, words: int = SET_WORDS, seed: int = SEED):
+        self.words, self.seed, self.known = words, seed, {}
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        """The distinct hashes of the text's shingles (fewer words: the whole sequence; none: the empty one)."""
+        parts = text.lower().split()
+        if len(self.known) > _KNOWN:
+            self.known.clear()
+        known, digest = self.known, xxhash.xxh64_intdigest
+        for w in set(parts).difference(known):
+            known[w] = digest(w, self.seed)
+        each = np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts))
+        n = min(self.words, len(parts))
+        rolled = np.full(max(1, len(parts) - n + 1), n, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(n):
+                rolled = mixed(rolled * np.uint64(0x9E3779B97F4A7C15) + each[k : k + len(rolled)])
+        return np.unique(rolled)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return x ^ x >> np.uint64(31)
+
+
+def set_fingerprints(hashes: np.ndarray, tables: int = TABLES) -> np.ndarray:
+    """Fingerprints of a set: of its hashes, mixed anew for each."""
+    with np.errstate(over="ignore"):
+        return np.array([np.packbits(bit_counts(mixed(hashes + np.uint64(t) * np.uint64(0x9E3779B97F4A7C15))) * 2 > len(hashes), bitorder="little").view("<u8")[0] for t in range(tables)], "<u8")
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
+def _by_text(texts: DataFrame, make, name: str) -> DataFrame:
+    """(node, <name>) for (node, text): make(set of the text) in a list of longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists([make(shingler(t)) for t in as_bytes(part.column(1))])], ["node", name])
+
+    return texts.mapInArrow(run, f"node bigint, {name} array<bigint>")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets are similar; only texts of pairs are read into sets, known by a filter while that is small enough."""
+    nodes = stored(pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct(), "near-nodes")
+    slots = filter_slots(nodes.count(), 16)
+    if slots:
+        h = F.col("node")
+        bits = bit_filter(nodes, slots).toDF("__slot", "__bits")
+        texts = texts.withColumn("__slot", filter_slot(h, slots)).join(F.broadcast(bits), "__slot").filter(has_bit(F.col("__bits"), filter_bit(h))).select("node", "text")
+    sets = _by_text(texts, lambda x: x, "words").groupBy("node").agg(F.first("words").alias("words"))  # equal texts have equal sets
+    sets = stored(sets, "near-sets")
+    u, v = (sets.select(F.col("node").alias(c), F.col("words").alias(f"words_{c}")) for c in "uv")
+    both = pairs.join(u, "u").join(v, "v")
+    return both.filter((NUM + DEN) * F.size(F.array_intersect("words_u", "words_v")) >= NUM * (F.size("words_u") + F.size("words_v"))).select("u", "v")
+
+
+def similar_texts(docs: DataFrame, text_col: str = "text", tables: int = TABLES, reach: int = REACH, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(node, root) of the texts that are similar to others; node is xxhash64 of the text (null as empty), root the smallest of the component.
+
+    Texts that are their component's root, or alone, are left out.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
+    prints = _by_text(texts, lambda x: set_fingerprints(x, tables), "fps").groupBy("node").agg(F.first("fps").alias("fps"))
+    prints = stored(prints, "set-fingerprints").select("node", F.posexplode("fps").alias("part", "fp"))
+    classes = stored(prints.groupBy(F.col("part").cast("bigint").alias("part"), "fp").agg(F.min("node").alias("rep"), F.count("*").alias("texts")), "set-classes")
+    met = _met(classes, reach, cell_rows, True)
+    # texts with the same fingerprint, by their class
+    same = prints.join(classes.filter("texts > 1").select("part", "fp", "rep"), ["part", "fp"]).filter("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
+    pairs = met.unionByName(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return components(_verified(stored(pairs, "near-pairs"), texts))

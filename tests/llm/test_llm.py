@@ -68,7 +68,7 @@ def test_simhash_links_lose_nothing(spark, cell_rows):
         fps.append(f)
     fps = list(dict.fromkeys(fps))
     rows = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)), i) for i, f in enumerate(fps)], "fp long, rep long")
-    found = {r["node"]: r["root"] for r in simhash.components(simhash.links(rows, len(fps), cell_rows=cell_rows)).collect()}
+    found = {r["node"]: r["root"] for r in simhash.components(simhash.links(rows, cell_rows=cell_rows)).collect()}
     assert [found.get(i, i) for i in range(len(fps))] == brute_components(fps)
 
 
@@ -308,6 +308,42 @@ def test_quality_separates_and_counts(spark):
     assert quality.resample(odd.limit(0), labels).count() == 0
 
 
+def brute_grams(text):
+    """Counts of hashed n-grams of bytes, and of neighbouring words, one by one."""
+    counts, data = [0] * quality.BUCKETS, text.encode()
+    for n in quality.SIZES:
+        for i in range(len(data) - n + 1):
+            key = int.from_bytes(data[i : i + n], "big")
+            counts[((key + n * 0x632BE5AB) * 0x9E3779B1 & 0xFFFFFFFF) >> 18] += 1
+    words = text.split()
+    for a, b in zip(words, words[1:]):
+        counts[int(a == b)] += quality.PAIR_WEIGHT
+    return counts
+
+
+def test_quality_against_plain_resampling(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["ab", "cd", "efg", "x"] if i % 3 else ["zz", "q", "9"]) for _ in range(rng.randint(1, 60))) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 200, 2)], "doc_id long, quality int")
+    got = {r["id"]: r for r in quality.resample(docs_of(spark, texts), labels, k=120, sharpness=6.0).collect()}
+    each = np.array([brute_grams(t) for t in texts], float)
+    ratio = [np.log((x + 0.5) / (x + 0.5).sum()) for x in (each[[i for i in range(0, 200, 2) if i % 3]].sum(axis=0), each.sum(axis=0))]
+    importance = 6.0 * (each @ (ratio[0] - ratio[1])) / (each.sum(axis=1) + quality.PRIOR)
+    score = importance + [quality.gumbel(str(i).encode()) for i in range(200)]
+    assert np.allclose([got[i]["importance"] for i in range(200)], importance) and np.allclose([got[i]["score"] for i in range(200)], score)
+    top, plain = (set(np.argsort(-x)[:120].tolist()) for x in (score, importance))
+    assert {i for i in got if got[i]["selected"]} == top
+    assert len(top - plain) > 5  # the noise decides
+    rows = quality.selected_rows(docs_of(spark, texts).withColumn("a.b", F.lit(1)).withColumn("score", F.lit("s")), labels, k=120, sharpness=6.0)
+    assert {r["doc_id"] for r in rows.collect()} == top and rows.columns[-2:] == ["a.b", "score"]
+
+
+def test_gumbel_draws_by_weight():
+    weights = np.array([0.0, 1.0, 2.0])
+    wins = np.bincount([np.argmax(weights + [quality.gumbel(f"{i}-{j}".encode()) for j in range(3)]) for i in range(20_000)])
+    assert np.allclose(wins / 20_000, np.exp(weights) / np.exp(weights).sum(), atol=0.015)
+
+
 def test_kth_score(spark):
     rng = np.random.default_rng(2)
     values = np.round(rng.normal(size=12_000), 2).tolist()
