@@ -60,7 +60,7 @@ _HASHES = 1 << 16
 _PAIRS = 1 << 21
 #: For similar_texts(): words of a shingle, similarity as a fraction, fingerprints, differing bits of a fingerprint.
 SET_WORDS, NUM, DEN = 5, 4, 5
-TABLES, REACH = 6, 14
+TABLES, REACH = 8, 14
 #: Hashes of words that a task remembers.
 _KNOWN = 200_000
 
