@@ -179,17 +179,75 @@ def test_mixing_keeps_within_a_block(spark):
     assert mixing.mix(rows.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(rows, {"a": 0})
-    with pytest.raises(ValueError):
-        mixing.mix(rows, max_sources=2)
 
 
 def test_mixing_plan_places_all_blocks():
     for blocks in ({"a": 7, "b": 1, "c": 23}, {"a": 1}, {}):
         segments = mixing.plan(blocks, {"a": 3, "b": 2, "c": 4})
-        slots = [p["__mix_slot0"] + f * p["__mix_frame"] + s for p in segments for f in range(p["__mix_frames"]) for s in p["__mix_slots"]]
+        slots = [p["slot0"] + f * p["frame"] + s for p in segments for f in range(p["frames"]) for s in p["slots"]]
         assert sorted(slots) == list(range(sum(blocks.values())))
 
 
+def sequence(segments):
+    """Source by slot."""
+    at = {p["slot0"] + f * p["frame"] + s: p["key"] for p in segments for f in range(p["frames"]) for s in p["slots"]}
+    assert sorted(at) == list(range(len(at)))
+    return [at[t] for t in range(len(at))]
+
+
+def test_mixing_stays_within_a_block_of_the_live_targets():
+    rng = random.Random(6)
+    cases = [({"a": 1, "b": 100}, {"a": 100, "b": 100}), ({"a": 150, "b": 400}, {"a": 100, "b": 100}), ({"a": 530, "b": 300, "c": 217}, {"a": 50, "b": 30, "c": 20})]
+    for _ in range(60):
+        names = [f"s{i}" for i in range(rng.randint(1, 9))]
+        cases.append(({s: rng.choice((1, 3, 20, 150)) + rng.randint(0, 40) for s in names}, {s: rng.randint(1, 30) for s in names}))
+    for blocks, weights in cases:
+        left, done, target, seen = dict(blocks), dict.fromkeys(blocks, 0), dict.fromkeys(blocks, 0.0), []
+        for s in sequence(mixing.plan(blocks, weights)):
+            live = [x for x in left if left[x]]
+            if live != seen:  # one has run out: targets are counted from here
+                seen, done, target = live, dict.fromkeys(live, 0), dict.fromkeys(live, 0.0)
+            for x in live:
+                target[x] += weights[x] / sum(weights[y] for y in live)
+            done[s] += 1
+            left[s] -= 1
+            assert all(abs(done[x] - target[x]) < 1 - 1e-9 for x in live if left[x]), (blocks, weights)
+        assert not any(left.values())
+
+
+def test_mixing_of_many_sources_in_groups(spark):
+    rng = random.Random(7)
+    rows = [(i, f"s{rng.randrange(40)}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string").withColumns({"a.b": F.lit(1), "__mix_key": F.lit("k"), "__mix_order": F.col("doc_id"), "row": F.lit(2)})
+    sizes = {s: sum(x == s for _, x in rows) for _, s in rows}
+    weights = {s: 1 + i % 4 for i, s in enumerate(sorted(sizes))}
+    for group_sources in (256, 12, 5):
+        got = mixing.mix(docs, weights, block_rows=1, group_sources=group_sources).orderBy("__mix_slot").collect()
+        assert [r["__mix_slot"] for r in got] == list(range(2000)) and sorted(r["doc_id"] for r in got) == list(range(2000))
+        assert all(r["__mix_order"] == r["doc_id"] and r["__mix_key"] == "k" and r["a.b"] == 1 and r["row"] == 2 for r in got)
+        done, total = dict.fromkeys(sizes, 0), sum(weights[s] for s in sizes)
+        for t, r in enumerate(got[:400], 1):  # all sources live
+            done[r["source"]] += 1
+            assert all(abs(done[s] - t * weights[s] / total) < (1 if group_sources == 256 else 3) for s in sizes)
+    assert mixing.mix(docs, block_rows=1, group_sources=2000).count() == 2000
+
+
+def test_mixing_numbers_rows_as_a_walk_does(spark):
+    docs = docs_of(spark, [str(i) for i in range(700)], [i // 2 if i % 9 else None for i in range(700)])
+    got = mixing.mix(docs, {"s0": 3, None: 2}, tie_cols=("text",), block_rows=4, bucket_rows=50).collect()
+    again = mixing.mix(docs.repartition(5), {"s0": 3, None: 2}, tie_cols=("text",), block_rows=4, bucket_rows=333).collect()
+    assert {(r["text"], r["__mix_position"]) for r in got} == {(r["text"], r["__mix_position"]) for r in again}
+    blocks = {}
+    for r in got:
+        blocks.setdefault((r["source"], r["__mix_block"]), []).append(r)
+    assert all(len({r["__mix_slot"] for r in x}) == 1 for x in blocks.values())
+    counts = {s: sum(r["source"] == s for r in got) for s in ("s0", "s1", "s2", None)}
+    keys = {s: "?" if s is None else f"={s}" for s in counts}
+    order = sequence(mixing.plan({keys[s]: -(-n // 4) for s, n in counts.items()}, {"=s0": 3, "=s1": 1, "=s2": 1, "?": 2}))
+    assert all(order[x[0]["__mix_slot"]] == keys[s] for (s, _), x in blocks.items())
+    assert all(len({r["__mix_position"] - 4 * r["__mix_slot"] for r in x}) == len(x) <= 4 for x in blocks.values())
+
+
 def test_warc_against_brute_force(spark):
     magic = "before WARC/1.0\r\nWARC-Type: response\r\nX-Page-Id: 77\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nafter"
     html = [None, "", "<p>é</p>", "<p>é</p>", magic, magic, "x" * 300_000, "WARC/1.0\r\n", "tail\r\n\r\n", "<p>é</p>"]
