@@ -235,7 +235,7 @@ def test_mixing_of_many_sources_in_groups(spark):
 def test_mixing_numbers_rows_as_a_walk_does(spark):
     docs = docs_of(spark, [str(i) for i in range(700)], [i // 2 if i % 9 else None for i in range(700)])
     got = mixing.mix(docs, {"s0": 3, None: 2}, tie_cols=("text",), block_rows=4, bucket_rows=50).collect()
-    again = mixing.mix(docs.repartition(5), {"s0": 3, None: 2}, tie_cols=("text",), block_rows=4, bucket_rows=333).collect()
+    again = mixing.mix(docs.repartition(5), {"s0": 3, None: 2}, tie_cols=("text",), block_rows=4, bucket_rows=50).collect()
     assert {(r["text"], r["__mix_position"]) for r in got} == {(r["text"], r["__mix_position"]) for r in again}
     blocks = {}
     for r in got:
