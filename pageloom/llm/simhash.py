@@ -24,8 +24,8 @@ near_duplicates() links by the 64 bits of one fingerprint. similar_texts() links
 Jaccard similarity of shingle sets, 0.8 by default: at that similarity fingerprints
 differ in about ten bits, so it takes TABLES fingerprints, meets texts that differ in
 one bit at most on a segment of any and in REACH bits at most of that fingerprint,
-emits for each anchor the forest of the shortest links, and verifies them on the
-whole sets. A pair of similarity 0.8 meets on a segment with probability 0.15, so
+emits for each anchor the forest of the shortest links, leaves out those that differ
+in more than FAR bits over all fingerprints, and verifies the rest on the whole sets. A pair of similarity 0.8 meets on a segment with probability 0.15, so
 with probability 0.94 somewhere, one of 0.85 with 0.99; the links it makes are exact.
 
 Defined results: a null text counts as empty, an empty one has fingerprint 0 and
@@ -61,8 +61,8 @@ _PAIRS = 1 << 21
 #: For similar_texts(): words of a shingle, similarity as a fraction, fingerprints, differing bits of a fingerprint.
 SET_WORDS, NUM, DEN = 5, 4, 5
 TABLES, REACH = 8, 14
-#: Hashes of words that a task remembers.
-_KNOWN = 200_000
+#: Differing bits of all fingerprints, as a mean by fingerprint: similar sets have 10, others 32.
+FAR = 20
 
 
 def _lanes() -> np.ndarray:
@@ -369,27 +369,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(roots, "fp", "left")
 
 
-class Shingler:
-    """Sets of shingles as 64-bit hashes, put together from the hashes of words."""
-
-    def __init__(self, words: int = SET_WORDS, seed: int = SEED):
-        self.words, self.seed, self.known = words, seed, {}
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        """The distinct hashes of the text's shingles (fewer words: the whole sequence; none: the empty one)."""
-        parts = text.lower().split()
-        if len(self.known) > _KNOWN:
-            self.known.clear()
-        known, digest = self.known, xxhash.xxh64_intdigest
-        for w in set(parts).difference(known):
-            known[w] = digest(w, self.seed)
-        each = np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts))
-        n = min(self.words, len(parts))
-        rolled = np.full(max(1, len(parts) - n + 1), n, np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(n):
-                rolled = mixed(rolled * np.uint64(0x9E3779B97F4A7C15) + each[k : k + len(rolled)])
-        return np.unique(rolled)
+def shingle_set(text: bytes, words: int = SET_WORDS, seed: int = SEED) -> np.ndarray:
+    """The distinct hashes of the text's shingles (fewer words: the whole sequence; none: the empty one)."""
+    parts = text.lower().split()
+    joined, digest = b" ".join(parts), xxhash.xxh64_intdigest
+    if len(parts) <= words:
+        return np.array([digest(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-words] + 1))
+    hashes = np.sort(np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64))
+    return hashes[np.concatenate(([True], hashes[1:] != hashes[:-1]))]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -401,8 +390,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def set_fingerprints(hashes: np.ndarray, tables: int = TABLES) -> np.ndarray:
     """Fingerprints of a set: of its hashes, mixed anew for each."""
+    counts = np.zeros((tables, 64), np.int64)
     with np.errstate(over="ignore"):
-        return np.array([np.packbits(bit_counts(mixed(hashes + np.uint64(t) * np.uint64(0x9E3779B97F4A7C15))) * 2 > len(hashes), bitorder="little").view("<u8")[0] for t in range(tables)], "<u8")
+        factors = mixed(np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        for at in range(0, len(hashes), 255):  # 255 ones fit a byte
+            x = factors[:, None] * hashes[at : at + 255]
+            x ^= x >> np.uint64(32)
+            counts += _LANES[x.astype("<u8").view(np.uint8).reshape(tables, -1, 8)].sum(axis=1).view(np.uint8)
+    return np.packbits(counts * 2 > len(hashes), axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -414,11 +409,10 @@ def _by_text(texts: DataFrame, make, name: str) -> DataFrame:
     """(node, <name>) for (node, text): make(set of the text) in a list of longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists([make(shingler(t)) for t in as_bytes(part.column(1))])], ["node", name])
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists([make(shingle_set(t)) for t in as_bytes(part.column(1))])], ["node", name])
 
     return texts.mapInArrow(run, f"node bigint, {name} array<bigint>")
 
@@ -446,10 +440,15 @@ def similar_texts(docs: DataFrame, text_col: str = "text", tables: int = TABLES,
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
     prints = _by_text(texts, lambda x: set_fingerprints(x, tables), "fps").groupBy("node").agg(F.first("fps").alias("fps"))
-    prints = stored(prints, "set-fingerprints").select("node", F.posexplode("fps").alias("part", "fp"))
+    stored_prints = stored(prints, "set-fingerprints")
+    prints = stored_prints.select("node", F.posexplode("fps").alias("part", "fp"))
     classes = stored(prints.groupBy(F.col("part").cast("bigint").alias("part"), "fp").agg(F.min("node").alias("rep"), F.count("*").alias("texts")), "set-classes")
     met = _met(classes, reach, cell_rows, True)
     # texts with the same fingerprint, by their class
     same = prints.join(classes.filter("texts > 1").select("part", "fp", "rep"), ["part", "fp"]).filter("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
     pairs = met.unionByName(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    each = stored_prints.select("node", "fps")
+    u, v = (each.toDF(c, f"fps_{c}") for c in "uv")
+    differ = F.aggregate(F.zip_with("fps_u", "fps_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    pairs = pairs.join(u, "u").join(v, "v").filter(differ <= FAR * tables).select("u", "v")
     return components(_verified(stored(pairs, "near-pairs"), texts))
