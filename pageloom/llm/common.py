@@ -19,6 +19,12 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A filter up to this size is broadcast; above it the callers shuffle instead.
 FILTER_BROADCAST_BYTES = 16 << 20
 
+#: Rows that a Python worker gets at once while a table is written: texts may be long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+# Python workers live on from task to task, and Arrow's own pools keep what the largest batch took
+pa.set_memory_pool(pa.system_memory_pool())
+
 _own_folder: list[str] = []
 _written: list[tuple[SparkSession, str]] = []
 
@@ -64,12 +70,15 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    settings = BATCH | {SHUFFLE_CLEANUP: "true"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         writer.parquet(path)
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -57,12 +57,12 @@ CELL_ROWS = 1 << 16
 #: An anchor's rows have their homes at so many anchors at most: within distance 3 on the code, or one free bit off.
 _AROUND = 36 + 7
 _HASHES = 1 << 16
-_PAIRS = 1 << 21
+_PAIRS = 1 << 18
 #: For similar_texts(): words of a shingle, similarity as a fraction, fingerprints, differing bits of a fingerprint.
 SET_WORDS, NUM, DEN = 5, 4, 5
 TABLES, REACH = 8, 14
 #: Differing bits of all fingerprints, as a mean by fingerprint: similar sets have 10, others 32.
-FAR = 20
+FAR = 16
 
 
 def _lanes() -> np.ndarray:
@@ -309,7 +309,7 @@ def _compare(rows: DataFrame, distance: int, shortest: bool) -> DataFrame:
             rank, before = int(cell[-1]), (key[-1], salt[-1])
             held.append([cell, fp.view(np.uint64), rep, home])
             count += len(cell)
-            if count > 200_000:
+            if count > 50_000:
                 yield from flush(False)
         if count:
             yield from flush(True)
