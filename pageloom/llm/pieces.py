@@ -315,8 +315,8 @@ def spellings(pieces: list[tuple[str, int]]) -> list[bytes]:
     return [b"" if kind == 2 else bytes([int(p[1:-1], 16)]) if kind == 1 else p.replace("▁", " ").encode() for p, kind in pieces]
 
 
-def encode(rows: DataFrame, key_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), model: str = MODEL, theta: float = THETA, seed: int = SEED) -> DataFrame:
-    """keep columns, and ids array<int>: a sampled segmentation of each text."""
+def encode(rows: DataFrame, key_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), model: str = MODEL, theta: float = THETA, seed: int = SEED, decoded: bool = False) -> DataFrame:
+    """keep columns, and ids array<int>: a sampled segmentation of each text; decoded: and what decode() makes of ids, in the same worker."""
     pieces = rows.sparkSession.sparkContext.broadcast(vocabulary(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,14 +329,27 @@ def encode(rows: DataFrame, key_col: str = "doc_id", text_col: str = "text", kee
                 found = sampler.encode([t.decode("utf-8", "surrogateescape") for t in data], keys)
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in found])))
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.int32)]), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-2], ids], names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], ids, *(_decoded(ids, sampler.bytes_of) if decoded else ())], names)
 
     picked = rows.select(*keep, F.col(key_col).cast("string").alias("__piece_key"), F.col(text_col).cast("string").alias("__piece_text"))
     schema = picked.drop("__piece_key", "__piece_text").schema.add("ids", T.ArrayType(T.IntegerType()))
+    schema = schema.add("n_pieces", T.LongType()).add("text", T.StringType()) if decoded else schema
     names = schema.names
     return picked.mapInArrow(run, schema)
 
 
+def _decoded(column: pa.ListArray, spelled: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    """Numbers of pieces, and texts, of lists of ids."""
+    ends = np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+    ids = column.flatten().to_numpy(zero_copy_only=False)  # null lists have none
+    good = (ids >= 0) & (ids < len(spelled))
+    if not good.all():
+        ids, ends = ids[good], np.concatenate(([0], np.cumsum(good)))[ends]
+    found = list(map(spelled.__getitem__, ids.tolist()))
+    texts = [b"".join(found[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return pa.array(np.diff(ends)), pa.array(texts, pa.binary()).view(pa.string())
+
+
 def decode(rows: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = (), model: str = MODEL) -> DataFrame:
     """keep columns, n_pieces, and text: the pieces joined, byte pieces as bytes. Ids out of range are dropped."""
     pieces = rows.sparkSession.sparkContext.broadcast(vocabulary(model))
@@ -346,15 +359,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = (), mo
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
-                column = part.column(part.num_columns - 1)
-                ends = np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
-                ids = column.flatten().to_numpy(zero_copy_only=False)  # null lists have none
-                good = (ids >= 0) & (ids < len(spelled))
-                if not good.all():
-                    ids, ends = ids[good], np.concatenate(([0], np.cumsum(good)))[ends]
-                found = list(map(spelled.__getitem__, ids.tolist()))
-                texts = [b"".join(found[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.diff(ends)), pa.array(texts, pa.binary()).view(pa.string())], names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *_decoded(part.column(part.num_columns - 1), spelled)], names)
 
     picked = rows.select(*keep, F.col(ids_col).cast("array<int>").alias("__piece_ids"))
     schema = picked.drop("__piece_ids").schema.add("n_pieces", T.LongType()).add("text", T.StringType())

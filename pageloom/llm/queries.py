@@ -29,10 +29,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = pieces.encode(docs.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256)), keep=("doc_id", "sha"))
-    back = pieces.decode(coded.withColumn("ids_hash", F.xxhash64("ids")), keep=("doc_id", "sha", "ids_hash"))
-    back = back.withColumn("text_sha256", F.sha2("text", 256))
-    return back.select("doc_id", "n_pieces", "ids_hash", "text_sha256", (F.col("text_sha256") == F.col("sha")).alias("lossless"))
+    coded = pieces.encode(docs.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256)), keep=("doc_id", "sha"), decoded=True)
+    coded = coded.withColumn("text_sha256", F.sha2("text", 256))
+    return coded.select("doc_id", "n_pieces", F.xxhash64("ids").alias("ids_hash"), "text_sha256", (F.col("text_sha256") == F.col("sha")).alias("lossless"))
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -294,6 +294,8 @@ def test_pieces_round_trip_and_seed(spark):
     coded = pieces.encode(docs_of(spark, texts), keep=("doc_id",))
     back = {r["doc_id"]: r["text"] for r in pieces.decode(coded, keep=("doc_id",)).collect()}
     assert all(back[i] == (t or "") for i, t in enumerate(texts))
+    both = pieces.encode(docs_of(spark, texts), keep=("doc_id",), decoded=True).collect()
+    assert all(r["text"] == back[r["doc_id"]] and r["n_pieces"] == len(r["ids"]) for r in both)
     first = {r["doc_id"]: r["ids"] for r in coded.collect()}
     again = {r["doc_id"]: r["ids"] for r in pieces.encode(docs_of(spark, texts).repartition(7), keep=("doc_id",)).collect()}
     assert first == again
