@@ -61,8 +61,8 @@ _PAIRS = 1 << 18
 #: For similar_texts(): words of a shingle, similarity as a fraction, fingerprints, differing bits of a fingerprint.
 SET_WORDS, NUM, DEN = 5, 4, 5
 TABLES, REACH = 8, 14
-#: Differing bits of all fingerprints, as a mean by fingerprint: similar sets have 10, others 32.
-FAR = 16
+#: Differing bits of all fingerprints, as a mean by fingerprint: similar sets have 10 at most, others 32.
+CLOSE, FAR = 6, 16
 
 
 def _lanes() -> np.ndarray:
@@ -214,11 +214,15 @@ def _star(left: np.ndarray, right: np.ndarray, rep: np.ndarray) -> tuple[np.ndar
     return rows[off], rows[label[off]]
 
 
-def _shortest(left: np.ndarray, right: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Places of the links of a spanning forest of least length: each part takes its shortest link out, until none is left."""
+def _shortest(left: np.ndarray, right: np.ndarray, length: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    """Places of the links of a spanning forest of least length: each part takes its shortest link out, until none is left.
+
+    Links of about the same length are taken by their smaller rep, so that the forests of many anchors share them.
+    """
     ends, where = np.unique(np.concatenate((left, right)), return_inverse=True)
     a, b = where[: len(left)], where[len(left) :]
-    order = np.argsort(length, kind="stable")  # ties by place: no circles
+    x, y = rep[left], rep[right]
+    order = np.lexsort((np.maximum(x, y), np.minimum(x, y), length >> 1))  # one order: no circles
     a, b = a[order], b[order]
     label, taken = np.arange(len(ends)), []
     while len(order):
@@ -258,7 +262,7 @@ def _forest(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, home: np.ndarray,
         left, right = np.concatenate(lefts), np.concatenate(rights)
         if not shortest:
             return _star(left, right, rep)
-        taken = _shortest(left, right, np.bitwise_count(fp[left] ^ fp[right]))
+        taken = _shortest(left, right, np.bitwise_count(fp[left] ^ fp[right]), rep)
         return left[taken], right[taken]
 
     while at < len(homes):
@@ -417,19 +421,41 @@ def _by_text(texts: DataFrame, make, name: str) -> DataFrame:
     return texts.mapInArrow(run, f"node bigint, {name} array<bigint>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are similar; only texts of pairs are read into sets, known by a filter while that is small enough."""
-    nodes = stored(pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct(), "near-nodes")
+def _sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, words) of the texts with these nodes, written; the others are left out by a filter while that is small enough."""
     slots = filter_slots(nodes.count(), 16)
     if slots:
         h = F.col("node")
-        bits = bit_filter(nodes, slots).toDF("__slot", "__bits")
+        bits = bit_filter(nodes.withColumnRenamed("node", "h"), slots).toDF("__slot", "__bits")
         texts = texts.withColumn("__slot", filter_slot(h, slots)).join(F.broadcast(bits), "__slot").filter(has_bit(F.col("__bits"), filter_bit(h))).select("node", "text")
     sets = _by_text(texts, lambda x: x, "words").groupBy("node").agg(F.first("words").alias("words"))  # equal texts have equal sets
-    sets = stored(sets, "near-sets")
+    return stored(sets, "near-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets are similar, written."""
     u, v = (sets.select(F.col("node").alias(c), F.col("words").alias(f"words_{c}")) for c in "uv")
-    both = pairs.join(u, "u").join(v, "v")
-    return both.filter((NUM + DEN) * F.size(F.array_intersect("words_u", "words_v")) >= NUM * (F.size("words_u") + F.size("words_v"))).select("u", "v")
+    both = pairs.select("u", "v").join(u, "u").join(v, "v")
+    similar = (NUM + DEN) * F.size(F.array_intersect("words_u", "words_v")) >= NUM * (F.size("words_u") + F.size("words_v"))
+    return stored(both.filter(similar).select("u", "v"), "near-links")
+
+
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the candidates (u, v, differ) that are similar, but for pairs in one component already.
+
+    First each text's link to the smallest of those close to it, or else to its closest: they connect most
+    of a large group. Then all candidates between different components.
+    """
+    nodes = stored(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "near-nodes")
+    sets = _sets(texts, nodes)
+    ends = pairs.select("u", "v", "differ").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "differ"))
+    best = ends.groupBy("u").agg(F.min(F.struct(F.when(F.col("differ") <= CLOSE * TABLES, 0).otherwise(F.col("differ")).alias("d"), "v")).alias("b")).select("u", "b.v")
+    first = stored(best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-first")
+    found = _verified(first, sets)
+    roots = components(found)
+    u, v = (roots.toDF(c, f"root_{c}") for c in "uv")
+    rest = pairs.join(first, ["u", "v"], "left_anti").join(u, "u", "left").join(v, "v", "left").filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
+    return found.unionByName(_verified(rest, sets))
 
 
 def similar_texts(docs: DataFrame, text_col: str = "text", tables: int = TABLES, reach: int = REACH, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -450,5 +476,5 @@ def similar_texts(docs: DataFrame, text_col: str = "text", tables: int = TABLES,
     each = stored_prints.select("node", "fps")
     u, v = (each.toDF(c, f"fps_{c}") for c in "uv")
     differ = F.aggregate(F.zip_with("fps_u", "fps_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    pairs = pairs.join(u, "u").join(v, "v").filter(differ <= FAR * tables).select("u", "v")
-    return components(_verified(stored(pairs, "near-pairs"), texts))
+    pairs = pairs.join(u, "u").join(v, "v").withColumn("differ", differ).filter(F.col("differ") <= FAR * tables).select("u", "v", "differ")
+    return components(_linked(stored(pairs, "near-pairs"), texts))
