@@ -7,13 +7,21 @@ from pyspark.sql import functions as F
 
 
 def log_softmax(logits: Column, pad: int | None = None) -> Column:
-    """Log-probabilities; the pad id gets minus infinity after normalising."""
-    most = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - most))
-    out = F.transform(logits, lambda x: x - most - F.log(total))
-    if pad is None:
-        return out
-    return F.transform(out, lambda x, i: F.when(i == pad, F.lit(float("-inf"))).otherwise(x))
+    """Log-probabilities; the pad id gets minus infinity after normalising. One fold: the largest so far, and the sum of exponentials by it."""
+    low = F.lit(float("-inf"))
+
+    def step(acc: Column, x: Column) -> Column:
+        most = F.greatest(acc["most"], x)
+        total = F.when(x <= low, acc["total"]).when(x > acc["most"], acc["total"] * F.exp(acc["most"] - x) + 1).otherwise(acc["total"] + F.exp(x - acc["most"]))
+        return F.struct(most.alias("most"), total.alias("total"))
+
+    def finish(acc: Column) -> Column:
+        log_p = lambda x: x - acc["most"] - F.log(acc["total"])
+        if pad is None:
+            return F.transform(logits, log_p)
+        return F.transform(logits, lambda x, i: F.when(i == pad, low).otherwise(log_p(x)))
+
+    return F.aggregate(logits, F.struct(low.alias("most"), F.lit(0.0).alias("total")), step, finish)
 
 
 def top_k(scores: Column, k: int) -> Column:

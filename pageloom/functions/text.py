@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pageloom.functions import geometry as G
+
 
 def trimmed(text: Column) -> Column:
     """Without Unicode white space at either end."""
@@ -68,9 +70,9 @@ def normalised_name(name: Column) -> Column:
     return F.upper(name)
 
 
-def number(x: Column) -> Column:
-    """Up to two decimals with a point, without trailing zeros."""
-    return F.regexp_replace(F.regexp_replace(F.format_string("%.2f", x), r"0+$", ""), r"\.$", "")
+def number(x: Column, digits: int = 1) -> Column:
+    """Up to so many decimals with a point, without trailing zeros."""
+    return F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}f", x.cast("double")), r"0+$", ""), r"\.$", "")
 
 
 def point_text(p: Column) -> Column:
@@ -83,12 +85,35 @@ def colour_text(c: Column) -> Column:
     return F.concat(F.format_string("RVB(%d, %d, %d) #", c["r"], c["g"], c["b"]), two(c["r"]), two(c["g"]), two(c["b"]))
 
 
+# The words and layout of the descriptions.
+
+
 def quad_text(q: Column) -> Column:
-    return F.concat_ws(" ", *[point_text(q[k]) for k in ("hg", "hd", "bd", "bg")])
+    """Labelled corners, then size and angle."""
+    corners = F.concat_ws(" ", *[F.concat(F.lit(k.upper()), point_text(q[k])) for k in ("hg", "hd", "bd", "bg")])
+    return F.concat(corners, F.lit(" ["), number(G.width(q)), F.lit(" x "), number(G.height(q)), F.lit(" px, "), number(G.angle(q)), F.lit("°]"))
 
 
 def polygon_text(points: Column) -> Column:
-    return F.concat(F.size(points).cast("string"), F.lit(" points: "), F.array_join(F.transform(points, point_text), " "))
+    return F.concat(F.lit("contour de "), F.size(points).cast("string"), F.lit(" points, centré en "), point_text(G.centroid(points)))
+
+
+def zone_text(text_src: Column, text_dst: Column, confidence: Column, rect: Column, angle: Column, line_height: Column, background: Column, contour: Column, rank: Column) -> Column:
+    """A zone on nine lines; what isn't known yet says so."""
+    quoted = lambda c: F.concat(F.lit("« "), c, F.lit(" »"))
+    or_else = lambda c, text, missing: F.when(c.isNull(), F.lit(missing)).otherwise(text)
+    lines = (
+        ("texte original : ", quoted(text_src)),
+        ("traduction     : ", or_else(text_dst, quoted(text_dst), "(pas encore traduit)")),
+        ("confiance      : ", number(confidence, 3)),
+        ("rectangle      : ", quad_text(rect)),
+        ("angle du texte : ", F.concat(number(angle), F.lit("°"))),
+        ("hauteur ligne  : ", or_else(line_height, F.concat(number(line_height), F.lit(" px")), "(pas mesurée)")),
+        ("couleur fond   : ", or_else(background, colour_text(background), "(pas mesurée)")),
+        ("bulle          : ", or_else(contour, polygon_text(contour), "(aucune)")),
+        ("ordre lecture  : ", or_else(rank, rank.cast("string"), "(pas encore trié)")),
+    )
+    return F.concat_ws("\n", *[F.concat(F.lit(head), body) for head, body in lines])
 
 
 def framed_ids(ids: Column, end: int, source: int | None = None, unknown: int = 1) -> Column:

@@ -43,15 +43,19 @@ def blocks(ocr_lines: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> Data
     return made.filter(F.col("confidence") >= min_confidence)
 
 
+_MERGED = {"page_id", "zone_idx", "rect", "contour", "text_src", "confidence", "line_height", "angle", "background", "fragments"}
+
+
 def same_bubble(zones: DataFrame) -> DataFrame:
     """Zones of a page with equal contours become one, at the first one's place; zones without contour stay apart.
 
-    zones: page_id, zone_idx, rect, contour, text_src, confidence, line_height, angle, background.
+    zones: page_id, zone_idx, rect, contour, text_src, confidence, line_height, angle, background;
+    further columns are taken from the first zone.
     """
     alone = F.when(F.col("contour").isNull(), F.col("zone_idx")).otherwise(F.lit(-1))
     many = F.count("*") > 1
     only = lambda c: F.min_by(c, "zone_idx")
-    made = zones.withColumn("alone", alone).groupBy("page_id", "contour", "alone").agg(
+    made = zones.withColumn("__merge_alone", alone).groupBy("page_id", "contour", "__merge_alone").agg(
         F.min("zone_idx").alias("zone_idx"),
         F.when(many, G.bounding_quad(F.collect_list("rect"))).otherwise(only("rect")).alias("rect"),
         F.when(many, F.array_join(_in_order([F.col("zone_idx")], T.trimmed(F.col("text_src"))), " ")).otherwise(only("text_src")).alias("text_src"),
@@ -60,5 +64,6 @@ def same_bubble(zones: DataFrame) -> DataFrame:
         F.when(many, mean_angle(F.col("angle"))).otherwise(only("angle")).alias("angle"),
         only("background").alias("background"),
         F.count("*").alias("fragments"),
+        *[only(F.col(f"`{c}`")).alias(c) for c in zones.columns if c not in _MERGED],
     )
-    return made.drop("alone")
+    return made.drop("__merge_alone")

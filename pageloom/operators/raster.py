@@ -6,6 +6,7 @@ is per page or per zone, inside Arrow-batched functions.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,8 +95,8 @@ def framed(points: np.ndarray) -> tuple[float, float, float, float] | None:
     return None if found is None else (found[0] + low[0], found[1] + low[1], float(found[2]), float(found[3]))
 
 
-def frame(zones: DataFrame) -> DataFrame:
-    """zones (page_id, zone_idx, x, y, w, h, contour) with the rectangle fitted inside the contour, if it has three points."""
+def frame(zones: DataFrame, keep_contour: bool = True) -> DataFrame:
+    """zones (x, y, w, h, contour, and any columns) with the rectangle fitted inside the contour, if it has three points."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -109,59 +110,99 @@ def frame(zones: DataFrame) -> DataFrame:
                     found = known[key]
                     if found:
                         boxes[i] = found
-            yield rows[["page_id", "zone_idx"]].assign(x=boxes[:, 0], y=boxes[:, 1], w=boxes[:, 2], h=boxes[:, 3])
-
-    return zones.select("page_id", "zone_idx", "x", "y", "w", "h", "contour").mapInPandas(run, "page_id bigint, zone_idx int, x double, y double, w double, h double")
+            yield rows.assign(x=boxes[:, 0], y=boxes[:, 1], w=boxes[:, 2], h=boxes[:, 3])[names]
+
+    sides = {c: F.col(c).cast("double") for c in "xywh"}
+    picked = zones.withColumns(sides)
+    names = [c for c in picked.columns if c != "contour" or keep_contour]
+    return picked.mapInPandas(run, picked.select(*[f"`{c}`" for c in names]).schema)
+
+
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of each one's part, for n things linked by pairs (a, b)."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while not np.array_equal(label, up := label[label]):
+            label = up
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return label
+
+
+def regions(values: np.ndarray, tolerance: int = TOLERANCE) -> np.ndarray:
+    """Labels of parts whose 4-neighbours differ by no more than the tolerance: runs along rows, linked between rows."""
+    v = values.astype(np.int16)
+    run = np.cumsum(np.concatenate((np.ones((len(v), 1), bool), np.abs(np.diff(v, axis=1)) > tolerance), axis=1).reshape(-1)).reshape(v.shape) - 1
+    near = np.abs(np.diff(v, axis=0)) <= tolerance
+    a, b = run[:-1][near], run[1:][near]
+    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else []
+    return _joined(int(run[-1, -1]) + 1, a[new], b[new])[run]
 
 
 def flood(values: np.ndarray, seed: tuple[int, int], tolerance: int = TOLERANCE) -> np.ndarray:
     """Pixels reached from the seed (y, x) over 4-neighbours that differ by no more than the tolerance."""
-    v = values.astype(np.int16)
-    mask = np.zeros(v.shape, bool)
-    mask[seed] = True
-    edge = mask.copy()
-    while edge.any():
-        new = np.zeros_like(mask)
-        for axis, step in ((0, 1), (0, -1), (1, 1), (1, -1)):
-            moved, near = np.roll(edge, step, axis), np.roll(v, step, axis)
-            border = [slice(None), slice(None)]
-            border[axis] = 0 if step == 1 else -1
-            moved[tuple(border)] = False
-            new |= moved & (np.abs(v - near) <= tolerance)
-        edge = new & ~mask
-        mask |= edge
-    return mask
+    label = regions(values, tolerance)
+    return label == label[seed]
 
 
 def components(mask: np.ndarray) -> np.ndarray:
-    """Labels of 4-connected parts, from 1; 0 outside."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        before = label.copy()
-        for axis in (0, 1):
-            a, b = (label[:-1], label[1:]) if axis == 0 else (label[:, :-1], label[:, 1:])
-            both = (a > 0) & (b > 0)
-            low = np.where(both, np.minimum(a, b), 0)
-            np.copyto(a, np.minimum(a, low), where=both)  # a and b overlap
-            np.copyto(b, np.minimum(b, low), where=both)
-        flat = np.concatenate(([0], label.reshape(-1)))
-        label = np.where(mask, flat[label], 0)
-        if np.array_equal(before, label):
-            return label
+    """Labels of 8-connected parts, from 1; 0 outside."""
+    edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, begin = np.nonzero(edge == 1)
+    end = np.nonzero(edge == -1)[1]  # one beyond the run
+    wide = mask.shape[1] + 2
+    # runs of the row below that touch, corners included
+    first = np.searchsorted(row * wide + end, (row + 1) * wide + begin)
+    count = np.maximum(0, np.searchsorted(row * wide + begin, (row + 1) * wide + end, "right") - first)
+    above = np.repeat(np.arange(len(row)), count)
+    below = np.arange(len(above)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+    label = np.zeros(mask.shape, np.int64)
+    label[mask] = np.repeat(_joined(len(row), above, below), end - begin) + 1
+    return label
 
 
 #: Eight neighbours (y, x), clockwise on the screen from the left.
 _TURN = ((0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1))
 
 
+def polygon_area(points: np.ndarray) -> float:
+    x, y = points[:, 0].astype(float), points[:, 1].astype(float)
+    return abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2
+
+
 def contour(mask: np.ndarray) -> np.ndarray:
-    """Outer border (x, y) of the largest part of a mask, clockwise; empty for none."""
-    label = components(mask)
-    kinds, counts = np.unique(label[label > 0], return_counts=True)
-    if not len(kinds):
+    """Outer border (x, y), clockwise, of the part of a mask whose border holds the largest area; empty for none."""
+    y, x = np.nonzero(mask)
+    if not len(y):
         return np.zeros((0, 2), int)
-    part = np.pad(label == kinds[np.argmax(counts)], 1).tolist()
-    y, x = np.argwhere(np.array(part))[0].tolist()
+    label = components(mask)[y, x]
+    kinds, part = np.unique(label, return_inverse=True)
+    box = np.array([[np.iinfo(np.int64).max] * 2 + [-1] * 2] * len(kinds))
+    np.minimum.at(box[:, 0], part, x)
+    np.minimum.at(box[:, 1], part, y)
+    np.maximum.at(box[:, 2], part, x)
+    np.maximum.at(box[:, 3], part, y)
+    bound = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])  # no area is larger
+    best, most = np.zeros((0, 2), int), -1.0
+    for k in np.argsort(-bound, kind="stable").tolist():
+        if bound[k] <= most:
+            break
+        x0, y0, x1, y1 = box[k].tolist()
+        own = np.zeros((y1 - y0 + 1, x1 - x0 + 1), bool)
+        own[y[part == k] - y0, x[part == k] - x0] = True
+        points = _border(own) + (x0, y0)
+        if (area := polygon_area(points)) > most:
+            best, most = points, area
+    return best
+
+
+def _border(mask: np.ndarray) -> np.ndarray:
+    """Outer border (x, y) of a mask of one part, clockwise."""
+    part = np.pad(mask, 1).tolist()
+    x, y = mask[0].argmax().item() + 1, 1
     start, at, back, out, second = (y, x), (y, x), 0, [], None  # the pixel to the left of the first one is outside
     while True:
         for k in range(1, 9):
@@ -180,15 +221,18 @@ def contour(mask: np.ndarray) -> np.ndarray:
         at, back = to, _TURN.index((last[0] - to[0], last[1] - to[1]))
 
 
-def _ellipse(radius: int) -> list[tuple[int, int]]:
-    r = np.arange(-radius, radius + 1)
-    return [(int(dy), int(dx)) for dy in r for dx in r if dy * dy + dx * dx <= radius * radius + radius]
-
-
 def _spread(mask: np.ndarray, radius: int) -> np.ndarray:
-    padded, out = np.pad(mask, radius), np.zeros_like(mask)
-    for dy, dx in _ellipse(radius):
-        out |= padded[radius + dy : radius + dy + mask.shape[0], radius + dx : radius + dx + mask.shape[1]]
+    """Dilated by a disc: rows are spread by its half-width at each distance, through running sums."""
+    h, w = mask.shape
+    sums = np.cumsum(np.pad(mask, ((0, 0), (radius + 1, radius))), axis=1, dtype=np.int32)
+    out = np.zeros_like(mask)
+    for dy in range(min(radius, h - 1) + 1):
+        half = int(math.isqrt(radius * radius + radius - dy * dy))
+        half = min(half, radius)
+        wide = sums[:, radius + 1 + half : radius + 1 + half + w] > sums[:, radius - half : radius - half + w]
+        out[dy:] |= wide[: h - dy]
+        if dy:
+            out[:-dy] |= wide[dy:]
     return out
 
 
@@ -196,7 +240,7 @@ def opened(mask: np.ndarray, radius: int, block: tuple[int, int, int, int]) -> n
     """Eroded, the part with most pixels in the block kept, dilated."""
     label = components(~_spread(~mask, radius))
     x, y, w, h = block
-    inside = label[y : y + h, x : x + w]
+    inside = label[max(0, y) : y + h, max(0, x) : x + w]
     kinds, counts = np.unique(inside[inside > 0], return_counts=True)
     return _spread(label == kinds[np.argmax(counts)], radius) if len(kinds) else np.zeros_like(mask)
 
@@ -221,28 +265,39 @@ def covers(points: np.ndarray, block: tuple[int, int, int, int]) -> bool:
     return bool(size[0] >= COVER * block[2] and size[1] >= COVER * block[3])
 
 
-def bubble(image: np.ndarray, block: tuple[int, int, int, int]) -> tuple[np.ndarray, tuple[int, int, int]] | None:
-    """Contour and mean colour of the bubble around a block (x, y, w, h); None if no seed's region covers it."""
-    values = gray(image)
+def bubble(image: np.ndarray, block: tuple[int, int, int, int], values: np.ndarray | None = None, label: np.ndarray | None = None) -> tuple[np.ndarray, tuple[int, int, int] | None] | None:
+    """Contour and mean colour of the bubble around a block (x, y, w, h); None if no seed's region covers it.
+
+    values and label are gray(image) and its regions(), which the blocks of a page can share. Openings are
+    compared by the area inside the outer contour, so text inside costs nothing; one that leaves no contour
+    ends the search with the last one.
+    """
+    values = gray(image) if values is None else values
+    label = regions(values) if label is None else label
     for seed in seeds(values, block):
-        raw = flood(values, seed)
-        if covers(contour(raw), block):
+        raw = label == label[seed]
+        kept = contour(raw)
+        if covers(kept, block):
             break
     else:
         return None
-    kept = raw
+    # all further work is done around the region; beyond, nothing is set
+    ys, xs = np.flatnonzero(raw.any(axis=1)), np.flatnonzero(raw.any(axis=0))
+    top, left = max(0, int(ys[0]) - max(OPENINGS)), max(0, int(xs[0]) - max(OPENINGS))
+    near = raw[top : int(ys[-1]) + max(OPENINGS) + 1, left : int(xs[-1]) + max(OPENINGS) + 1]
+    area = polygon_area(kept)
     for radius in OPENINGS:
-        now = opened(raw, radius, block)
-        if kept.sum() - now.sum() <= STABLE * kept.sum():
+        now = contour(opened(near, radius, (block[0] - left, block[1] - top, block[2], block[3]))) + (left, top)
+        if len(now) < 3 or area <= 0 or area - polygon_area(now) <= STABLE * area:
             break
-        kept = now
-    points = contour(kept)
-    if not covers(points, block):
+        kept, area = now, polygon_area(now)
+    if not covers(kept, block):
         return None
-    inside = raw & fill_polygon(points, values.shape[1], values.shape[0])
+    inside = near & fill_polygon(kept - (left, top), near.shape[1], near.shape[0])
     if not inside.any():
-        return points, None
-    return points, tuple(int(c) for c in np.clip(np.rint(image[inside].mean(axis=0)), 0, 255))
+        return kept, None
+    colours = image[top : top + near.shape[0], left : left + near.shape[1]][inside]
+    return kept, tuple(int(c) for c in np.clip(np.rint(colours.mean(axis=0)), 0, 255))
 
 
 def erase(image: np.ndarray, zones: list[tuple[np.ndarray, tuple[int, int, int]]]) -> np.ndarray:

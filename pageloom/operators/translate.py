@@ -28,16 +28,14 @@ def _best(scores: np.ndarray, k: int) -> list[int]:
 
 
 def beam_search(source: list[int], step: Step, start: int, end: int, pad: int, beams: int = BEAMS, forced: int | None = None) -> list[int]:
-    """Tokens without start and end marks. step(source, tokens) gives the logits after tokens."""
+    """Tokens without start and end marks. step(source, tokens) gives the logits after tokens; a forced first token counts with its probability."""
     live, done = [([start], 0.0)], []
     for turn in range(min(512, 3 * len(source) + 20)):
         found = []
         for tokens, score in live:
-            if forced is not None and turn == 0:
-                found.append(([*tokens, forced], score))
-                continue
             scores = _log_softmax(step(source, tokens), pad)
-            found += [([*tokens, t], score + float(scores[t])) for t in _best(scores, beams)]
+            following = [forced] if forced is not None and turn == 0 else _best(scores, beams)
+            found += [([*tokens, t], score + float(scores[t])) for t in following]
         found.sort(key=lambda h: -h[1])
         live = []
         for tokens, score in found:

@@ -81,13 +81,17 @@ def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("p").alias("n_sentences"), F.array_max(F.transform("p", lambda s: F.length(s))).alias("longest"))
 
 
-@query("""SELECT conv_id, turn, regexp_replace(lifted, '(^|[^A-Za-z0-9_])i([^A-Za-z0-9_]|$)', '\\1I\\2', 'g') AS calmed FROM (
-      SELECT conv_id, turn, regexp_extract(l, '^([^a-z]*)([a-z])', 1) || upper(regexp_extract(l, '^([^a-z]*)([a-z])', 2)) || substr(l, length(regexp_extract(l, '^([^a-z]*)([a-z])', 0)) + 1) AS lifted
-      FROM (SELECT conv_id, turn, lower(regexp_replace(text, '[^ -~]', '', 'g')) AS l FROM conversations) WHERE l SIMILAR TO '.*[a-z].*')""")
+_AZ, _UP = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LONE_I = r"'(^|[^\p{L}\p{M}\p{N}_])i($|[^\p{L}\p{M}\p{N}_])', '\1I\2', 'g'"
+_CALM = rf"""CASE WHEN regexp_matches({{0}}, '\p{{{{Ll}}}}') OR NOT regexp_matches({{0}}, '\p{{{{Lu}}}}') THEN {{0}} ELSE (SELECT regexp_replace(regexp_replace(h || upper(f) || substr(l, length(h) + 2), {_LONE_I.replace('{', '{{').replace('}', '}}')}), {_LONE_I.replace('{', '{{').replace('}', '}}')})
+    FROM (SELECT lower({{0}}) AS l, regexp_extract(lower({{0}}), '^(\P{{{{L}}}}*)(\p{{{{L}}}})', 1) AS h, regexp_extract(lower({{0}}), '^(\P{{{{L}}}}*)(\p{{{{L}}}})', 2) AS f)) END"""
+
+
+@query(f"SELECT conv_id, turn, {_CALM.format('text')} AS kept, {_CALM.format('shout')} AS calmed FROM (SELECT *, translate(text, '{_AZ}', '{_UP}') AS shout FROM conversations)")
 def case_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = F.regexp_replace("text", "[^ -~]", "")
-    shouted = table(spark, sf_dir, "conversations").withColumn("shout", F.upper(plain)).filter(F.col("shout").rlike("[A-Z]"))
-    return shouted.select("conv_id", "turn", T.calmed(F.col("shout")).alias("calmed"))
+    """All texts as they are, and with a to z as capitals: shouted ones are calmed, others stay."""
+    rows = table(spark, sf_dir, "conversations").withColumn("shout", F.translate("text", _AZ, _UP))
+    return rows.select("conv_id", "turn", T.calmed(F.col("text")).alias("kept"), T.calmed(F.col("shout")).alias("calmed"))
 
 
 @query("""WITH w AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda s: s <> '') AS words FROM conversations),
@@ -238,25 +242,71 @@ def best_hypothesis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", b["tokens"][0].alias("hypothesis"), _r(D.normalised_score(b["score"], b["tokens"])).alias("norm"), D.length_cap(F.size(b["tokens"])).alias("cap"))
 
 
-@query("""WITH v AS (SELECT c_custkey, c_custkey % 7 AS a, c_custkey % 11 AS b FROM customer)
-    SELECT c_custkey, array_to_string([(CASE WHEN a < 5 THEN a ELSE 1 END)::VARCHAR, (CASE WHEN b < 5 THEN b ELSE 1 END)::VARCHAR, '2'], ',') AS opus_ids,
-      array_to_string(['9', (CASE WHEN a < 5 AND a <> 1 THEN a + 1 ELSE 2 END)::VARCHAR, (CASE WHEN b < 5 AND b <> 1 THEN b + 1 ELSE 2 END)::VARCHAR, '2'], ',') AS nllb_ids,
-      trim((CASE WHEN a = 0 THEN ' p0' WHEN a = 2 THEN ' p2' WHEN a = 4 THEN ' p4' ELSE '' END) || (CASE WHEN b = 0 THEN ' p0' WHEN b = 2 THEN ' p2' WHEN b = 4 THEN ' p4' ELSE '' END)) AS back FROM v""")
+@query("""WITH v AS (SELECT c_custkey, c_custkey % 7 AS a, c_custkey % 11 AS b FROM customer),
+    k AS (SELECT *, CASE WHEN a IN (0, 2, 4) THEN a ELSE 1 END AS x, CASE WHEN b IN (0, 2, 4) THEN b ELSE 1 END AS y FROM v)
+    SELECT c_custkey, array_to_string([x::VARCHAR, y::VARCHAR, '2'], ',') AS opus_ids,
+      array_to_string(['9', (CASE WHEN x = 1 THEN 2 ELSE x + 1 END)::VARCHAR, (CASE WHEN y = 1 THEN 2 ELSE y + 1 END)::VARCHAR, '2'], ',') AS nllb_ids,
+      trim((CASE WHEN a = 0 THEN ' p0' WHEN a = 2 THEN ' p2' WHEN a = 4 THEN ' p4' ELSE '' END) || (CASE WHEN b = 0 THEN ' p0' WHEN b = 2 THEN ' p2' WHEN b = 4 THEN ' p4' ELSE '' END)) AS back FROM k""")
 def vocabulary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces to ids and back over a vocabulary with a gap at 3; ids out of range are dropped."""
+    """Pieces to ids and back over a vocabulary with a gap at 3, which is unknown; ids out of range are dropped."""
     vocab = config.vocabulary(F.lit('{"▁p0": 0, "<unk>": 1, "▁p2": 2, "▁p4": 4}'))
     a, b = F.col("c_custkey") % 7, F.col("c_custkey") % 11
-    pieces = F.array(*[F.when(c == 1, "<unk>").when(c == 3, "").otherwise(F.concat(F.lit("▁p"), c.cast("string"))) for c in (a, b)])
-    rows = table(spark, sf_dir, "customer").select("c_custkey", pieces.alias("p"), vocab.alias("v"), a.alias("a"), b.alias("b"))
-    # 3 is no piece of this vocabulary; the oracle takes it for itself, as does the reverse table with its gap
-    ids = F.transform(F.array("a", "b"), lambda i: F.when(i < 5, i).otherwise(F.lit(9)).cast("int"))
-    rows = rows.withColumn("found", F.zip_with(D.piece_ids(F.col("p"), F.col("v"), config.unknown_id(F.col("v"))), ids, lambda f, i: F.when(i == 3, i).otherwise(f)))
-    reverse = D.reverse_vocabulary(F.col("v"))
-    text = T.pieces_to_text(F.filter(D.id_pieces(ids, reverse), lambda p: p != "<unk>"))
+    pieces = F.array(*[F.when(c == 1, "<unk>").otherwise(F.concat(F.lit("▁p"), c.cast("string"))) for c in (a, b)])
+    rows = table(spark, sf_dir, "customer").select("c_custkey", pieces.alias("p"), vocab.alias("v"), F.array(a, b).cast("array<int>").alias("ids"))
+    rows = rows.withColumn("found", D.piece_ids(F.col("p"), F.col("v"), config.unknown_id(F.col("v"))))
+    text = T.pieces_to_text(F.filter(D.id_pieces(F.col("ids"), D.reverse_vocabulary(F.col("v"))), lambda p: p != "<unk>"))
     joined = lambda ids: F.array_join(ids.cast("array<string>"), ",")
     return rows.select("c_custkey", joined(T.framed_ids(F.col("found"), 2)).alias("opus_ids"), joined(T.framed_ids(F.col("found"), 2, source=9)).alias("nllb_ids"), text.alias("back"))
 
 
+@query("""SELECT c_custkey, array_to_string(list_transform(list_filter([7, c_custkey % 9, 0, c_custkey % 13, c_custkey % 7], lambda i: i <> 7 AND i >= 1), lambda i: i - 1), ',') AS ids,
+    array_to_string(list_filter([c_custkey % 9, 2, c_custkey % 3, c_custkey % 5], lambda i: i <> 2)[CASE WHEN c_custkey % 9 = 2 THEN 1 ELSE 2 END:], ',') AS kept FROM customer""")
+def strip_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids without target language and specials, moved down; tokens without start and end marks."""
+    k = F.col("c_custkey")
+    whole = lambda *x: F.array(*[c.cast("int") for c in x])
+    ids = T.unframed_ids(whole(F.lit(7), k % 9, F.lit(0), k % 13, k % 7), 7)
+    tokens = D.stripped(whole(k % 9, F.lit(2), k % 3, k % 5), 2)
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(ids.cast("array<string>"), ",").alias("ids"), F.array_join(tokens.cast("array<string>"), ",").alias("kept"))
+
+
+@query("""SELECT conv_id, turn, nullif(array_to_string(list_filter([CASE WHEN turn % 3 = 0 THEN '  ' ELSE text END, CASE WHEN turn % 2 = 0 THEN NULL ELSE role END], lambda s: s IS NOT NULL AND regexp_matches(s, '[^\\s\\p{Z}]')), ' '), '') AS joined,
+      coalesce(regexp_matches(CASE WHEN turn % 3 = 0 THEN '  ' ELSE text END, '[^\\s\\p{Z}]'), false) AS needs FROM conversations""")
+def join_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces that aren't blank joined, null if none; whether a zone's source needs a translation."""
+    text = F.when(F.col("turn") % 3 == 0, "  ").otherwise(F.col("text"))
+    parts = F.array(text, F.when(F.col("turn") % 2 != 0, F.col("role")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.joined(parts).alias("joined"), (~T.is_blank(text)).alias("needs"))
+
+
+@query(f"""WITH b AS (SELECT page_id, zone_idx, (x % 50)::DOUBLE AS px, (y % 40)::DOUBLE AS py, (w % 30)::DOUBLE AS bx, (h % 20)::DOUBLE AS by_ FROM ({BOXES})),
+    t AS (SELECT *, CASE WHEN bx * bx + by_ * by_ > 0 THEN least(1, greatest(0, (px * bx + py * by_) / (bx * bx + by_ * by_))) ELSE 0 END AS t FROM b)
+    SELECT page_id, zone_idx, round(sqrt((px - t * bx) * (px - t * bx) + (py - t * by_) * (py - t * by_)), 6) AS away FROM t""")
+def segment_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a point to a segment from the origin, some of no length."""
+    rows = tables.boxes(spark, sf_dir)
+    x, y, w, h = (F.col(c).cast("double") % m for c, m in (("x", 50), ("y", 40), ("w", 30), ("h", 20)))
+    return rows.select("page_id", "zone_idx", _r(G.segment_distance(x, y, G.point(F.lit(0), F.lit(0)), G.point(w, h))).alias("away"))
+
+
+@query(f"""WITH b AS (SELECT page_id, zone_idx, greatest(8.0, line_height / 0.7) AS start FROM ({BOXES}) WHERE line_height IS NOT NULL),
+    s AS (SELECT *, (floor((start - 8) / 2) + CASE WHEN (start - 8) / 2 > floor((start - 8) / 2) THEN 1 ELSE 0 END)::INT AS above FROM b)
+    SELECT page_id, zone_idx, (above + 1)::INT AS tried, round(start, 6) AS largest, round(CASE WHEN above > 0 THEN start - 2 * (above - 1) ELSE 8 END, 6) AS next_to_last FROM s""")
+def font_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes that the layout tries for each measured line height."""
+    rows = tables.boxes(spark, sf_dir).filter("line_height IS NOT NULL").withColumn("s", layout.sizes(F.col("line_height"), 0.7))
+    return rows.select("page_id", "zone_idx", F.size("s").alias("tried"), _r(F.col("s")[0]).alias("largest"), _r(F.when(F.size("s") > 1, F.element_at("s", -2)).otherwise(F.col("s")[0])).alias("next_to_last"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN (c_custkey % 5)::INT ELSE 1 END AS pad, 2 AS eos, CASE WHEN c_custkey % 3 = 0 THEN (c_custkey % 7)::INT WHEN c_custkey % 2 = 0 THEN (c_custkey % 5)::INT ELSE 1 END AS start, 6 AS layers,
+    (8 + c_custkey % 2)::INT AS heads, ((512 + c_custkey % 100) // (8 + c_custkey % 2))::INT AS head_dim FROM customer""")
+def model_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of a config.json, with defaults for what it leaves out."""
+    k = F.col("c_custkey")
+    text = F.concat(F.lit('{"decoder_attention_heads": '), (8 + k % 2).cast("string"), F.lit(', "d_model": '), (512 + k % 100).cast("string"), F.when(k % 2 == 0, F.concat(F.lit(', "pad_token_id": '), (k % 5).cast("string"))).otherwise(""), F.when(k % 3 == 0, F.concat(F.lit(', "decoder_start_token_id": '), (k % 7).cast("string"))).otherwise(""), F.lit("}"))
+    return table(spark, sf_dir, "customer").select("c_custkey", config.model_numbers(text).alias("m")).select("c_custkey", "m.*")
+
+
 _REGISTER = f"""WITH u AS ({USERS}), a AS ({ATTEMPTS}),
     r AS (SELECT a.*, upper(a.username) AS normalized, CASE WHEN length(password) < 8 THEN 'User.PasswordTooShort' WHEN length(password) > 128 THEN 'User.PasswordTooLong'
         WHEN NOT regexp_matches(a.username, '^[A-Za-z0-9_-]{{3,20}}\\n?$') THEN 'User.InvalidUsername' WHEN u.id IS NOT NULL THEN 'User.UsernameTaken' END AS rule FROM a LEFT JOIN u ON upper(a.username) = u.normalized_username),
@@ -269,10 +319,11 @@ def register_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounts.register(tables.attempts(spark, sf_dir), tables.users(spark, sf_dir)).select("attempt_id", "username", "error", "status")
 
 
-@query(f"{_REGISTER} SELECT username, normalized AS normalized_username FROM f WHERE error IS NULL UNION ALL SELECT username, normalized_username FROM u")
+@query(f"{_REGISTER} SELECT ((SELECT max(id) FROM u) + 1 + attempt_id)::BIGINT AS id, username, normalized AS normalized_username, true AS has_hash FROM f WHERE error IS NULL UNION ALL SELECT id, username, normalized_username, false FROM u")
 def insert_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = tables.users(spark, sf_dir)
-    return accounts.insert(users, accounts.register(tables.attempts(spark, sf_dir), users)).select("username", "normalized_username")
+    grown = accounts.insert(users, accounts.register(tables.attempts(spark, sf_dir), users), iterations=10)
+    return grown.select("id", "username", "normalized_username", (F.length("password_hash") == 84).alias("has_hash"))
 
 
 @query(f"""WITH u AS ({USERS}), a AS ({ATTEMPTS}) SELECT attempt_id, a.username AS username, CASE WHEN length(password) <= 128 AND u.password_hash = a.password THEN NULL ELSE 'User.InvalidCredentials' END AS error,
@@ -302,11 +353,22 @@ def page_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.groupBy("page_id").agg(F.count("*").alias("zones"), _r(F.avg(G.usable(F.col("contour")).cast("double"))).alias("with_bubble"), _r(F.avg("confidence")).alias("mean_confidence"), _r(F.avg(words)).alias("words_per_zone"))
 
 
-@query(f"""SELECT page_id, zone_idx, printf('RVB(%d, %d, %d) #%02X%02X%02X', x * 3 % 256, x * 5 % 256, x * 7 % 256, x * 3 % 256, x * 5 % 256, x * 7 % 256) AS colour, '(' || x || ', ' || y || ')' AS corner,
-      shape::INT AS usable_shape FROM ({BOXES}) WHERE shape IS NOT NULL""")
+_POINT = "'(' || ({}) || ', ' || ({}) || ')'"
+
+
+@query(f"""SELECT page_id, zone_idx, concat_ws(chr(10), 'texte original : « ' || text_src || ' »',
+      'traduction     : ' || CASE WHEN zone_idx % 2 = 0 THEN '« ' || upper(text_src) || ' »' ELSE '(pas encore traduit)' END,
+      'confiance      : ' || regexp_replace(printf('%.3f', confidence), '\\.?0+$', ''),
+      'rectangle      : HG' || {_POINT.format("x", "y")} || ' HD' || {_POINT.format("x + w", "y")} || ' BD' || {_POINT.format("x + w", "y + h")} || ' BG' || {_POINT.format("x", "y + h")} || ' [' || w || ' x ' || h || ' px, 0°]',
+      'angle du texte : ' || angle::BIGINT || '°',
+      'hauteur ligne  : ' || CASE WHEN line_height IS NULL THEN '(pas mesurée)' ELSE line_height::BIGINT || ' px' END,
+      'couleur fond   : ' || CASE WHEN shape IS NULL THEN '(pas mesurée)' ELSE printf('RVB(%d, %d, %d) #%02X%02X%02X', x * 3 % 256, x * 5 % 256, x * 7 % 256, x * 3 % 256, x * 5 % 256, x * 7 % 256) END,
+      'bulle          : ' || CASE shape WHEN 0 THEN 'contour de 4 points, centré en (5, 5)' WHEN 1 THEN 'contour de 6 points, centré en (4.7, 4.7)' WHEN 2 THEN 'contour de 3 points, centré en (6, 3)' ELSE '(aucune)' END,
+      'ordre lecture  : ' || CASE WHEN zone_idx % 3 = 0 THEN zone_idx::VARCHAR ELSE '(pas encore trié)' END) AS description FROM ({BOXES})""")
 def describe_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = tables.zones(spark, sf_dir).filter(G.usable(F.col("contour")))
-    return z.select("page_id", "zone_idx", T.colour_text(F.col("background")).alias("colour"), T.point_text(F.col("rect.hg")).alias("corner"), F.col("shape").cast("int").alias("usable_shape"))
+    z = tables.zones(spark, sf_dir)
+    text = T.zone_text(F.col("text_src"), F.when(F.col("zone_idx") % 2 == 0, F.upper("text_src")), F.col("confidence"), F.col("rect"), F.col("angle"), F.col("line_height"), F.col("background"), F.col("contour"), F.when(F.col("zone_idx") % 3 == 0, F.col("zone_idx")))
+    return z.select("page_id", "zone_idx", text.alias("description"))
 
 
 @query(f"""SELECT page_id, zone_idx, CASE WHEN shape IS NOT NULL THEN (x * 3 % 256)::INT ELSE 255 END AS red, (shape IS NOT NULL AND line_height IS NOT NULL) AS to_rewrite FROM ({BOXES})""")
@@ -326,7 +388,7 @@ def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def frame_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.frame(tables.zones(spark, sf_dir).select("page_id", "zone_idx", F.col("x").cast("double"), F.col("y").cast("double"), F.col("w").cast("double"), F.col("h").cast("double"), "contour"))
+    return raster.frame(tables.zones(spark, sf_dir).select("page_id", "zone_idx", F.col("x").cast("double"), F.col("y").cast("double"), F.col("w").cast("double"), F.col("h").cast("double"), "contour"), keep_contour=False)
 
 
 @query()

@@ -50,7 +50,10 @@ def unknown_id(vocab: Column) -> Column:
 
 
 def language_codes(tokenizers: DataFrame, text_col: str, codes: list[str]) -> DataFrame:
-    """(content, id) of the language codes among added_tokens."""
+    """(content, id) of the language codes among added_tokens; an error for a missing one."""
     kind = "struct<added_tokens:array<struct<id:int,content:string>>>"
     rows = tokenizers.select(F.explode(F.from_json(F.col(text_col), kind)["added_tokens"]).alias("t"))
-    return rows.select("t.content", "t.id").filter(F.col("content").isin(codes))
+    found = rows.select("t.content", "t.id").filter(F.col("content").isin(codes))
+    asked = tokenizers.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in codes])).alias("content"))
+    missing = F.raise_error(F.concat(F.lit("no language code "), F.col("content"))).cast("int")
+    return asked.join(found, "content", "left").select("content", F.coalesce("id", missing).alias("id"))

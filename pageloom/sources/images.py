@@ -51,26 +51,51 @@ def decode(data: bytes) -> np.ndarray:
     stride, out, before = w * channels, np.zeros((h, w * channels), np.uint8), np.zeros(w * channels, np.int64)
     for y in range(h):
         kind, line = raw[y * (stride + 1)], np.frombuffer(raw, np.uint8, stride, y * (stride + 1) + 1).astype(np.int64)
-        if kind == 2:
+        if kind == 1:
+            line = np.cumsum(line.reshape(-1, channels), axis=0).reshape(-1)
+        elif kind == 2:
             line = line + before
-        elif kind in (1, 3, 4):
-            line = line.copy()
-            for x in range(stride):
-                a, b, c = (line[x - channels] if x >= channels else 0), before[x], (before[x - channels] if x >= channels else 0)
-                if kind == 1:
-                    line[x] += a
-                elif kind == 3:
-                    line[x] += (a + b) // 2
-                else:
-                    p = a + b - c
-                    line[x] += min(((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c)))[2]
-                line[x] &= 255
+        elif kind in (3, 4):
+            line = np.array(_unfiltered(line.tolist(), before.tolist(), channels, kind))
         before = line & 255
         out[y] = before
     pixels = out.reshape(h, w, channels)
     return np.repeat(pixels, 3, axis=2) if channels == 1 else pixels[:, :, :3].copy()
 
 
+def _unfiltered(line: list[int], before: list[int], channels: int, kind: int) -> list[int]:
+    """A row whose bytes depend on those to their left: mean (3) or the closest neighbour (4)."""
+    left, corner = [0] * channels + line, [0] * channels + before
+    for x, b in enumerate(before):
+        a = left[x]
+        if kind == 3:
+            more = (a + b) >> 1
+        else:
+            c = corner[x]
+            p, q, r = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+            more = a if p <= q and p <= r else b if q <= r else c
+        left[x + channels] = (left[x + channels] + more) & 255
+    return left[channels:]
+
+
+def sizes(pages: DataFrame, image_col: str = "image") -> DataFrame:
+    """pages with width, height and error: why the image can't be read, null for one that can."""
+
+    def run(batches):
+        for rows in batches:
+            found = []
+            for data in rows[image_col]:
+                try:
+                    pixels = decode(bytes(data) if data is not None else b"")
+                    found.append((pixels.shape[1], pixels.shape[0], None))
+                except ValueError as e:
+                    found.append((None, None, str(e)))
+            yield rows.assign(**dict(zip(("width", "height", "error"), map(list, zip(*found, strict=True)), strict=True))) if found else rows.assign(width=[], height=[], error=[])
+
+    schema = pages.schema.add("width", "int").add("height", "int").add("error", "string")
+    return pages.mapInPandas(run, schema)
+
+
 def encode(pixels: np.ndarray) -> bytes:
     """PNG bytes of RGB pixels."""
     h, w = pixels.shape[:2]

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -240,3 +242,102 @@ def test_translate_dialogue_reaches_the_end_of_sentences(spark):
             assert r["text_dst"].split() == [x for c in coded for x in c]
             whole += max(map(len, coded)) > 12
     assert whole > 5
+
+
+def test_forced_token_counts_with_its_probability():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        table = {}
+
+        def step(source, tokens, table=table):
+            return table.setdefault(tuple(tokens), rng.normal(0, 2, 5))
+
+        found = translate.beam_search([3], step, 1, 2, 0, beams=5, forced=3)
+
+        def walk(tokens, score, turn):
+            log_p = translate._log_softmax(step(None, tokens), 0)
+            if turn == 0:
+                return walk([*tokens, 3], score + float(log_p[3]), 1)
+            return [([*tokens, 2], score + float(log_p[2]))] + ([] if turn == 2 else [x for t in (1, 3, 4) for x in walk([*tokens, t], score + float(log_p[t]), turn + 1)])
+
+        # wide enough a beam keeps all ways of up to two tokens after the forced one
+        best = max(walk([1], 0.0, 0), key=lambda h: h[1] / len(h[0]))[0]
+        if len(found) <= 1:
+            assert found == [t for t in best[1:] if t != 2] or len(best) > 4
+        assert found[0] == 3
+
+
+def test_bubble_full_of_text_stays_whole():
+    yy, xx = np.ogrid[:1700, :1200]
+    inside = ((xx - 500) / 220) ** 2 + ((yy - 800) / 160) ** 2 <= 1
+    drawn = np.full((1700, 1200, 3), 40, np.uint8)
+    drawn[inside] = 250
+    for y in range(720, 880, 12):
+        for x in range(360, 640, 6):
+            drawn[y : y + 8, x : x + 3] = 0
+    began = time.process_time()
+    points, colour = raster.bubble(drawn, (360, 720, 280, 160))
+    assert time.process_time() - began < 3
+    assert abs(raster.polygon_area(points) / inside.sum() - 1) < 0.02 and colour == (250, 250, 250)
+    drawn[inside] = 250  # text far apart, and a leak through a neck into a box
+    drawn[740:860:40, 360:640:3] = 0
+    drawn[797:802, 715:1000] = 250
+    drawn[600:1000, 900:1150] = 250
+    points, _ = raster.bubble(drawn, (360, 720, 280, 160))
+    assert points[:, 0].max() < 760 and abs(raster.polygon_area(points) / inside.sum() - 1) < 0.05
+
+
+def test_parts_touch_at_corners():
+    mask = np.array([[1, 0, 0, 1], [0, 1, 0, 0], [0, 0, 0, 1]], bool)
+    label = raster.components(mask)
+    assert label[0, 0] == label[1, 1] and len({label[0, 0], label[0, 3], label[2, 3]}) == 3
+    rng = np.random.default_rng(0)
+    values = rng.integers(0, 60, (30, 40)).astype(np.uint8)
+    reached, todo = {(4, 4)}, [(4, 4)]
+    while todo:
+        y, x = todo.pop()
+        for b in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+            if 0 <= b[0] < 30 and 0 <= b[1] < 40 and b not in reached and abs(int(values[b]) - int(values[y, x])) <= raster.TOLERANCE:
+                reached.add(b)
+                todo.append(b)
+    assert {tuple(p) for p in np.argwhere(raster.flood(values, (4, 4))).tolist()} == reached
+    spread = np.array([[any((y - a) ** 2 + (x - b) ** 2 <= 12 for a, b in np.argwhere(mask).tolist()) for x in range(4)] for y in range(3)])
+    assert (raster._spread(mask, 3) == spread).all()
+
+
+def test_zone_text(spark):
+    q = G.rectangle(F.lit(1.26), F.lit(2), F.lit(10), F.lit(4))
+    none = F.lit(None)
+    text = one(spark, T.zone_text(F.lit("Hi"), none.cast("string"), F.lit(0.9504), q, F.lit(-0.5), none.cast("double"), none, none, F.lit(3)))
+    assert text.split("\n") == ["texte original : « Hi »", "traduction     : (pas encore traduit)", "confiance      : 0.95", "rectangle      : HG(1.3, 2) HD(11.3, 2) BD(11.3, 6) BG(1.3, 6) [10 x 4 px, 0°]", "angle du texte : -0.5°", "hauteur ligne  : (pas mesurée)", "couleur fond   : (pas mesurée)", "bulle          : (aucune)", "ordre lecture  : 3"]
+    assert one(spark, T.polygon_text(F.array(*[G.point(F.lit(x), F.lit(y)) for x, y in ((0, 0), (12, 0), (6, 9))]))) == "contour de 3 points, centré en (6, 3)"
+
+
+def test_accounts_hash_and_verify(spark):
+    users = spark.createDataFrame([(7, "Jules", "JULES", accounts.hash_password("secret-12", iterations=10))], "id int, username string, normalized_username string, password_hash string")
+    attempts = spark.createDataFrame([(1, "abc", "pass-word"), (2, "abd", "other-word"), (3, "jules", "secret-12")], "attempt_id int, username string, password string")
+    grown = accounts.insert(users, accounts.register(attempts, users), iterations=10)
+    rows = {r["username"]: r for r in grown.collect()}
+    assert sorted(rows) == ["Jules", "abc", "abd"] and len({r["id"] for r in rows.values()}) == 3 and min(rows["abc"]["id"], rows["abd"]["id"]) > 7
+    tries = spark.createDataFrame([(1, "ABC", "pass-word"), (2, "abd", "pass-word"), (3, "nobody", ""), (4, "Jules", "secret-12"), (5, "abc", None)], "attempt_id int, username string, password string")
+    assert {r["attempt_id"]: r["status"] for r in accounts.login(tries, spark.createDataFrame(grown.collect(), grown.schema)).collect()} == {1: 200, 2: 401, 3: 401, 4: 200, 5: 401}
+
+
+def test_missing_language_code(spark):
+    rows = spark.createDataFrame([('{"added_tokens": [{"id": 5, "content": "fra"}]}',)], "t string")
+    assert [tuple(r) for r in config.language_codes(rows, "t", ["fra"]).collect()] == [("fra", 5)]
+    with pytest.raises(Exception, match="no language code"):
+        config.language_codes(rows, "t", ["fra", "eng"]).collect()
+
+
+def test_unreadable_images_are_told(spark):
+    png = images.encode(np.zeros((3, 5, 3), np.uint8))
+    rows = spark.createDataFrame([(1, png), (2, b"xx"), (3, None)], "page_id long, image binary")
+    got = {r["page_id"]: (r["width"], r["height"], r["error"] is None) for r in images.sizes(rows).collect()}
+    assert got == {1: (5, 3, True), 2: (None, None, False), 3: (None, None, False)}
+
+
+def test_user_columns_survive(spark):
+    z = page(spark, [("a", 0, 0, 10, 10), ("b", 0, 50, 10, 10)]).withColumns({"band": F.lit("x"), "low": F.lit("y"), "cx": F.lit("z")})
+    for fold in (False, True):
+        assert {(r["band"], r["low"], r["cx"]) for r in order.reading_order(z, fold).collect()} == {("x", "y", "z")}
