@@ -8,12 +8,13 @@
   lower one). The filterbanks become fixed-shape Arrow tensors of FRAMES x MELS,
   one row for each span of time, kept as an Arrow stream in a binary column.
 
-Files are processed one by one in blocks of BLOCK_FRAMES frames, so memory doesn't
-follow a file's length, and equal files give equal values.
+Files are processed one by one. Signals and spectra are made in blocks of BLOCK_FRAMES
+frames; of a file only its bytes and its filterbanks (four bytes for each and band) are
+held whole. Equal files give equal values.
 
 Defined results: null counts as empty, which becomes 64 zero bytes; an unreadable
 file gives null features; an empty table gives an empty result; repeated rows are
-treated alike.
+treated alike; other columns than those asked for are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact, lines, lm_score, media, mixing, pieces, quality, simhash, toxicity, warc
+from .common import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +36,8 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.encode(table(spark, sf_dir, "documents"), "text", "doc_id")
-    return media.features(stored, "media", "doc_id", "n_bytes", with_tensors=False).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    files = stored(media.encode(table(spark, sf_dir, "documents"), "text", "doc_id"), "media")
+    return media.features(files, "media", "doc_id", "n_bytes").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "spans", "tensors")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

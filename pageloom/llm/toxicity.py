@@ -3,18 +3,20 @@
 Features are hashed lower-case words and their first PREFIX bytes (which catch
 inflected forms), as presence. Of the features in a bounded sample of labelled documents (SAMPLE_DOCS of each kind, by hash of the id) those
 are kept that mark toxic documents beyond chance and by a wide ratio of odds.
-Labels say toxic or not; toxic documents are graded 1 to GRADES - 1 by how many of
-the marking words they hold (quantiles within the sample). The model has one
-weight vector for all thresholds: P(grade > j) = sigmoid(w.x - theta_j) with
-theta_0 < theta_1 < ..., fitted in numpy. The severity is the expected grade, the
+Labels are ordered grades, 0 for clean, up to MAX_GRADE (higher ones count as that);
+labels that only say toxic or not make two ordered grades with one threshold. The
+model has one weight vector for all thresholds: P(grade > j) = sigmoid(w.x - theta_j)
+with theta_0 < theta_1 < ..., fitted in numpy. The severity is the expected grade, the
 sum of P(grade > j); toxic means P(grade > 0) >= 1/2.
 
 Whole texts are read, in one pass. The model is a few thousand numbers.
 
 Defined results: null and empty texts hold no feature and get the severity of a
 text without any; without labels of both kinds no word marks anything and all
-documents get severity 0; repeated labels of an id count once (the worst one);
-repeated rows are scored alike; an empty table gives an empty result.
+documents get severity 0; repeated labels of an id count once (the worst one), null and
+negative ones not at all; repeated rows are scored alike; texts of any length are read
+whole; other columns are ignored, whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes
 
 SAMPLE_DOCS = 3000
-GRADES = 4
+MAX_GRADE = 9
 MIN_DOCS = 5
 #: The least root of the likelihood ratio (G squared) of a marking word: standard errors, about.
 Z = 4.7
@@ -96,10 +98,24 @@ def marking(clean: list[np.ndarray], toxic: list[np.ndarray]) -> np.ndarray:
     return np.sort(every[ok[np.argsort(-z[ok], kind="stable")[:MAX_WORDS]]])
 
 
-def fit(clean: list[np.ndarray], toxic: list[np.ndarray], grades: int = GRADES) -> Model:
-    vocabulary = marking(clean, toxic)
+def _loss(x: np.ndarray, above: np.ndarray, weight: np.ndarray, theta: np.ndarray) -> float:
+    """The weighted negative log-likelihood of the binary questions "above grade j?"."""
+    z = np.where(above, 1, -1) * (x[:, None] - theta)
+    return float((np.logaddexp(0, -z) * weight).sum())
+
+
+def _slopes(x: np.ndarray, above: np.ndarray, weight: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the loss by each document's x and by each threshold."""
+    error = (_sigmoid(x[:, None] - theta) - above) * weight
+    return error.sum(axis=1), -error.sum(axis=0)
+
+
+def fit(groups: list[list[np.ndarray]]) -> Model:
+    """groups: features of documents by grade, from clean on; each grade weighs the same."""
+    clean, toxic = groups[0] if groups else [], [x for g in groups[1:] for x in g]
+    vocabulary, n_thresholds = marking(clean, toxic), max(1, len(groups) - 1)
     if not len(vocabulary):
-        return Model(vocabulary, np.zeros(0), np.arange(grades - 1, dtype=float))
+        return Model(vocabulary, np.zeros(0), np.arange(n_thresholds, dtype=float))
     rows, columns = [], []
     for i, hashes in enumerate(clean + toxic):
         at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
@@ -107,20 +123,15 @@ def fit(clean: list[np.ndarray], toxic: list[np.ndarray], grades: int = GRADES)
         rows.append(np.full(len(hit), i))
         columns.append(hit)
     row, column, n = np.concatenate(rows), np.concatenate(columns), len(clean) + len(toxic)
-    held = np.bincount(row, minlength=n)[len(clean) :]
-    steps = np.quantile(held, np.arange(1, grades - 1) / (grades - 1))
-    grade = np.zeros(n, int)
-    grade[len(clean) :] = 1 + (held[:, None] > steps).sum(axis=1)
-    above = grade[:, None] > np.arange(grades - 1)  # shared weights: one binary question for each threshold
+    grade = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    above = grade[:, None] > np.arange(n_thresholds)  # shared weights: one binary question for each threshold
     weight = np.where(grade > 0, 0.5 / max(1, len(toxic)), 0.5 / max(1, len(clean)))[:, None]
-    w, first, gaps = np.zeros(len(vocabulary)), 1.0, np.zeros(grades - 2)
-    moment = [np.zeros(len(vocabulary)), 0.0, np.zeros(grades - 2)]
+    w, first, gaps = np.zeros(len(vocabulary)), 1.0, np.zeros(n_thresholds - 1)
+    moment = [np.zeros(len(vocabulary)), 0.0, np.zeros(n_thresholds - 1)]
     for _ in range(STEPS):
         x = np.bincount(row, w[column], minlength=n)
         theta = first + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))  # ascending by construction
-        error = (_sigmoid(x[:, None] - theta) - above) * weight
-        by_row = error.sum(axis=1)
-        slope = -error.sum(axis=0)
+        by_row, slope = _slopes(x, above, weight, theta)
         tail = np.cumsum(slope[::-1])[::-1]
         grads = [np.bincount(column, by_row[row], minlength=len(w)) + PENALTY * w, tail[0], tail[1:] * np.exp(gaps)]
         steps_now = []
@@ -132,13 +143,15 @@ def fit(clean: list[np.ndarray], toxic: list[np.ndarray], grades: int = GRADES)
     return Model(vocabulary, w, theta)
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, n: int, seed: int = SEED) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Word hashes of at most n clean and n toxic labelled documents, on the driver."""
-    judged = labels.select(F.col(id_col).cast("bigint").alias("__tox_id"), F.col(label_col).cast("int").alias("__tox_label")).dropna().groupBy("__tox_id").agg(F.max("__tox_label").alias("__tox_label"))
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, n: int, seed: int = SEED) -> list[list[np.ndarray]]:
+    """By grade, word hashes of at most n labelled documents, on the driver: MAX_GRADE + 1 times n at most."""
+    judged = labels.select(F.col(id_col).cast("bigint").alias("__tox_id"), F.least(F.lit(MAX_GRADE), F.col(label_col).cast("int")).alias("__tox_label")).dropna().filter("__tox_label >= 0")
+    judged = judged.groupBy("__tox_id").agg(F.max("__tox_label").alias("__tox_label"))
     order = F.xxhash64(F.lit(seed), F.col("__tox_id"))
-    ids = [(r[0], int(r[1] > 0)) for c in ("__tox_label <= 0", "__tox_label > 0") for r in judged.filter(c).orderBy(order, "__tox_id").limit(n).collect()]  # 2 n at most
+    grades = sorted({0} | {r[0] for r in judged.select("__tox_label").distinct().collect()})
+    ids = [(r[0], i) for i, g in enumerate(grades) for r in judged.filter(F.col("__tox_label") == g).orderBy(order, "__tox_id").limit(n).collect()]
     if not ids:
-        return [], []
+        return [[]]
     listed = docs.sparkSession.createDataFrame(ids, "__tox_id bigint, __tox_label int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,10 +159,10 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
             hashes = [words(t).astype("<u4").tobytes() for t in as_bytes(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.binary())], ["id", "label", "words"])
 
-    picked = docs.join(F.broadcast(listed), F.col(id_col).cast("bigint") == F.col("__tox_id")).select("__tox_id", "__tox_label", F.col(text_col).cast("string"))
+    picked = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("__tox_id"), F.col(f"`{text_col}`").cast("string").alias("__tox_text")).join(F.broadcast(listed), "__tox_id").select("__tox_id", "__tox_label", "__tox_text")
     # repeated rows of an id would make the sample unbounded: one of each stays
     rows = picked.mapInArrow(run, "id bigint, label int, words binary").groupBy("id", "label").agg(F.min("words").alias("words")).orderBy("id").collect()
-    return tuple([np.frombuffer(r[2], "<u4") for r in rows if r[1] == kind] for kind in (0, 1))
+    return [[np.frombuffer(r[2], "<u4") for r in rows if r[1] == i] for i in range(len(grades))]
 
 
 def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,4 +180,4 @@ def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    return grade(docs, fit(*sample(docs, labels, id_col, text_col, label_col, sample_docs)), id_col, text_col)
+    return grade(docs, fit(sample(docs, labels, id_col, text_col, label_col, sample_docs)), id_col, text_col)

@@ -13,13 +13,15 @@ separator). Pointer jumping from the start of each file keeps the candidates tha
 the chain reaches; a magic inside a payload is not reached. Payloads that hold a
 magic are put together again from their pieces. The chain of a file is narrow (a
 few numbers for each candidate) and bounded by the file, which the writer rolls at
-MAX_RECORDS records.
+MAX_RECORDS records. Chain and payloads come from two scans, in a session of their own
+whose settings fix how files are cut, whatever executors come and go in between.
 
 Defined results: null html counts as empty, null urls and ids are left out of the
 header and read back as null; pages without an id are never referred to unless
 their whole group has none; rows that share the kept id are all responses; control
 characters in urls are percent-encoded; an empty table gives no archive and an
-empty result; further columns are ignored. A file whose chain breaks (truncated,
+empty result; further columns are ignored, whatever their names; payloads of any length
+are kept whole. A file whose chain breaks (truncated,
 or bytes between records) keeps its records up to the break.
 """
 
@@ -152,8 +154,18 @@ def _chain(pieces: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"file": pieces["file"], "block": pieces["block"], "seq": pieces["seq"], "record": np.where(inside, offset[owner], -1), "starts": reached, "like_one": pieces["head"] > 0})
 
 
+def _steady(spark: SparkSession) -> SparkSession:
+    """A session like this one in which files are always cut alike: by size, not by how many executors there are now."""
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set("spark.sql.files.minPartitionNum", "1")
+    return own
+
+
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """Candidates: what stands between two magics, with its place, and header and content length if it has them."""
+    """Candidates: what stands between two magics, with its place, and header and content length if it has them.
+
+    The places of two scans are the same if files are cut alike: spark is a _steady() session.
+    """
     read = spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
     body = F.locate("\r\n\r\n", F.col("value"))
     head = F.when(body > 0, F.substring_index("value", "\r\n\r\n", 1))
@@ -180,7 +192,7 @@ def _fields(payload: Column) -> list[Column]:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Records of the archives: record_type, url, page_id, refers_to, referred_bytes, declared_digest, payload (binary)."""
-    pieces = _pieces(spark, path)
+    pieces = _pieces(_steady(spark), path)
     chain = pieces.select("file", "block", "seq", "n", "head", "content").groupBy("file").applyInPandas(_chain, "file string, block bigint, seq bigint, record bigint, starts boolean, like_one boolean")
     chain = stored(chain, "warc-chain")
     # a record in one piece is read where it stands: its length says so, and the chain that it starts a record

@@ -424,6 +424,80 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs_of(spark, nasty()), labels.limit(0)).filter("toxic").count() == 0
 
 
+def test_toxicity_slopes_and_grades(spark):
+    rng = np.random.default_rng(1)
+    x, theta, weight = rng.normal(size=30), np.array([-0.5, 0.3, 1.4]), rng.random((30, 1))
+    above = rng.integers(0, 4, 30)[:, None] > np.arange(3)
+    by_row, by_theta = toxicity._slopes(x, above, weight, theta)
+    step = lambda v, i: np.where(np.arange(len(v)) == i, 1e-6, 0)
+    for i in range(30):
+        assert abs((toxicity._loss(x + step(x, i), above, weight, theta) - toxicity._loss(x - step(x, i), above, weight, theta)) / 2e-6 - by_row[i]) < 1e-6
+    for j in range(3):
+        assert abs((toxicity._loss(x, above, weight, theta + step(theta, j)) - toxicity._loss(x, above, weight, theta - step(theta, j))) / 2e-6 - by_theta[j]) < 1e-6
+    # four given grades: a word of grade g is in documents of grade g and above
+    grades = rng.integers(0, 4, 1200)
+    texts = [" ".join([f"w{k}" for k in rng.integers(0, 300, 40)] + [f"bad{g}{rng.integers(3)}" for g in range(1, v + 1)]) for v in grades]
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(grades) if i < 800], "doc_id long, toxic int")
+    got = {r["id"]: r for r in toxicity.toxicity(docs_of(spark, texts), labels).collect()}
+    held = range(800, 1200)
+    assert np.mean([got[i]["grade"] == grades[i] for i in held]) > 0.9
+    assert np.mean([abs(got[i]["severity"] - grades[i]) for i in held]) < 0.5
+    assert all(0 <= got[i]["severity"] <= 3 for i in got)
+    assert toxicity.toxicity(docs_of(spark, ["a"]).limit(0), labels).count() == 0
+
+
+def test_warc_under_another_layout(spark):
+    magic = "x WARC/1.0\r\nWARC-Type: response\r\nX-Page-Id: 77\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n y"
+    rows = spark.createDataFrame([(i, f"http://h/{i}", (magic if i % 10 == 0 else "<p>") + f" {i} " * 30) for i in range(1500)], "page_id long, url string, html string").coalesce(1)
+    settings = {"spark.sql.files.openCostInBytes": "1000", "spark.sql.leafNodeDefaultParallelism": "4"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        back = warc.archive(rows)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "32")
+        got = [(r["page_id"], r["payload_bytes"]) for r in back.collect()]
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert sorted(got) == [(i, len((magic if i % 10 == 0 else "<p>") + f" {i} " * 30)) for i in range(1500)]
+
+
+def test_warc_broken_chain(spark, tmp_path):
+    record = lambda n: f"WARC/1.0\r\nWARC-Type: response\r\nX-Page-Id: {n}\r\nContent-Length: 5\r\n\r\nhello"
+    (tmp_path / "a.warc").write_bytes((record(1) + "\r\n\r\n" + record(2) + "\r\n\r\nodd" + record(3) + "\r\n\r\n").encode())
+    (tmp_path / "b.warc").write_bytes((record(4) + "\r\n\r\n" + record(5)[:-2]).encode())
+    assert sorted(r["page_id"] for r in warc.read(spark, str(tmp_path)).collect()) == [1, 2, 4]
+
+
+def test_media_against_plain_sums(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 256, 700).astype(np.uint8)
+    signal, phases = (x.astype(float) - 128) / 128, media._filter_phases()
+    taps = np.zeros((2 * media.HALF_TAPS + 1) * media.UP)
+    for p in range(media.UP):
+        taps[p :: media.UP] = phases[p][::-1]
+    up = np.zeros(len(x) * media.UP)
+    up[:: media.UP] = signal
+    want = np.convolve(up, taps)[media.HALF_TAPS * media.UP :][:: media.DOWN]
+    total = -(-len(x) * media.UP // media.DOWN)
+    assert np.allclose(media.resampled(x, 0, total, phases), want[:total], atol=1e-5)
+    mel, rate = media.log_mel(x), media.RATE * media.UP / media.DOWN
+    padded = np.concatenate((want[:total], np.zeros(media.WINDOW)))
+    n, bank = np.arange(media.WINDOW), media._mel_bank(rate)
+    for k in range(len(mel) - 1):  # beyond the end the filter's tail goes on
+        frame = padded[k * media.HOP : k * media.HOP + media.WINDOW] * (0.5 - 0.5 * np.cos(2 * np.pi * n / media.WINDOW))
+        power = [abs((frame * np.exp(-2j * np.pi * f * n / media.WINDOW)).sum()) ** 2 for f in range(media.WINDOW // 2 + 1)]
+        assert np.allclose(mel[k], 10 * np.log10(np.array(power) @ bank + media.FLOOR), atol=0.02)
+    rows = spark.createDataFrame([(1, media.to_wav(x.tobytes())), (2, b"RIFF"), (3, None)], "i int, media binary")
+    got = {r["i"]: r for r in media.features(rows, "media", "i").collect()}
+    table = media.from_stream(got[1]["tensors"])
+    assert np.array_equal(table["log_mel"].combine_chunks().to_numpy_ndarray().reshape(-1, media.MELS)[: len(mel)], mel)
+    assert table["end_s"].to_pylist()[-1] * rate == pytest.approx(len(mel) * media.HOP + media.WINDOW - media.HOP)
+    assert [[a * rate / media.HOP, b * rate / media.HOP] for a, b in got[1]["spans"]] == pytest.approx(media.segments(mel.mean(axis=1)).tolist())
+    assert got[2]["payload_bytes"] is None and got[2]["media_bytes"] == 4 and got[3]["feature"] is None
+    assert media.features(rows.limit(0), "media", "i").count() == 0
+
+
 def test_lm_prefers_corpus_order(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = lm_score.score(docs).collect()
