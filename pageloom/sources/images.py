@@ -7,8 +7,10 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _PNG = b"\x89PNG\r\n\x1a\n"
 
@@ -90,9 +92,10 @@ def sizes(pages: DataFrame, image_col: str = "image") -> DataFrame:
                     found.append((pixels.shape[1], pixels.shape[0], None))
                 except ValueError as e:
                     found.append((None, None, str(e)))
-            yield rows.assign(**dict(zip(("width", "height", "error"), map(list, zip(*found, strict=True)), strict=True))) if found else rows.assign(width=[], height=[], error=[])
+            width, height, error = zip(*found, strict=True) if found else ([], [], [])
+            yield rows.assign(width=pd.array(width, dtype="Int32"), height=pd.array(height, dtype="Int32"), error=pd.Series(error, index=rows.index, dtype=object))
 
-    schema = pages.schema.add("width", "int").add("height", "int").add("error", "string")
+    schema = T.StructType([*pages.schema.fields, T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("error", T.StringType())])
     return pages.mapInPandas(run, schema)
 
 

@@ -308,7 +308,8 @@ def test_parts_touch_at_corners():
 def test_zone_text(spark):
     q = G.rectangle(F.lit(1.26), F.lit(2), F.lit(10), F.lit(4))
     none = F.lit(None)
-    text = one(spark, T.zone_text(F.lit("Hi"), none.cast("string"), F.lit(0.9504), q, F.lit(-0.5), none.cast("double"), none, none, F.lit(3)))
+    colour, points = none.cast("struct<r:int,g:int,b:int>"), none.cast("array<struct<x:double,y:double>>")
+    text = one(spark, T.zone_text(F.lit("Hi"), none.cast("string"), F.lit(0.9504), q, F.lit(-0.5), none.cast("double"), colour, points, F.lit(3)))
     assert text.split("\n") == ["texte original : « Hi »", "traduction     : (pas encore traduit)", "confiance      : 0.95", "rectangle      : HG(1.3, 2) HD(11.3, 2) BD(11.3, 6) BG(1.3, 6) [10 x 4 px, 0°]", "angle du texte : -0.5°", "hauteur ligne  : (pas mesurée)", "couleur fond   : (pas mesurée)", "bulle          : (aucune)", "ordre lecture  : 3"]
     assert one(spark, T.polygon_text(F.array(*[G.point(F.lit(x), F.lit(y)) for x, y in ((0, 0), (12, 0), (6, 9))]))) == "contour de 3 points, centré en (6, 3)"
 
