@@ -44,9 +44,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THETA = 1.5
 SEED = 3
 #: Characters that are drawn together.
-BLOCK = 400_000
+BLOCK = 200_000
 #: Positions of lattices held.
-CACHE_NODES = 1_000_000
+CACHE_NODES = 500_000
 #: Longer words are learnt one by one.
 LONG_WORD = 200
 _SPACE, _LITERAL = 0x2581, 0x110000

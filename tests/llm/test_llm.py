@@ -342,7 +342,7 @@ def test_pieces_cross_any_place_of_a_long_word(monkeypatch):
         ends[np.cumsum(x)] += 1  # the id is the piece's length
     assert ends[300] == n and np.ptp(ends[20:280] / n) < 0.07
     whole = s.encode(["aa a aaa " * 60, "a"], [5, 6])
-    monkeypatch.setattr(pieces, "BLOCK", 400_000)
+    monkeypatch.setattr(pieces, "BLOCK", 200_000)
     assert [x.tolist() for x in whole] == [x.tolist() for x in s.encode(["aa a aaa " * 60, "a"], [5, 6])]
 
 
