@@ -247,8 +247,11 @@ def _shortest(left: np.ndarray, right: np.ndarray, length: np.ndarray, rep: np.n
     return np.concatenate([*taken, np.zeros(0, np.int64)])
 
 
-def _forest(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, home: np.ndarray, distance: int, shortest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links in rows that are sorted by key, as pairs of reps: stars, or links that are as short as can be."""
+def _forest(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, home: np.ndarray, segment: np.ndarray, distance: int, shortest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links in rows that are sorted by key, as pairs of reps: stars, or links that are as short as can be.
+
+    Rows that are sure to meet on an earlier segment of the fingerprint are linked there.
+    """
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(key)])))
     group = np.repeat(np.arange(len(starts)), sizes)
@@ -271,9 +274,14 @@ def _forest(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, home: np.ndarray,
         left = np.repeat(homes[at:to], count)
         right = np.arange(len(left)) - np.repeat(done[at:to] - done[at], count) + np.repeat(begin[at:to], count)
         linked = (np.bitwise_count(fp[left] ^ fp[right]) <= distance) & (rep[left] != rep[right])
-        lefts.append(left[linked])
-        rights.append(right[linked])
-        held += int(linked.sum())
+        left, right = left[linked], right[linked]
+        differ, new = fp[left] ^ fp[right], np.ones(len(left), bool)
+        for number, (first, free) in enumerate(SEGMENTS[:-1]):
+            bits = differ >> np.uint64(first) & np.uint64((1 << 15 + free) - 1)
+            new &= (segment[left] <= number) | (np.bitwise_count(bits) > 1)
+        lefts.append(left[new])
+        rights.append(right[new])
+        held += int(new.sum())
         if held > _PAIRS:
             left, right = reduced()
             lefts, rights, held = [left], [right], len(left)
@@ -311,7 +319,7 @@ def _compare(rows: DataFrame, distance: int, shortest: bool) -> DataFrame:
             new = np.concatenate(([before is not None and before != (key[0], salt[0])], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
             cell = rank + np.cumsum(new)  # a growing number for each (key, cell)
             rank, before = int(cell[-1]), (key[-1], salt[-1])
-            held.append([cell, fp.view(np.uint64), rep, home])
+            held.append([cell, fp.view(np.uint64), rep, home, key >> 40 & 15])
             count += len(cell)
             if count > 50_000:
                 yield from flush(False)
