@@ -250,7 +250,8 @@ def _shortest(left: np.ndarray, right: np.ndarray, length: np.ndarray, rep: np.n
 def _forest(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, home: np.ndarray, segment: np.ndarray, distance: int, shortest: bool) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the links in rows that are sorted by key, as pairs of reps: stars, or links that are as short as can be.
 
-    Rows that are sure to meet on an earlier segment of the fingerprint are linked there.
+    Rows are linked on the first segment on which they differ in one bit at most, and only there: others
+    meet by chance.
     """
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(key)])))
@@ -275,10 +276,10 @@ def _forest(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, home: np.ndarray,
         right = np.arange(len(left)) - np.repeat(done[at:to] - done[at], count) + np.repeat(begin[at:to], count)
         linked = (np.bitwise_count(fp[left] ^ fp[right]) <= distance) & (rep[left] != rep[right])
         left, right = left[linked], right[linked]
-        differ, new = fp[left] ^ fp[right], np.ones(len(left), bool)
-        for number, (first, free) in enumerate(SEGMENTS[:-1]):
-            bits = differ >> np.uint64(first) & np.uint64((1 << 15 + free) - 1)
-            new &= (segment[left] <= number) | (np.bitwise_count(bits) > 1)
+        differ, own, new = fp[left] ^ fp[right], segment[left], np.ones(len(left), bool)
+        for number, (first, free) in enumerate(SEGMENTS):
+            met = np.bitwise_count(differ >> np.uint64(first) & np.uint64((1 << 15 + free) - 1)) <= 1
+            new &= np.where(own == number, met, ~met | (own < number))
         lefts.append(left[new])
         rights.append(right[new])
         held += int(new.sum())
