@@ -22,10 +22,11 @@ def _in_order(order: list[Column], value: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(*keys, value.alias("v")))), lambda s: s["v"])
 
 
-def blocks(ocr_lines: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def blocks(ocr_lines: DataFrame, min_confidence: float = MIN_CONFIDENCE, keep: tuple[str, ...] = ()) -> DataFrame:
     """One zone per block (page_id, zone_idx) of lines (line, text, score, corners): text, confidence, line_height, angle, rect.
 
-    Blank lines don't count; blocks whose lowest score is under the threshold go.
+    Blank lines don't count; blocks whose lowest score is under the threshold go. keep: columns
+    that all lines of a block share.
     """
     if not 0 <= min_confidence <= 1:
         raise ValueError("the confidence threshold lies between 0 and 1")
@@ -39,6 +40,7 @@ def blocks(ocr_lines: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> Data
         mean_angle(G.angle(F.col("q"))).alias("angle"),
         G.bounding_quad(F.collect_list("q")).alias("rect"),
         F.count("*").alias("n_lines"),
+        *[F.first(c).alias(c) for c in keep],
     )
     return made.filter(F.col("confidence") >= min_confidence)
 

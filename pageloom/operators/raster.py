@@ -12,6 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pageloom.sources import images
 
 OPENINGS = (3, 5, 7, 10, 14)
 STABLE = 0.15
@@ -307,3 +310,22 @@ def erase(image: np.ndarray, zones: list[tuple[np.ndarray, tuple[int, int, int]]
         if len(points) >= 3:
             out[fill_polygon(np.rint(points).astype(int), image.shape[1], image.shape[0])] = colour
     return out
+
+
+def erase_pages(pages: DataFrame, zones: DataFrame, fallback: tuple[int, int, int] = (255, 255, 255)) -> DataFrame:
+    """pages (page_id, image, any columns) with each usable contour of their zones filled, by its background or the fallback, as PNG.
+
+    A page without such a zone is written again as it is; an unreadable image is an error.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            done = []
+            for data, shapes in zip(rows["image"], rows["__erase"], strict=True):
+                todo = [] if shapes is None else [(np.array([[p["x"], p["y"]] for p in s["contour"]], float), fallback if s["background"] is None else tuple(s["background"][c] for c in "rgb")) for s in shapes]
+                done.append(images.encode(erase(images.decode(data), todo)))
+            yield rows.assign(image=done)[names]
+
+    names = pages.columns
+    shapes = zones.filter(F.size("contour") >= 3).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("zone_idx", "contour", "background"))).alias("__erase"))
+    return pages.join(shapes, "page_id", "left").mapInPandas(run, pages.schema)

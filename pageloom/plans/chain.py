@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,17 @@ Stage = Callable[[DataFrame], DataFrame]
 NAMES = ("read", "frame", "order", "translate", "erase", "rewrite")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once into the cluster's shared checkpoint folder: later stages that read it twice don't make it again, and lost executors cost nothing."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pageloom-chain-"))
+    return df.checkpoint()
+
+
 class Chain:
     """The six stages, in this order; each gets what the one before returned."""
 

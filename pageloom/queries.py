@@ -13,6 +13,7 @@ from pageloom.functions import decoding as D
 from pageloom.functions import geometry as G
 from pageloom.functions import text as T
 from pageloom.operators import accounts, detect, layout, merge, order, raster, translate
+from pageloom.plans.pages import page_chain
 from pageloom.sources import config, images, tables
 from pageloom.sources.tables import ATTEMPTS, BOXES, USERS, table
 
@@ -439,3 +440,75 @@ def erase_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["page_id", "contour_points", "ink_left", "centre_red"])
 
     return pages.mapInPandas(run, "page_id bigint, contour_points int, ink_left int, centre_red int")
+
+
+_GRID = (160, 120)  # rows and columns of a quarter of a drawn page
+
+
+def drawn_page(page: int) -> np.ndarray:
+    """A page of four quarters, up to three of them with a bubble that holds strokes."""
+    image = np.full((2 * _GRID[0], 2 * _GRID[1], 3), 120, np.uint8)
+    for quarter in range(4):
+        if (page + quarter) % 3:
+            y, x = quarter // 2 * _GRID[0], quarter % 2 * _GRID[1]
+            image[y + 16 : y + 144, x + 12 : x + 108] = (250, 245, 240)
+            for stroke in range(3 + (page + quarter) % 5):
+                image[y + 60 : y + 90, x + 36 + 6 * stroke : x + 38 + 6 * stroke] = 0
+    return image
+
+
+def _stroke_detector():
+    def found(tensor: np.ndarray) -> np.ndarray:
+        dark, half, out = tensor[0].max(axis=0) < 0.25, tensor.shape[2] // 2, []
+        for quarter in range(4):
+            y0, x0 = quarter // 2 * half, quarter % 2 * half
+            ys, xs = np.nonzero(dark[y0 : y0 + half, x0 : x0 + half])
+            if len(ys):
+                w, h = np.ptp(xs) + 60, np.ptp(ys) + 40
+                box = ((xs.min() + xs.max()) / 2 + x0, (ys.min() + ys.max()) / 2 + y0, w, h)
+                out += [(*box, 0.9), (*box, 0.8), (*box, 0.2)]  # a double and one without score
+        return np.array(out)
+
+    return found
+
+
+def _stroke_ocr():
+    def lines(crop: np.ndarray) -> list:
+        dark = (crop.max(axis=2) < 64).any(axis=0)
+        if not dark.any():
+            return []
+        strokes = int((np.diff(dark.astype(int), prepend=0) == 1).sum())
+        rows = np.flatnonzero((crop.max(axis=2) < 64).any(axis=1))
+        xs, (y0, y1) = np.flatnonzero(dark), (rows[0], rows[-1] + 1)
+        corners = [(xs[0], y0), (xs[-1] + 1, y0), (xs[-1] + 1, y1), (xs[0], y1)]
+        return [(f"I see {strokes}.", 0.9, corners), (" ", 0.1, corners)]
+
+    return lines
+
+
+@query("""WITH q AS (SELECT s_suppkey AS page_id, k, 3 + (s_suppkey + k) % 5 AS strokes FROM supplier, (VALUES (0), (1), (2), (3)) t(k) WHERE (s_suppkey + k) % 3 <> 0)
+    SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY k // 2, CASE WHEN page_id % 2 = 0 THEN -(k % 2) ELSE k % 2 END) - 1)::INT AS rank,
+      'I see ' || strokes || '.' AS text_src, 'i see ' || strokes || '.' AS text_dst, 30.0::DOUBLE AS line_height, 'RVB(250, 245, 240) #FAF5F0' AS background,
+      'i see ' || strokes || '.' AS words, 0 AS ink_left FROM q""")
+def read_to_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawn pages through all six stages, with a detector, an OCR and an engine for the strokes on them."""
+
+    def draw(batches):
+        for batch in batches:
+            yield batch.assign(image=[images.encode(drawn_page(p)) for p in batch["page_id"]])
+
+    page = F.col("s_suppkey").cast("bigint")
+    pages = table(spark, sf_dir, "supplier").select(page.alias("page_id"), F.when(page % 2 == 0, "RTL").otherwise("LTR").alias("direction"))
+    pages = pages.mapInPandas(draw, "page_id bigint, direction string, image binary")
+    engine = lambda: lambda texts: [t.lower() for t in texts]
+    done = page_chain(pages, _stroke_detector, _stroke_ocr, engine).run(pages)
+
+    def count(batches):
+        for batch in batches:
+            yield batch.assign(ink_left=[int((images.decode(i).max(axis=2) < 64).sum()) for i in batch["image"]]).drop(columns="image")
+
+    joined = F.transform("zones", lambda z: F.struct(z["rank"].alias("rank"), z["text_src"].alias("text_src"), z["text_dst"].alias("text_dst"), z["line_height"].alias("line_height"), T.colour_text(z["background"]).alias("background"),
+        F.array_join(F.transform(F.filter("lines", lambda r: r["rank"] == z["rank"]), lambda r: r["words"]), " ").alias("words")))
+    rows = done.select("page_id", "image", F.posexplode(joined).alias("at", "z")).select("page_id", "z.*", F.when(F.col("at") == 0, F.col("image")).alias("image"))
+    first = rows.filter("image IS NOT NULL").select("page_id", "image").mapInPandas(count, "page_id bigint, ink_left int")
+    return rows.drop("image").join(first, "page_id")
