@@ -33,10 +33,11 @@ def detector_input(image: np.ndarray, size: int = 1024) -> np.ndarray:
     y, x = at(h), at(w)
     y0, x0 = y.astype(int), x.astype(int)
     y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
-    fy, fx = (y - y0)[:, None, None], (x - x0)[None, :, None]
-    p = image.astype(np.float32)
-    top, low = p[y0][:, x0] * (1 - fx) + p[y0][:, x1] * fx, p[y1][:, x0] * (1 - fx) + p[y1][:, x1] * fx
-    return np.ascontiguousarray(((top * (1 - fy) + low * fy) / 255).transpose(2, 0, 1)[None], dtype=np.float32)
+    fy, fx = ((n - n.astype(int)).astype(np.float32) for n in (y, x))
+    p = np.ascontiguousarray(image.astype(np.float32).transpose(2, 0, 1)) / np.float32(255)
+    rows = p[:, y0] + (p[:, y1] - p[:, y0]) * fy[:, None]
+    left = rows[:, :, x0]
+    return (left + (rows[:, :, x1] - left) * fx)[None]
 
 
 def fill_polygon(points: np.ndarray, width: int, height: int) -> np.ndarray:

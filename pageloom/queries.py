@@ -499,7 +499,8 @@ def read_to_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     page = F.col("s_suppkey").cast("bigint")
     pages = table(spark, sf_dir, "supplier").select(page.alias("page_id"), F.when(page % 2 == 0, "RTL").otherwise("LTR").alias("direction"))
-    pages = pages.mapInPandas(draw, "page_id bigint, direction string, image binary")
+    # few bytes a row, much work: a small file's rows would all be one task's
+    pages = pages.repartition(spark.sparkContext.defaultParallelism, "page_id").mapInPandas(draw, "page_id bigint, direction string, image binary")
     engine = lambda: lambda texts: [t.lower() for t in texts]
     done = page_chain(pages, _stroke_detector, _stroke_ocr, engine).run(pages)
 

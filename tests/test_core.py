@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pageloom.functions import decoding as D
 from pageloom.functions import geometry as G
 from pageloom.functions import text as T
-from pageloom.operators import accounts, detect, layout, merge, order, raster, translate
+from pageloom.operators import accounts, detect, layout, merge, order, raster, read, translate
 from pageloom.plans.chain import NAMES, Chain, Engines
+from pageloom.plans.pages import page_chain
 from pageloom.sources import config, images
 
 
@@ -342,3 +343,69 @@ def test_user_columns_survive(spark):
     z = page(spark, [("a", 0, 0, 10, 10), ("b", 0, 50, 10, 10)]).withColumns({"band": F.lit("x"), "low": F.lit("y"), "cx": F.lit("z")})
     for fold in (False, True):
         assert {(r["band"], r["low"], r["cx"]) for r in order.reading_order(z, fold).collect()} == {("x", "y", "z")}
+
+
+def _painted(ink):
+    image = np.full((120, 160, 3), 90, np.uint8)
+    image[20:100, 30:130] = 250
+    if ink:
+        image[50:60, 60:100:4] = 0
+    return image
+
+
+def _models():
+    """A detector and an OCR; nested, so that workers get them by value."""
+
+    def one_box(tensor):
+        return np.array([[512.0, 469.0, 320.0, 120.0, 0.9]]) if tensor.min() < 0.1 else np.empty((0, 5))
+
+    def two_lines(crop):
+        corners = [(2, 3), (12, 3), (12, 9), (2, 9)]
+        return [("SECOND", 0.8, [(x, y + 10) for x, y in corners]), ("FIRST", 0.9, corners)]
+
+    return lambda: one_box, lambda: two_lines
+
+
+def test_read_and_erase_pages(spark):
+    pages = spark.createDataFrame([(1, "LTR", images.encode(_painted(True))), (2, "RTL", images.encode(_painted(False)))], "page_id long, direction string, image binary")
+    zones = read.read(pages, *_models())
+    row = zones.collect()
+    assert [(r["page_id"], r["text_src"], r["confidence"], r["direction"]) for r in row] == [(1, "FIRST SECOND", 0.8, "LTR")]
+    assert len(row[0]["contour"]) >= 4 and tuple(row[0]["background"]) == (250, 250, 250)
+    cleaned = {r["page_id"]: images.decode(bytes(r["image"])) for r in raster.erase_pages(pages, zones).collect()}
+    assert (cleaned[1] == _painted(False)).all() and (cleaned[2] == _painted(False)).all()
+    plain = zones.withColumn("background", F.lit(None).cast("struct<r: int, g: int, b: int>"))
+    assert images.decode(bytes(raster.erase_pages(pages, plain, (9, 8, 7)).filter("page_id = 1").first()["image"]))[60, 80].tolist() == [9, 8, 7]
+    none = raster.erase_pages(pages, zones.limit(0)).filter("page_id = 1").first()
+    assert (images.decode(bytes(none["image"])) == _painted(True)).all()
+    broken = spark.createDataFrame([(3, "LTR", b"123")], pages.schema)
+    with pytest.raises(Exception, match="unknown image format"):
+        read.read(broken, *_models()).collect()
+
+
+def test_page_chain(spark):
+    pages = spark.createDataFrame([(1, "LTR", images.encode(_painted(True))), (2, "RTL", images.encode(_painted(False)))], "page_id long, direction string, image binary")
+    done = page_chain(pages, *_models(), lambda: lambda texts: [t.lower() for t in texts]).run(pages).collect()
+    assert [r["page_id"] for r in done] == [1]
+    assert [z["text_dst"] for z in done[0]["zones"]] == ["first second"] and " ".join(r["words"] for r in done[0]["lines"]) == "first second"
+    assert (images.decode(bytes(done[0]["image"])) == _painted(False)).all()
+
+
+def test_frame_keeps_columns(spark):
+    square = F.array(*[G.point(F.lit(x), F.lit(y)) for x, y in ((20.0, 20.0), (120.0, 20.0), (120.0, 120.0), (20.0, 120.0))])
+    zone = spark.range(1).select(F.col("id").alias("page_id"), *[F.lit(v).alias(c) for c, v in zip("xywh", (0.0, 0.0, 200.0, 200.0), strict=True)], square.alias("contour"), F.lit("kept").alias("more"))
+    r = raster.frame(zone).first()
+    assert r["more"] == "kept" and abs(r["w"] - 100) <= 1 and abs(r["h"] - 100) <= 1 and 19 <= r["x"] <= 21
+
+
+def test_detector_input_against_pixels():
+    image = np.random.default_rng(5).integers(0, 256, (7, 9, 3)).astype(np.uint8)
+    got = raster.detector_input(image, 16)
+    assert got.shape == (1, 3, 16, 16) and got.dtype == np.float32
+    for r, c in ((0, 0), (3, 9), (15, 15), (8, 2)):
+        y, x = np.clip((r + 0.5) * 7 / 16 - 0.5, 0, 6), np.clip((c + 0.5) * 9 / 16 - 0.5, 0, 8)
+        y0, x0 = int(y), int(x)
+        y1, x1, fy, fx = min(y0 + 1, 6), min(x0 + 1, 8), y - int(y), x - int(x)
+        p = image.astype(float)
+        want = (p[y0, x0] * (1 - fx) + p[y0, x1] * fx) * (1 - fy) + (p[y1, x0] * (1 - fx) + p[y1, x1] * fx) * fy
+        assert np.allclose(got[0, :, r, c], want / 255, atol=1e-5)
