@@ -421,8 +421,8 @@ def translate_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def erase_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For a few hundred drawn pages: bubble search around the block, erasing, PNG out and in."""
-    pages = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"))
+    """For drawn pages: bubble search around the block, erasing, PNG out and in."""
+    pages = raster.spread(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id")))
 
     def run(batches):
         for batch in batches:
@@ -459,10 +459,10 @@ def drawn_page(page: int) -> np.ndarray:
 
 def _stroke_detector():
     def found(tensor: np.ndarray) -> np.ndarray:
-        dark, half, out = tensor[0].max(axis=0) < 0.25, tensor.shape[2] // 2, []
+        dark, half, out = np.logical_and.reduce([channel < 0.25 for channel in tensor[0]]), tensor.shape[2] // 2, []
         for quarter in range(4):
             y0, x0 = quarter // 2 * half, quarter % 2 * half
-            ys, xs = np.nonzero(dark[y0 : y0 + half, x0 : x0 + half])
+            ys, xs = (np.flatnonzero(dark[y0 : y0 + half, x0 : x0 + half].any(axis=axis)) for axis in (1, 0))
             if len(ys):
                 w, h = np.ptp(xs) + 60, np.ptp(ys) + 40
                 box = ((xs.min() + xs.max()) / 2 + x0, (ys.min() + ys.max()) / 2 + y0, w, h)
@@ -499,8 +499,7 @@ def read_to_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     page = F.col("s_suppkey").cast("bigint")
     pages = table(spark, sf_dir, "supplier").select(page.alias("page_id"), F.when(page % 2 == 0, "RTL").otherwise("LTR").alias("direction"))
-    # few bytes a row, much work: a small file's rows would all be one task's
-    pages = pages.repartition(spark.sparkContext.defaultParallelism, "page_id").mapInPandas(draw, "page_id bigint, direction string, image binary")
+    pages = raster.spread(pages).mapInPandas(draw, "page_id bigint, direction string, image binary")
     engine = lambda: lambda texts: [t.lower() for t in texts]
     done = page_chain(pages, _stroke_detector, _stroke_ocr, engine).run(pages)
 
