@@ -65,7 +65,7 @@ def recognised(pages: DataFrame, boxes: DataFrame, ocr: Ocr) -> DataFrame:
 
     # as many boxes as a page's suppression leaves
     blocks = boxes.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("zone_idx", "x", "y", "w", "h"))).alias("blocks"))
-    grouped = pages.select("page_id", "image").join(blocks, "page_id")
+    grouped = raster.spread(pages.select("page_id", "image").join(blocks, "page_id"))
     point = "struct<x: double, y: double>"
     return grouped.mapInPandas(run, f"page_id bigint, zone_idx int, line int, text string, score double, corners array<{point}>, contour array<{point}>, background struct<r: int, g: int, b: int>")
 

@@ -24,7 +24,7 @@ def page_chain(pages: DataFrame, detector: read.Detector, ocr: read.Ocr, engine:
     def frame(zones: DataFrame) -> DataFrame:
         q = F.col("rect")
         sides = {"x": q["hg"]["x"], "y": q["hg"]["y"], "w": G.width(q), "h": G.height(q)}
-        framed = raster.frame(zones.withColumns(sides))
+        framed = raster.frame(raster.spread(zones.withColumns(sides)))
         return framed.withColumn("rect", G.rectangle(*[F.col(c) for c in "xywh"]))
 
     def erase(zones: DataFrame) -> DataFrame:

@@ -409,3 +409,23 @@ def test_detector_input_against_pixels():
         p = image.astype(float)
         want = (p[y0, x0] * (1 - fx) + p[y0, x1] * fx) * (1 - fy) + (p[y1, x0] * (1 - fx) + p[y1, x1] * fx) * fy
         assert np.allclose(got[0, :, r, c], want / 255, atol=1e-5)
+
+
+def test_page_work_is_spread(spark):
+    pages = spark.createDataFrame([(k, "LTR", images.encode(_painted(True))) for k in range(24)], "page_id long, direction string, image binary").coalesce(1)
+    boxes = pages.select("page_id", F.lit(0).alias("zone_idx"), *[F.lit(v).alias(c) for c, v in zip("xywh", (55, 45, 50, 20), strict=True)])
+    zones = read.recognised(pages, boxes, _models()[1]).cache()
+    assert zones.count() == 48
+    for rows in (zones, raster.erase_pages(pages, zones.select("page_id", "zone_idx", "contour", "background"))):
+        assert rows.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_polygon_filling_against_pixels():
+    points, rng = np.array([[3, 2], [20, 5], [12, 9], [22, 17], [5, 19], [9, 11]]), np.random.default_rng(3)
+    for pts in [points, points[::-1], *rng.integers(-6, 30, (20, 3, 2))]:
+        mask = raster.fill_polygon(pts, 24, 18)
+        edges = list(zip(pts.tolist(), np.roll(pts, -1, axis=0).tolist(), strict=True))
+        for y in range(18):
+            for x in range(24):
+                right = sum((a[1] > y) != (b[1] > y) and a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) > x for a, b in edges)
+                assert mask[y, x] or right % 2 == 0
