@@ -20,13 +20,17 @@ with more rows than CELL_ROWS is split into a grid of cells (homes by probes),
 which still brings each pair together once and bounds a task's memory. Classes
 are joined by alternating large-star and small-star steps over written tables.
 
-near_duplicates() links by the 64 bits of one fingerprint. similar_texts() links by
-Jaccard similarity of shingle sets, 0.8 by default: at that similarity fingerprints
-differ in about ten bits, so it takes TABLES fingerprints, meets texts that differ in
-one bit at most on a segment of any and in REACH bits at most of that fingerprint,
-emits for each anchor the forest of the shortest links, leaves out those that differ
-in more than FAR bits over all fingerprints, and verifies the rest on the whole sets. A pair of similarity 0.8 meets on a segment with probability 0.15, so
-with probability 0.94 somewhere, one of 0.85 with 0.99; the links it makes are exact.
+near_duplicates() links by the 64 bits of one fingerprint. similar_texts() links all
+texts whose shingle sets have a Jaccard similarity of 0.8 by default, or more, in two
+rounds. At that similarity fingerprints differ in about ten bits, so the first takes
+TABLES fingerprints, meets texts that differ in one bit at most on a segment of any and
+in REACH bits at most of that fingerprint, and verifies one link of each text, the one
+that met most often, on the whole sets: that joins what is alike, large groups first of
+all. It finds a pair of similarity 0.8 with probability 0.94 only, so the second round is
+exact: sets that match share one of their first n - ceil(4n/5) + 1 shingles, rare ones
+first; on each of these, texts of different components that pass the length, position and
+parity filters are verified. Before, each text is linked to the middle of its group, so
+that few pairs of a large group are left. No link between components is lost.
 
 Defined results: a null text counts as empty, an empty one has fingerprint 0 and
 links like any other (all texts without words are alike for similar_texts); texts of
@@ -61,8 +65,16 @@ _PAIRS = 1 << 18
 #: For similar_texts(): words of a shingle, similarity as a fraction, fingerprints, differing bits of a fingerprint.
 SET_WORDS, NUM, DEN = 5, 4, 5
 TABLES, REACH = 8, 14
-#: Differing bits of all fingerprints, as a mean by fingerprint: similar sets have 10 at most, others 32.
-CLOSE, FAR = 6, 16
+#: Differing bits of all fingerprints, as a mean by fingerprint: similar sets have 10, others 32; the first round leaves out what is farther.
+FAR = 16
+#: Shingles are counted in so many buckets, in slices; rare ones come first in the second round's order.
+BUCKETS, SLICE = 1 << 17, 1 << 11
+#: Sets of up to so many shingles have a signature: each flips one of 256 bits, so two differ in no more bits than the sets in shingles.
+SHORT = 400
+#: Times that the second round links texts to the middles of their groups, before all links between components.
+MIDDLES = 2
+#: Rows of roots (two longs) that are broadcast; more are joined by shuffles.
+BROADCAST_ROOTS = 1 << 18
 
 
 def _lanes() -> np.ndarray:
@@ -334,11 +346,11 @@ def links(classes: DataFrame, distance: int = DISTANCE, cell_rows: int = CELL_RO
     """Links between classes (fp, rep), enough of them to connect all that are connected."""
     if distance > 5:
         raise ValueError("three segments with a threshold of one cover up to 5 differing bits")
-    return _met(classes.withColumn("part", F.lit(0).cast("bigint")), distance, cell_rows, False)
+    return _met(classes.withColumn("part", F.lit(0).cast("bigint")), distance, cell_rows, False).distinct()
 
 
 def _met(classes: DataFrame, distance: int, cell_rows: int, shortest: bool) -> DataFrame:
-    """Links (u, v) between classes (fp, rep, part) that meet at an anchor of their part: a spanning forest for each anchor."""
+    """Links (u, v) between classes (fp, rep, part) that meet at an anchor of their part: a spanning forest for each anchor; many anchors may give a link."""
     rows = _anchors(classes).withColumn("cell", F.lit(0))
     if _fullest_home(classes) * _AROUND > cell_rows:  # else no anchor can hold more
         heavy = stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("n_home")).filter(F.col("n") > cell_rows), "heavy-anchors")
@@ -350,7 +362,7 @@ def _met(classes: DataFrame, distance: int, cell_rows: int, shortest: bool) -> D
             at_home = F.transform(F.sequence(F.lit(0), F.col("probes") - 1), lambda j: F.struct((F.pmod(mine, F.col("homes")) * F.col("probes") + j).cast("int").alias("cell"), F.lit(True).alias("home")))
             split = joined.filter("probes IS NOT NULL").withColumn("to", F.explode(F.when(F.col("home"), F.concat(probe, at_home)).otherwise(probe))).select("key", "fp", "rep", "to.home", "to.cell")
             rows = joined.filter("probes IS NULL").select("key", "fp", "rep", "home", F.lit(0).alias("cell")).unionByName(split)
-    return _compare(rows.repartition("key", "cell").sortWithinPartitions("key", "cell"), distance, shortest).distinct()
+    return _compare(rows.repartition("key", "cell").sortWithinPartitions("key", "cell"), distance, shortest)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -430,6 +442,143 @@ def _by_text(texts: DataFrame, make, name: str) -> DataFrame:
     return texts.mapInArrow(run, f"node bigint, {name} array<bigint>")
 
 
+def _prints(texts: DataFrame, tables: int) -> tuple[DataFrame, np.ndarray]:
+    """(node, fps) of each text, written, and in how many sets the shingles of each bucket are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts = ["node", "fps", "slice", "counts"], np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [shingle_set(t) for t in as_bytes(part.column(1))]
+                counts += np.bincount((np.concatenate([*sets, np.zeros(0, np.uint64)]) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists([set_fingerprints(x, tables) for x in sets]), pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.list_(pa.int64()))], names)
+        n = BUCKETS // SLICE
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array(np.arange(n), pa.int32()), _lists(list(counts.view(np.uint64).reshape(n, SLICE)))], names)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for number, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found[number] = found.get(number, 0) + np.asarray(counts.values)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([*found], pa.int32()), _lists([x.view(np.uint64) for x in found.values()])], ["slice", "counts"])
+
+    made = stored(texts.mapInArrow(run, "node bigint, fps array<bigint>, slice int, counts array<bigint>"), "set-counts")
+    total = np.zeros(BUCKETS, np.int64)
+    for number, counts in made.filter("slice IS NOT NULL").select("slice", "counts").repartition("slice").mapInArrow(summed, "slice int, counts array<bigint>").collect():
+        total[number * SLICE : (number + 1) * SLICE] = counts
+    prints = made.filter("slice IS NULL").groupBy("node").agg(F.first("fps").alias("fps"))  # equal texts have equal sets
+    return stored(prints, "set-fingerprints"), total
+
+
+def prefix(hashes: np.ndarray, grades: np.ndarray) -> np.ndarray:
+    """The first n - ceil(4n/5) + 1 shingles, those of lower grade first: any fixed order loses nothing."""
+    order = np.lexsort((hashes, grades[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)]))
+    return hashes[order[: len(hashes) + (-NUM * len(hashes) // DEN) + 1]]
+
+
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """The signature of a set, none (zeros) for a large one."""
+    odd = np.bincount((hashes >> np.uint64(40) & np.uint64(255)).astype(np.int64) if len(hashes) <= SHORT else [], minlength=256) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<u8")
+
+
+def _prefixes(texts: DataFrame, grades: np.ndarray) -> DataFrame:
+    """(node, n, prefix, sig) of each text: the size of its set, its first shingles and its signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sizes, found, sigs = [], [], []
+                for text in as_bytes(part.column(1)):
+                    hashes = shingle_set(text)
+                    sizes.append(len(hashes))
+                    found.append(prefix(hashes, grades))
+                    sigs.append(_parity(hashes))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), _lists(found), _lists(sigs)], ["node", "n", "prefix", "sig"])
+
+    return texts.mapInArrow(run, "node bigint, n int, prefix array<bigint>, sig array<bigint>")
+
+
+def crossing(cell: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, i: np.ndarray, *sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of rows with their shingle's number, ascending: pairs of nodes of different roots that share a shingle and may match by length, position and signature."""
+    # in each cell by the size of the roots' groups; the largest group comes last, and meets only what stands before
+    order = np.lexsort((root, cell))
+    cell, node, root, n, i, *sig = (x[order] for x in (cell, node, root, n, i, *sig))
+    starts = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (root[1:] != root[:-1]))))
+    sizes = np.diff(np.concatenate((starts, [len(cell)])))
+    order = np.lexsort((np.repeat(starts, sizes), np.repeat(sizes, sizes), cell))
+    cell, node, root, n, i, *sig = (x[order] for x in (cell, node, root, n, i, *sig))
+    group = np.cumsum(np.concatenate(([True], (cell[1:] != cell[:-1]) | (root[1:] != root[:-1])))) - 1
+    begin = np.searchsorted(group, group, "right")  # the next group's first row
+    count = np.searchsorted(cell, cell, "right") - begin
+    done, at = np.concatenate(([0], np.cumsum(count))), 0
+    while at < len(cell):
+        to = max(at + 1, int(np.searchsorted(done, done[at] + _PAIRS, "right")) - 1)
+        left = np.repeat(np.arange(at, to), count[at:to])
+        right = np.arange(len(left)) - np.repeat(done[at:to] - done[at], count[at:to]) + np.repeat(begin[at:to], count[at:to])
+        x, y = n[left], n[right]
+        least = -(-NUM * (x + y) // (NUM + DEN))  # shared shingles of a match
+        close = DEN * np.minimum(x, y) >= NUM * np.maximum(x, y)
+        close &= np.minimum(i[left], i[right]) + np.minimum(x - i[left], y - i[right]) >= least
+        left, right, most = left[close], right[close], (x + y - 2 * least)[close]
+        if sig:
+            differ = sum(np.bitwise_count(s[left] ^ s[right]).astype(np.int64) for s in sig)
+            close = (differ <= most) | (n[left] > SHORT) | (n[right] > SHORT)
+            left, right = left[close], right[close]
+        u, v = node[left], node[right]
+        if len(u):
+            found = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v))), axis=1)
+            yield found[0], found[1]
+        at = to
+
+
+def to_middles(cell: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, i: np.ndarray, *sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As crossing(), but each row only with the one at which its shingle stands first: a text without rare shingles of its own is in the middle of its copies."""
+    order = np.lexsort((node, i, cell))
+    cell, node, root, n, i = (x[order] for x in (cell, node, root, n, i))
+    middle = np.searchsorted(cell, cell)
+    least = -(-NUM * (n + n[middle]) // (NUM + DEN))
+    close = (root != root[middle]) & (DEN * np.minimum(n, n[middle]) >= NUM * np.maximum(n, n[middle]))
+    close &= i[middle] + np.minimum(n - i, n[middle] - i[middle]) >= least
+    if close.any():
+        yield node[close], node[middle[close]]
+
+
+def _crossing(rows: DataFrame, make=crossing) -> DataFrame:
+    """Pairs (u, v) as make() finds them in rows (token, node, root, n, i, s0 to s3); a pair may come many times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, count
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            token = columns[0]
+            cut = len(token) if last else int(np.searchsorted(token, token[-1]))
+            if cut:
+                for u, v in make(*(x[:cut] for x in columns)):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            held, count = [[x[cut:] for x in columns]], len(token) - cut
+
+        limit = 50_000
+        for batch in batches:
+            if batch.num_rows:
+                held.append([np.asarray(batch.column(k)).astype(np.int64) for k in range(9)])
+                count += batch.num_rows
+                if count > limit:
+                    yield from flush(False)
+                    limit = max(50_000, 2 * count)  # what is left is one shingle's
+        if count:
+            yield from flush(True)
+
+    columns = ["token", "node", "root", "n", "i", "s0", "s1", "s2", "s3"]
+    return rows.select(columns).repartition("token").sortWithinPartitions("token").mapInArrow(run, "u bigint, v bigint")
+
+
 def _sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, words) of the texts with these nodes, written; the others are left out by a filter while that is small enough."""
     slots = filter_slots(nodes.count(), 16)
@@ -449,22 +598,31 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(both.filter(similar).select("u", "v"), "near-links")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the candidates (u, v, differ) that are similar, but for pairs in one component already.
-
-    First each text's link to the smallest of those close to it, or else to its closest: they connect most
-    of a large group. Then all candidates between different components.
-    """
+def _sets_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     nodes = stored(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "near-nodes")
-    sets = _sets(texts, nodes)
-    ends = pairs.select("u", "v", "differ").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "differ"))
-    best = ends.groupBy("u").agg(F.min(F.struct(F.when(F.col("differ") <= CLOSE * TABLES, 0).otherwise(F.col("differ")).alias("d"), "v")).alias("b")).select("u", "b.v")
-    first = stored(best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-first")
-    found = _verified(first, sets)
-    roots = components(found)
-    u, v = (roots.toDF(c, f"root_{c}") for c in "uv")
-    rest = pairs.join(first, ["u", "v"], "left_anti").join(u, "u", "left").join(v, "v", "left").filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
-    return found.unionByName(_verified(rest, sets))
+    return _sets(texts, nodes)
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """For each text its pair that comes most often, of equal ones that with the smallest number: distinct (u, v), u < v."""
+    counted = stored(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).groupBy("u", "v").agg(F.count("*").alias("times")), "near-met")
+    ends = counted.unionByName(counted.select(F.col("v").alias("u"), F.col("u").alias("v"), "times"))
+    best = ends.groupBy("u").agg(F.min(F.struct(-F.col("times"), "v")).alias("b")).select("u", "b.v")
+    return best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _first_links(prints: DataFrame, texts: DataFrame, tables: int, reach: int, cell_rows: int) -> DataFrame:
+    """The first round: for each text the link that most fingerprints and segments show, those that are similar."""
+    each = prints.select("node", F.posexplode("fps").alias("part", "fp"))
+    classes = stored(each.groupBy(F.col("part").cast("bigint").alias("part"), "fp").agg(F.min("node").alias("rep"), F.count("*").alias("texts")), "set-classes")
+    met = _met(classes, reach, cell_rows, True)
+    # texts with the same fingerprint, by their class
+    same = each.join(classes.filter("texts > 1").select("part", "fp", "rep"), ["part", "fp"]).filter("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
+    first = _best(met.unionByName(same))
+    u, v = (prints.toDF(c, f"fps_{c}") for c in "uv")
+    differ = F.aggregate(F.zip_with("fps_u", "fps_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    first = stored(first.join(u, "u").join(v, "v").filter(differ <= FAR * tables).select("u", "v"), "near-first")
+    return _verified(first, _sets_of(first, texts))
 
 
 def similar_texts(docs: DataFrame, text_col: str = "text", tables: int = TABLES, reach: int = REACH, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -474,16 +632,18 @@ def similar_texts(docs: DataFrame, text_col: str = "text", tables: int = TABLES,
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
-    prints = _by_text(texts, lambda x: set_fingerprints(x, tables), "fps").groupBy("node").agg(F.first("fps").alias("fps"))
-    stored_prints = stored(prints, "set-fingerprints")
-    prints = stored_prints.select("node", F.posexplode("fps").alias("part", "fp"))
-    classes = stored(prints.groupBy(F.col("part").cast("bigint").alias("part"), "fp").agg(F.min("node").alias("rep"), F.count("*").alias("texts")), "set-classes")
-    met = _met(classes, reach, cell_rows, True)
-    # texts with the same fingerprint, by their class
-    same = prints.join(classes.filter("texts > 1").select("part", "fp", "rep"), ["part", "fp"]).filter("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
-    pairs = met.unionByName(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    each = stored_prints.select("node", "fps")
-    u, v = (each.toDF(c, f"fps_{c}") for c in "uv")
-    differ = F.aggregate(F.zip_with("fps_u", "fps_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    pairs = pairs.join(u, "u").join(v, "v").withColumn("differ", differ).filter(F.col("differ") <= FAR * tables).select("u", "v", "differ")
-    return components(_linked(stored(pairs, "near-pairs"), texts))
+    prints, counts = _prints(texts, tables)
+    found = _first_links(prints, texts, tables, reach, cell_rows)
+    # the second round: all links between components, of each text first the likeliest ones, as large groups are soon one
+    prefixes = stored(_prefixes(texts, np.round(2 * np.log2(counts + 1)).astype(np.int64)), "near-prefixes")
+
+    def rows() -> DataFrame:
+        roots = components(found)
+        side = F.broadcast(roots) if roots.count() <= BROADCAST_ROOTS else roots
+        return prefixes.join(side, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", *[F.get("sig", F.lit(k)).alias(f"s{k}") for k in range(4)], F.posexplode("prefix").alias("i", "token"))
+
+    for _ in range(MIDDLES):
+        likely = stored(_best(_crossing(rows(), to_middles)), "near-likely")
+        found = found.unionByName(_verified(likely, _sets_of(likely, texts)))
+    rest = stored(_crossing(rows()).distinct(), "near-rest")
+    return components(found.unionByName(_verified(rest, _sets_of(rest, texts))))

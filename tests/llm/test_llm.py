@@ -110,6 +110,32 @@ def test_near_stage_against_brute_jaccard(spark):
     assert {r["doc_id"] for r in P.near_stage(spark, docs, DATA).collect()} == {rows[i][0] for i in brute_near([t for _, t in rows])}
 
 
+def test_similar_texts_lose_no_link(spark):
+    texts = []
+    for k in range(150):  # 40 shingles in 50: at the bound, where fingerprints often don't meet
+        words = [f"p{k}q{i}" for i in range(54)]
+        texts += [" ".join(words), " ".join(words[:44])]
+    assert simhash.similar_texts(docs_of(spark, texts)).count() == 150
+    # copies of a text that aren't all similar to each other
+    base = [f"b{i}" for i in range(104)]
+    many = [" ".join([*base[: 104 - 2 * j], *[f"m{j}n{i}" for i in range(2 * j)]]) for j in range(11)]
+    assert simhash.similar_texts(docs_of(spark, many)).count() == len(brute_near(many)) * -1 + len(many)
+
+
+def test_crossing_is_all_pairs():
+    rng = np.random.default_rng(4)
+    cell, node = np.sort(rng.integers(0, 9, 400)), rng.integers(0, 90, 400)
+    root, n, i = node % 11, 4 + node % 3, np.minimum(node % 5, 1)
+    got = {(int(a), int(b)) for u, v in simhash.crossing(cell, node, root, n, i) for a, b in zip(u, v, strict=True)}
+    want = set()
+    for x in range(400):
+        for y in range(400):
+            least = -(-4 * (n[x] + n[y]) // 9)
+            if cell[x] == cell[y] and root[x] != root[y] and node[x] < node[y] and 5 * min(n[x], n[y]) >= 4 * max(n[x], n[y]) and min(i[x], i[y]) + min(n[x] - i[x], n[y] - i[y]) >= least:
+                want.add((int(node[x]), int(node[y])))
+    assert got == want and want
+
+
 def test_exact(spark):
     texts = nasty()
     rows = docs_of(spark, texts).unionByName(docs_of(spark, ["x", "x", "x"], [None, 90, 90]))
