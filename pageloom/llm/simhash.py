@@ -611,6 +611,20 @@ def _best(pairs: DataFrame) -> DataFrame:
     return best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """(token, node, n, i, s0 to s3), written: the prefixes' shingles that stand in others, too; by a filter while that is small enough."""
+    sig = [F.get("sig", F.lit(k)).alias(f"s{k}") for k in range(4)]
+    rows = prefixes.select("node", "n", *sig, F.posexplode("prefix").alias("i", "token"))
+    shared = stored(rows.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"), "near-shared")
+    slots = filter_slots(shared.count(), 16)
+    if not slots:
+        return stored(rows.join(shared, "token"), "near-rows")
+    h = F.col("token")
+    bits = bit_filter(shared.withColumnRenamed("token", "h"), slots).toDF("__slot", "__bits")
+    kept = rows.withColumn("__slot", filter_slot(h, slots)).join(F.broadcast(bits), "__slot").filter(has_bit(F.col("__bits"), filter_bit(h)))
+    return stored(kept.drop("__slot", "__bits"), "near-rows")
+
+
 def _first_links(prints: DataFrame, texts: DataFrame, tables: int, reach: int, cell_rows: int) -> DataFrame:
     """The first round: for each text the link that most fingerprints and segments show, those that are similar."""
     each = prints.select("node", F.posexplode("fps").alias("part", "fp"))
@@ -635,12 +649,12 @@ def similar_texts(docs: DataFrame, text_col: str = "text", tables: int = TABLES,
     prints, counts = _prints(texts, tables)
     found = _first_links(prints, texts, tables, reach, cell_rows)
     # the second round: all links between components, of each text first the likeliest ones, as large groups are soon one
-    prefixes = stored(_prefixes(texts, np.round(2 * np.log2(counts + 1)).astype(np.int64)), "near-prefixes")
+    shared = _shared(stored(_prefixes(texts, np.round(2 * np.log2(counts + 1)).astype(np.int64)), "near-prefixes"))
 
     def rows() -> DataFrame:
         roots = components(found)
         side = F.broadcast(roots) if roots.count() <= BROADCAST_ROOTS else roots
-        return prefixes.join(side, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n", *[F.get("sig", F.lit(k)).alias(f"s{k}") for k in range(4)], F.posexplode("prefix").alias("i", "token"))
+        return shared.join(side, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     for _ in range(MIDDLES):
         likely = stored(_best(_crossing(rows(), to_middles)), "near-likely")
