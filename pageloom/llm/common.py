@@ -79,7 +79,15 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables as stored() returned them, once nothing reads them any more."""
+    for table in tables:
+        delete(table.sparkSession, table.stored_at)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

@@ -29,7 +29,7 @@ that met most often, on the whole sets: that joins what is alike, large groups f
 all. It finds a pair of similarity 0.8 with probability 0.94 only, so the second round is
 exact: sets that match share one of their first n - ceil(4n/5) + 1 shingles, rare ones
 first; on each of these, texts of different components that pass the length, position and
-parity filters are verified. Before, each text is linked to the middle of its group, so
+parity filters, and then one by wider signatures, are verified. Before, each text is linked to the middle of its group, so
 that few pairs of a large group are left. No link between components is lost.
 
 Defined results: a null text counts as empty, an empty one has fingerprint 0 and
@@ -42,6 +42,7 @@ an empty table gives an empty result; further columns are ignored, whatever thei
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bit_filter, filter_bit, filter_slot, filter_slots, has_bit, stored
+from .common import as_bytes, bit_filter, drop, filter_bit, filter_slot, filter_slots, has_bit, stored
 
 WORDS = 4
 SEED = 42
@@ -73,6 +74,8 @@ BUCKETS, SLICE = 1 << 17, 1 << 11
 SHORT = 400
 #: Times that the second round links texts to the middles of their groups, before all links between components.
 MIDDLES = 2
+#: The last verification moves texts for a quarter as many pairs at once as they have texts, or as this.
+NODES = 1 << 15
 #: Rows of roots (two longs) that are broadcast; more are joined by shuffles.
 BROADCAST_ROOTS = 1 << 18
 
@@ -378,7 +381,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        now = stored(small, "edges")
+        before, now = now, stored(small, "edges")
+        drop(before)
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(sums) == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -430,18 +434,6 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
-def _by_text(texts: DataFrame, make, name: str) -> DataFrame:
-    """(node, <name>) for (node, text): make(set of the text) in a list of longs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists([make(shingle_set(t)) for t in as_bytes(part.column(1))])], ["node", name])
-
-    return texts.mapInArrow(run, f"node bigint, {name} array<bigint>")
-
-
 def _prints(texts: DataFrame, tables: int) -> tuple[DataFrame, np.ndarray]:
     """(node, fps) of each text, written, and in how many sets the shingles of each bucket are."""
 
@@ -470,7 +462,9 @@ def _prints(texts: DataFrame, tables: int) -> tuple[DataFrame, np.ndarray]:
     for number, counts in made.filter("slice IS NOT NULL").select("slice", "counts").repartition("slice").mapInArrow(summed, "slice int, counts array<bigint>").collect():
         total[number * SLICE : (number + 1) * SLICE] = counts
     prints = made.filter("slice IS NULL").groupBy("node").agg(F.first("fps").alias("fps"))  # equal texts have equal sets
-    return stored(prints, "set-fingerprints"), total
+    prints = stored(prints, "set-fingerprints")
+    drop(made)
+    return prints, total
 
 
 def prefix(hashes: np.ndarray, grades: np.ndarray) -> np.ndarray:
@@ -549,7 +543,7 @@ def to_middles(cell: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarr
 
 
 def _crossing(rows: DataFrame, make=crossing) -> DataFrame:
-    """Pairs (u, v) as make() finds them in rows (token, node, root, n, i, s0 to s3); a pair may come many times."""
+    """Pairs (u, v) as make() finds them in rows (token, node, root, n, i, and s0 to s3 if it uses them); a pair may come many times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -567,7 +561,7 @@ def _crossing(rows: DataFrame, make=crossing) -> DataFrame:
         limit = 50_000
         for batch in batches:
             if batch.num_rows:
-                held.append([np.asarray(batch.column(k)).astype(np.int64) for k in range(9)])
+                held.append([np.asarray(column).astype(np.int64) for column in batch.columns])
                 count += batch.num_rows
                 if count > limit:
                     yield from flush(False)
@@ -575,40 +569,131 @@ def _crossing(rows: DataFrame, make=crossing) -> DataFrame:
         if count:
             yield from flush(True)
 
-    columns = ["token", "node", "root", "n", "i", "s0", "s1", "s2", "s3"]
-    return rows.select(columns).repartition("token").sortWithinPartitions("token").mapInArrow(run, "u bigint, v bigint")
+    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, "u bigint, v bigint")
 
 
-def _sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, words) of the texts with these nodes, written; the others are left out by a filter while that is small enough."""
-    slots = filter_slots(nodes.count(), 16)
-    if slots:
-        h = F.col("node")
-        bits = bit_filter(nodes.withColumnRenamed("node", "h"), slots).toDF("__slot", "__bits")
-        texts = texts.withColumn("__slot", filter_slot(h, slots)).join(F.broadcast(bits), "__slot").filter(has_bit(F.col("__bits"), filter_bit(h))).select("node", "text")
-    sets = _by_text(texts, lambda x: x, "words").groupBy("node").agg(F.first("words").alias("words"))  # equal texts have equal sets
-    return stored(sets, "near-sets")
+def _filtered(rows: DataFrame, keys: DataFrame, by: str) -> DataFrame | None:
+    """The rows whose long `by` is in the written table keys, and a few others, by a filter; None if that is too large to broadcast."""
+    slots = filter_slots(keys.count(), 16)
+    if not slots:
+        return None
+    h = F.col(by)
+    bits = bit_filter(keys.withColumnRenamed(by, "h"), slots).toDF("__slot", "__bits")
+    kept = rows.withColumn("__slot", filter_slot(h, slots)).join(F.broadcast(bits), "__slot").filter(has_bit(F.col("__bits"), filter_bit(h)))
+    return kept.drop("__slot", "__bits")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are similar, written."""
-    u, v = (sets.select(F.col("node").alias(c), F.col("words").alias(f"words_{c}")) for c in "uv")
-    both = pairs.select("u", "v").join(u, "u").join(v, "v")
-    similar = (NUM + DEN) * F.size(F.array_intersect("words_u", "words_v")) >= NUM * (F.size("words_u") + F.size("words_v"))
-    return stored(both.filter(similar).select("u", "v"), "near-links")
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(node) of the texts in pairs, written."""
+    return stored(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "near-nodes")
 
 
-def _sets_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    nodes = stored(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "near-nodes")
-    return _sets(texts, nodes)
+def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of the texts in pairs, one of each, written; the others are left out by a filter while that is small enough."""
+    nodes = _ends(pairs)
+    kept = _filtered(texts, nodes, "node")
+    kept = texts.join(nodes, "node", "left_semi") if kept is None else kept
+    found = stored(kept.groupBy("node").agg(F.first("text").alias("text")), "near-texts")
+    drop(nodes)
+    return found
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets are similar, written. Texts move, which are shorter than their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[int, np.ndarray] = {}
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                u, v = (part.column(k).to_pylist() for k in (0, 1))
+                before, known = known, {}
+                similar = []
+                for x, y, text_x, text_y in zip(u, v, as_bytes(part.column(2)), as_bytes(part.column(3)), strict=True):
+                    for node, text in ((x, text_x), (y, text_y)):
+                        if node not in known:
+                            known[node] = before[node] if node in before else shingle_set(text)
+                    one, other = known[x], known[y]
+                    shared = len(np.intersect1d(one, other, assume_unique=True))
+                    similar.append((NUM + DEN) * shared >= NUM * (len(one) + len(other)))
+                chosen = pa.array(similar, pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(k).filter(chosen) for k in (0, 1)], ["u", "v"])
+
+    found = _texts_of(pairs, texts)
+    u, v = (found.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv")
+    both = pairs.select("u", "v").join(u, "u").join(v, "v").select("u", "v", "text_u", "text_v")
+    similar = stored(both.mapInArrow(run, "u bigint, v bigint"), "near-links")
+    drop(found)
+    return similar
+
+
+def wide_parity(hashes: np.ndarray) -> bytes:
+    """A signature like _parity()'s, with as many bits as the set has shingles, or up to twice as many."""
+    bits = 1 << max(8, min(24, (len(hashes) - 1).bit_length()))
+    odd = np.bincount((hashes >> np.uint64(40) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def may_be_similar(one: bytes, n: int, other: bytes, m: int) -> bool:
+    """False if the signatures of sets of n and m shingles differ in more bits than similar sets in shingles."""
+    a, b = sorted((np.frombuffer(one, np.uint8), np.frombuffer(other, np.uint8)), key=len)
+    b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)  # folded to the bits of the other
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64)) <= n + m + 2 * (-NUM * (n + m) // (NUM + DEN))
+
+
+def _plausible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) that their sets' wide signatures don't exclude, written: these are a small part of the texts."""
+
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sizes, sigs = [], []
+                for text in as_bytes(part.column(1)):
+                    hashes = shingle_set(text)
+                    sizes.append(len(hashes))
+                    sigs.append(wide_parity(hashes))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())], ["node", "n", "sig"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(2, 6)]
+            chosen = pa.array([may_be_similar(*x) for x in zip(*columns, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(chosen) for k in (0, 1)], ["u", "v"])
+
+    nodes = _ends(pairs)
+    kept = _filtered(texts, nodes, "node")
+    kept = texts.join(nodes, "node", "left_semi") if kept is None else kept
+    sigs = kept.select("node", "text").mapInArrow(signatures, "node bigint, n int, sig binary").groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+    sigs = stored(sigs, "near-signatures")
+    drop(nodes)
+    u, v = (sigs.toDF(c, f"n_{c}", f"sig_{c}") for c in "uv")
+    both = pairs.select("u", "v").join(u, "u").join(v, "v").select("u", "v", "sig_u", "n_u", "sig_v", "n_v")
+    found = stored(both.mapInArrow(compare, "u bigint, v bigint"), "near-plausible")
+    drop(sigs)
+    return found
+
+
+def _all_verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """As _verified(), for pairs of which a text may have many: in parts, so that not many copies of the texts are on disk at once."""
+    plausible = _plausible(pairs, texts)
+    nodes = _ends(plausible)
+    parts = max(1, -(-4 * plausible.count() // max(NODES, nodes.count())))
+    drop(nodes)
+    part = F.pmod(F.xxhash64("u", "v"), F.lit(parts))
+    links = reduce(DataFrame.unionByName, [_verified(plausible.filter(part == k) if parts > 1 else plausible, texts) for k in range(parts)])
+    drop(plausible)
+    return links
 
 
 def _best(pairs: DataFrame) -> DataFrame:
-    """For each text its pair that comes most often, of equal ones that with the smallest number: distinct (u, v), u < v."""
+    """For each text its pair that comes most often, of equal ones that with the smallest number: distinct (u, v), u < v, written."""
     counted = stored(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).groupBy("u", "v").agg(F.count("*").alias("times")), "near-met")
     ends = counted.unionByName(counted.select(F.col("v").alias("u"), F.col("u").alias("v"), "times"))
     best = ends.groupBy("u").agg(F.min(F.struct(-F.col("times"), "v")).alias("b")).select("u", "b.v")
-    return best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    best = stored(best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-best")
+    drop(counted)
+    return best
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
@@ -616,13 +701,18 @@ def _shared(prefixes: DataFrame) -> DataFrame:
     sig = [F.get("sig", F.lit(k)).alias(f"s{k}") for k in range(4)]
     rows = prefixes.select("node", "n", *sig, F.posexplode("prefix").alias("i", "token"))
     shared = stored(rows.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token"), "near-shared")
-    slots = filter_slots(shared.count(), 16)
-    if not slots:
-        return stored(rows.join(shared, "token"), "near-rows")
-    h = F.col("token")
-    bits = bit_filter(shared.withColumnRenamed("token", "h"), slots).toDF("__slot", "__bits")
-    kept = rows.withColumn("__slot", filter_slot(h, slots)).join(F.broadcast(bits), "__slot").filter(has_bit(F.col("__bits"), filter_bit(h)))
-    return stored(kept.drop("__slot", "__bits"), "near-rows")
+    kept = _filtered(rows, shared, "token")
+    found = stored(rows.join(shared, "token") if kept is None else kept, "near-rows")
+    drop(shared)
+    return found
+
+
+def _apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (token, node, root, ...) whose shingle stands in texts of several components, which few do after the middles, and the written shingles, found on narrow rows."""
+    tokens = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
+    tokens = stored(tokens, "near-apart")
+    kept = _filtered(rows, tokens, "token")
+    return rows.join(tokens, "token", "left_semi") if kept is None else kept, tokens
 
 
 def _first_links(prints: DataFrame, texts: DataFrame, tables: int, reach: int, cell_rows: int) -> DataFrame:
@@ -635,8 +725,11 @@ def _first_links(prints: DataFrame, texts: DataFrame, tables: int, reach: int, c
     first = _best(met.unionByName(same))
     u, v = (prints.toDF(c, f"fps_{c}") for c in "uv")
     differ = F.aggregate(F.zip_with("fps_u", "fps_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    first = stored(first.join(u, "u").join(v, "v").filter(differ <= FAR * tables).select("u", "v"), "near-first")
-    return _verified(first, _sets_of(first, texts))
+    close = stored(first.join(u, "u").join(v, "v").filter(differ <= FAR * tables).select("u", "v"), "near-first")
+    drop(classes, first)
+    found = _verified(close, texts)
+    drop(close)
+    return found
 
 
 def similar_texts(docs: DataFrame, text_col: str = "text", tables: int = TABLES, reach: int = REACH, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -648,16 +741,24 @@ def similar_texts(docs: DataFrame, text_col: str = "text", tables: int = TABLES,
     texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
     prints, counts = _prints(texts, tables)
     found = _first_links(prints, texts, tables, reach, cell_rows)
+    drop(prints)
     # the second round: all links between components, of each text first the likeliest ones, as large groups are soon one
-    shared = _shared(stored(_prefixes(texts, np.round(2 * np.log2(counts + 1)).astype(np.int64)), "near-prefixes"))
+    prefixes = stored(_prefixes(texts, np.round(2 * np.log2(counts + 1)).astype(np.int64)), "near-prefixes")
+    shared = _shared(prefixes)
+    drop(prefixes)
 
-    def rows() -> DataFrame:
+    def rows(*columns: str) -> DataFrame:
         roots = components(found)
         side = F.broadcast(roots) if roots.count() <= BROADCAST_ROOTS else roots
-        return shared.join(side, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return shared.join(side, "node", "left").withColumn("root", F.coalesce("root", "node")).select("token", "node", "root", "n", "i", *columns)
 
     for _ in range(MIDDLES):
-        likely = stored(_best(_crossing(rows(), to_middles)), "near-likely")
-        found = found.unionByName(_verified(likely, _sets_of(likely, texts)))
-    rest = stored(_crossing(rows()).distinct(), "near-rest")
-    return components(found.unionByName(_verified(rest, _sets_of(rest, texts))))
+        likely = _best(_crossing(rows(), to_middles))
+        found = found.unionByName(_verified(likely, texts))
+        drop(likely)
+    apart, tokens = _apart(rows("s0", "s1", "s2", "s3"))
+    rest = stored(_crossing(apart).distinct(), "near-rest")
+    drop(shared, tokens)
+    found = found.unionByName(_all_verified(rest, texts))
+    drop(rest)
+    return components(found)

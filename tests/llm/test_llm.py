@@ -3,13 +3,14 @@ import hashlib
 import os
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pageloom.llm import exact, lines, lm_score, media, mixing, pieces, quality, simhash, toxicity, warc
+from pageloom.llm import common, exact, lines, lm_score, media, mixing, pieces, quality, simhash, toxicity, warc
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, slot int"
@@ -122,6 +123,49 @@ def test_similar_texts_lose_no_link(spark):
     assert simhash.similar_texts(docs_of(spark, many)).count() == len(many) - len(brute_near(many))
 
 
+def test_similar_texts_leave_links_only(spark):
+    folder = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join([*base[:-1], "other"]), "apart from these", None]
+    assert simhash.similar_texts(docs_of(spark, texts)).count() == 1
+    left = {x.name.rsplit("-", 1)[0] for x in set(folder.iterdir()) - before}
+    assert left == {"edges", "near-links"}  # no texts, sets, fingerprints or prefixes
+
+
+def test_rows_of_one_component_are_left_out(spark):
+    rows = spark.createDataFrame([(k << 20, node, root) for k, node, root in ((1, 10, 5), (1, 11, 5), (2, 10, 5), (2, 12, 6), (3, 12, 6))], "token bigint, node bigint, root bigint")
+    assert sorted(map(tuple, simhash._apart(rows)[0].collect())) == [(2 << 20, 10, 5), (2 << 20, 12, 6)]
+
+
+def test_wide_signatures_exclude_only_what_differs():
+    rng, tried = np.random.default_rng(3), set()
+    for n in (1, 7, 300, 1500, 5000):
+        one = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for share in (0, 0.05, 0.2, 0.24, 0.6, 1):  # and sets of another size, whose signature may be longer
+            other = np.concatenate((one[int(n * share) :], rng.integers(0, 1 << 63, int(n * share / 9)).astype(np.uint64), np.zeros(1, np.uint64)))
+            shared = len(np.intersect1d(one, other))
+            similar = 9 * shared >= 4 * (len(one) + len(other))
+            found = simhash.may_be_similar(simhash.wide_parity(one), len(one), simhash.wide_parity(other), len(other))
+            assert found or not similar
+            tried.add((similar, found))
+        apart = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        assert n == 1 or not simhash.may_be_similar(simhash.wide_parity(one), n, simhash.wide_parity(apart), n)
+    assert {(True, True), (False, False)} <= tried
+
+
+def test_all_pairs_are_verified_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "NODES", 1)
+    base = [f"w{i}" for i in range(700)]
+    texts = [" ".join(base[:k]) for k in (700, 650, 600, 550)] + ["apart " * 600]
+    rows = docs_of(spark, texts).select(F.xxhash64("text").alias("node"), "text")
+    rows = rows.unionByName(rows)
+    node = {r["text"]: r["node"] for r in rows.collect()}
+    pairs = spark.createDataFrame([(node[texts[i]], node[texts[j]]) for i in range(5) for j in range(i)], "u bigint, v bigint")
+    got = sorted((r["u"], r["v"]) for r in simhash._all_verified(pairs, rows).collect())
+    assert got == sorted((node[texts[i]], node[texts[j]]) for i in range(4) for j in range(i) if (i, j) != (3, 0))
+
+
 def test_crossing_is_all_pairs():
     rng = np.random.default_rng(4)
     cell, node = np.sort(rng.integers(0, 9, 400)), rng.integers(0, 90, 400)
