@@ -29,7 +29,9 @@ that met most often, on the whole sets: that joins what is alike, large groups f
 all. It finds a pair of similarity 0.8 with probability 0.94 only, so the second round is
 exact: sets that match share one of their first n - ceil(4n/5) + 1 shingles, rare ones
 first; on each of these, texts of different components that pass the length, position and
-parity filters, and then one by wider signatures, are verified. Before, each text is linked to the middle of its group, so
+parity filters, and then one by wider signatures, are verified. A pair that shares many of
+these shingles is met at the first of them: each row knows the last few before its own, and
+two rows with one of those in common leave the pair to it. Before, each text is linked to the middle of its group, so
 that few pairs of a large group are left. No link between components is lost.
 
 Defined results: a null text counts as empty, an empty one has fingerprint 0 and
@@ -47,7 +49,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, bit_filter, drop, filter_bit, filter_slot, filter_slots, has_bit, stored
@@ -72,6 +74,8 @@ FAR = 16
 BUCKETS, SLICE = 1 << 17, 1 << 11
 #: Sets of up to so many shingles have a signature: each flips one of 256 bits, so two differ in no more bits than the sets in shingles.
 SHORT = 400
+#: A prefix's shingle comes with so many before it: two texts that share one of these met there.
+BEFORE = 8
 #: Times that the second round links texts to the middles of their groups, before all links between components.
 MIDDLES = 2
 #: The last verification moves texts for a quarter as many pairs at once as they have texts, or as this.
@@ -497,15 +501,21 @@ def _prefixes(texts: DataFrame, grades: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, "node bigint, n int, prefix array<bigint>, sig array<bigint>")
 
 
-def crossing(cell: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, i: np.ndarray, *sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of rows with their shingle's number, ascending: pairs of nodes of different roots that share a shingle and may match by length, position and signature."""
+def crossing(cell: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, i: np.ndarray, *more: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of rows with their shingle's number, ascending: pairs of nodes of different roots that share a shingle and may match by length, position and signature.
+
+    more: the signature's four numbers, and then shingles that stand before this one (or the node, if there is none);
+    rows that share one of these are left out, as they meet at it.
+    """
+    sig, before = more[:4], more[4:]
     # in each cell by the size of the roots' groups; the largest group comes last, and meets only what stands before
     order = np.lexsort((root, cell))
-    cell, node, root, n, i, *sig = (x[order] for x in (cell, node, root, n, i, *sig))
+    cell, node, root, n, i = (x[order] for x in (cell, node, root, n, i))
     starts = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (root[1:] != root[:-1]))))
     sizes = np.diff(np.concatenate((starts, [len(cell)])))
-    order = np.lexsort((np.repeat(starts, sizes), np.repeat(sizes, sizes), cell))
-    cell, node, root, n, i, *sig = (x[order] for x in (cell, node, root, n, i, *sig))
+    again = np.lexsort((np.repeat(starts, sizes), np.repeat(sizes, sizes), cell))
+    cell, node, root, n, i = (x[again] for x in (cell, node, root, n, i))
+    sig, before = ([x[order[again]] for x in columns] for columns in (sig, before))
     group = np.cumsum(np.concatenate(([True], (cell[1:] != cell[:-1]) | (root[1:] != root[:-1])))) - 1
     begin = np.searchsorted(group, group, "right")  # the next group's first row
     count = np.searchsorted(cell, cell, "right") - begin
@@ -523,6 +533,11 @@ def crossing(cell: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray
             differ = sum(np.bitwise_count(s[left] ^ s[right]).astype(np.int64) for s in sig)
             close = (differ <= most) | (n[left] > SHORT) | (n[right] > SHORT)
             left, right = left[close], right[close]
+        for x in before:
+            apart = np.ones(len(left), bool)
+            for y in before:
+                apart &= x[left] != y[right]
+            left, right = left[apart], right[apart]
         u, v = node[left], node[right]
         if len(u):
             found = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v))), axis=1)
@@ -543,7 +558,7 @@ def to_middles(cell: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarr
 
 
 def _crossing(rows: DataFrame, make=crossing) -> DataFrame:
-    """Pairs (u, v) as make() finds them in rows (token, node, root, n, i, and s0 to s3 if it uses them); a pair may come many times."""
+    """Pairs (u, v) as make() finds them in rows (token, node, root, n, i, and what else it uses); a pair may come many times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -715,6 +730,12 @@ def _apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.join(tokens, "token", "left_semi") if kept is None else kept, tokens
 
 
+def _with_before(rows: DataFrame) -> DataFrame:
+    """The rows (token, node, i, ...) with the node's BEFORE shingles that stand before each; those that are missing are the node."""
+    ordered = Window.partitionBy("node").orderBy("i")
+    return rows.select("*", *[F.coalesce(F.lag("token", k).over(ordered), "node").alias(f"b{k}") for k in range(1, BEFORE + 1)])
+
+
 def _first_links(prints: DataFrame, texts: DataFrame, tables: int, reach: int, cell_rows: int) -> DataFrame:
     """The first round: for each text the link that most fingerprints and segments show, those that are similar."""
     each = prints.select("node", F.posexplode("fps").alias("part", "fp"))
@@ -757,7 +778,7 @@ def similar_texts(docs: DataFrame, text_col: str = "text", tables: int = TABLES,
         found = found.unionByName(_verified(likely, texts))
         drop(likely)
     apart, tokens = _apart(rows("s0", "s1", "s2", "s3"))
-    rest = stored(_crossing(apart).distinct(), "near-rest")
+    rest = stored(_crossing(_with_before(apart)).distinct(), "near-rest")
     drop(shared, tokens)
     found = found.unionByName(_all_verified(rest, texts))
     drop(rest)

@@ -180,6 +180,22 @@ def test_crossing_is_all_pairs():
     assert got == want and want
 
 
+def test_crossing_meets_a_pair_at_its_first_shingle(spark):
+    rng, rows, prefixes = np.random.default_rng(8), [], {}
+    for node in range(-40, 0):  # passages of 30 shingles of which each text has most, in one order
+        taken = np.sort(rng.choice(30, 26, replace=False)) + 1000 * (node % 3)
+        prefixes[node] = {int(t) for t in taken}
+        rows += [(int(t) << 40, node, node, 400, i) for i, t in enumerate(taken)]
+    table = spark.createDataFrame(rows, "token bigint, node bigint, root bigint, n int, i int")
+    got = [tuple(r) for r in simhash._crossing(simhash._with_before(table)).collect()]
+    want = {(x, y) for x in prefixes for y in prefixes if x < y and prefixes[x] & prefixes[y]}
+    assert set(got) == want and len(got) == len(want)
+    # texts whose shared shingles stand far apart still meet
+    far = [(k << 40, 10 * x, 10 * x, 400, i) for x in (-2, -1) for i, k in enumerate([*range(x * 30, x * 30 + 12), 5000, *range(x * 30 + 12, x * 30 + 29), 6000])]
+    table = spark.createDataFrame(far, "token bigint, node bigint, root bigint, n int, i int")
+    assert {tuple(r) for r in simhash._crossing(simhash._with_before(table)).collect()} == {(-20, -10)}
+
+
 def test_exact(spark):
     texts = nasty()
     rows = docs_of(spark, texts).unionByName(docs_of(spark, ["x", "x", "x"], [None, 90, 90]))
