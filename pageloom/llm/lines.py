@@ -13,10 +13,11 @@ whether or not the earlier one stays; so the result has no order of evaluation.
   two sets shares one of its first n - ceil(8n/9) + 1 words) and a parity signature:
   each word flips one of 64 bits, or 256 in longer sets, so the signatures of two
   sets differ in no more bits than the sets in words.
-- Candidates are found by a semi join on narrow rows; pairs are never emitted. An
-  entry with a candidate is verified by a semi join on its rarest shared word, and
-  only if that fails on all its other ones; word numbers are read again from the
-  text for just the entries that have a candidate.
+- Candidates are found by a semi join on narrow rows, then by one of the rows that it
+  left, with whole signatures; pairs are never emitted. An entry with a candidate is
+  verified by a semi join on its rarest shared word, and only if that fails on all its
+  other ones; word numbers are read again from the text for just the entries that have
+  a candidate.
 
 Defined results: lines are separated by line feeds; lines without words are never
 removed; null texts have no lines, empty texts one; rows with a null id come first
@@ -30,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, filter_bit, filter_slot, filter_slots, has_bit, stored
+from .common import bit_filter, drop, filter_bit, filter_slot, filter_slots, has_bit, stored
 
 #: Similarity as a fraction.
 NUM, DEN = 4, 5
@@ -96,8 +97,8 @@ def _earlier(x: str, y: str) -> Column:
     return F.expr(f"{y}.doc < {x}.doc or ({y}.doc = {x}.doc and ({y}.line < {x}.line or ({y}.line = {x}.line and {y}.set_h < {x}.set_h)))")
 
 
-def _may_match(x: str, y: str) -> Column:
-    """Prefix rows of two entries share their word and pass the length, position and signature filters."""
+def _may_match(x: str, y: str, narrow: bool = False) -> Column:
+    """Prefix rows of two entries share their word and pass the length, position and signature filters; narrow rows have one 64-bit signature, s."""
     c = lambda side, name: F.col(f"{side}.{name}")
     n, m = c(x, "n"), c(y, "n")
     alpha = F.expr(f"({NUM} * ({x}.n + {y}.n) + {NUM + DEN - 1}) div {NUM + DEN}")
@@ -108,7 +109,7 @@ def _may_match(x: str, y: str) -> Column:
     differ = lambda one, other: F.bit_count(one.bitwiseXOR(other))
     whole = lambda side: c(side, "s0").bitwiseXOR(c(side, "s1")).bitwiseXOR(c(side, "s2")).bitwiseXOR(c(side, "s3"))
     parts = sum((differ(c(x, s), c(y, s)) for s in _SIG[1:]), differ(c(x, "s0"), c(y, "s0")))
-    flipped = F.when((n > LONG) & (m > LONG), parts).otherwise(differ(whole(x), whole(y)))
+    flipped = differ(c(x, "s"), c(y, "s")) if narrow else F.when((n > LONG) & (m > LONG), parts).otherwise(differ(whole(x), whole(y)))
     return (c(x, "word") == c(y, "word")) & length & shorter & (most >= alpha) & (flipped <= n + m - 2 * alpha)
 
 
@@ -135,10 +136,25 @@ def _verify(later: DataFrame, rows: DataFrame, wide: DataFrame) -> DataFrame:
     return x.alias("x").join(y.alias("y"), _may_match("x", "y") & _earlier("x", "y") & similar, "left_semi").select(_ENTRY).distinct()
 
 
+def candidates(entries: DataFrame) -> DataFrame:
+    """Prefix rows that pass the filters with a row of another entry, written.
+
+    All prefix rows go through one shuffle, so they are narrow: an entry's number and its signature folded to
+    64 bits. The few that are left get their entry's place and its whole signature, and meet once more.
+    """
+    folded = F.col("s0").bitwiseXOR(F.col("s1")).bitwiseXOR(F.col("s2")).bitwiseXOR(F.col("s3"))
+    rows = entries.select("entry", folded.alias("s"), "n", F.posexplode("prefix").alias("i", "word"))
+    few = rows.alias("x").join(rows.alias("y"), _may_match("x", "y", narrow=True) & (F.col("x.entry") != F.col("y.entry")), "left_semi")
+    few = stored(few.select("entry", "i", "word"), "line-narrow")
+    wide = stored(few.join(entries.select("entry", *_ENTRY, *_SIG, "n"), "entry").select(*_ENTRY, *_SIG, "n", "i", "word"), "line-wide")
+    near = stored(wide.alias("x").join(wide.alias("y"), _may_match("x", "y") & (_earlier("x", "y") | _earlier("y", "x")), "left_semi"), "line-candidates")
+    drop(few, wide)
+    return near
+
+
 def matched(entries: DataFrame, texts: DataFrame, classes: list[int]) -> DataFrame:
-    """(doc, line, set_h) of the entries that match an earlier one; entries: doc, line, set_h, s0 to s3, n, prefix."""
-    rows = entries.select(*_ENTRY, *_SIG, "n", F.posexplode("prefix").alias("i", "word"))
-    near = stored(rows.alias("x").join(rows.alias("y"), _may_match("x", "y") & (_earlier("x", "y") | _earlier("y", "x")), "left_semi"), "line-candidates")
+    """(doc, line, set_h) of the entries that match an earlier one; entries: entry (a number of its own), doc, line, set_h, s0 to s3, n, prefix."""
+    near = candidates(entries)
     later = stored(near.alias("x").join(near.alias("y"), _may_match("x", "y") & _earlier("x", "y"), "left_semi"), "line-later")
     wide = stored(_wide(near, texts, classes), "line-numbers")
     first = later.groupBy(*_ENTRY, *_SIG, "n").agg(F.min(F.struct("i", "word")).alias("at"))
@@ -156,10 +172,13 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = rarity(texts)
     sets = stored(_sets(texts, classes), "line-sets")
     identity = ["set_h", *_SIG, "n"]
-    entries = sets.groupBy(*identity, "prefix").agg(F.min(F.struct("doc", "line")).alias("place"))
-    entries = stored(entries.select("place.doc", "place.line", *identity, "prefix"), "line-entries")
+    # the place as one number: a struct's minimum would need sorted groups
+    place = F.col("doc").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")
+    entries = sets.groupBy(*identity, "prefix").agg(F.min("doc").alias("doc"), F.min_by("line", place).alias("line"))
+    # numbered as they are written
+    entries = stored(entries.select(F.monotonically_increasing_id().alias("entry"), "doc", "line", *identity, "prefix"), "line-entries")
     gone = stored(matched(entries, texts, classes).withColumn("gone", F.lit(True)), "line-gone")
-    first = entries.drop("prefix").join(gone, _ENTRY, "left").select(*identity, F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), "gone")
+    first = entries.drop("entry", "prefix").join(gone, _ENTRY, "left").select(*identity, F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), "gone")
     is_first = (F.col("doc") == F.col("first_doc")) & (F.col("line") == F.col("first_line"))
     removed = sets.drop("prefix").join(first, identity).filter(F.coalesce("gone", F.lit(False)) | ~is_first)
     removed = removed.groupBy("doc", "text_h").agg(F.sort_array(F.collect_set("line")).alias("removed"))

@@ -250,6 +250,28 @@ def test_lines_against_brute_force(spark):
     assert lines.duplicate_lines(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_line_candidates_of_narrow_rows(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    held = []
+    for size in (6, 20, 60, 79, 80, 81, 100, 160) * 6:  # signatures of 64 bits and of 256
+        one = rng.sample(words, size)
+        held += [one, one[: size - size // 10] + rng.sample(words, size // 12), one[1:] + ["rare"]]
+    docs = spark.createDataFrame([(i, "\n".join(" ".join(w) for w in held[3 * i : 3 * i + 3])) for i in range(48)], "doc_id bigint, text string").repartition(5)
+    texts = lines._text(docs, "doc_id", "text")
+    sets = lines.stored(lines._sets(texts, lines.rarity(texts)), "test-sets")
+    entries = lines.stored(sets.drop("text_h").withColumn("entry", F.monotonically_increasing_id()), "test-entries")
+    rows = entries.select(*lines._ENTRY, *lines._SIG, "n", F.posexplode("prefix").alias("i", "word"))
+    want = rows.alias("x").join(rows.alias("y"), lines._may_match("x", "y") & (lines._earlier("x", "y") | lines._earlier("y", "x")), "left_semi")
+    got = lines.candidates(entries)
+    key = lambda df: sorted(tuple(r) for r in df.select(*lines._ENTRY, *lines._SIG, "n", "i", "word").collect())
+    assert key(got) == key(want) and 0 < got.count() < rows.count()
+    # the first place counts by doc, then line, whatever the order of rows
+    same = spark.createDataFrame([(d, "x y z\nq r\nz y x") for d in (5, -3, 1 << 40, -(1 << 62))] + [(None, "q r")], "doc_id bigint, text string").repartition(4)
+    found = {r["id"]: list(r["removed"]) for r in lines.duplicate_lines(same).collect()}
+    assert found == {None: [], -(1 << 62): [1, 2], -3: [0, 1, 2], 5: [0, 1, 2], 1 << 40: [0, 1, 2]}
+
+
 def test_mixing_keeps_within_a_block(spark):
     weights = {"a": 5, "b": 3, "c": 2}
     rows = spark.createDataFrame([(i, s, i) for s, n in (("a", 500), ("b", 300), ("c", 200)) for i in range(n)] + [(None, None, 0), (None, None, 0)], "doc_id long, source string, slots int")
