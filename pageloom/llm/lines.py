@@ -177,10 +177,12 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = sets.groupBy(*identity, "prefix").agg(F.min("doc").alias("doc"), F.min_by("line", place).alias("line"))
     # numbered as they are written
     entries = stored(entries.select(F.monotonically_increasing_id().alias("entry"), "doc", "line", *identity, "prefix"), "line-entries")
+    whole, sets = sets, stored(sets.drop("prefix"), "line-places")
+    drop(whole)  # prefixes are a good part of it, and lie beside the join's shuffle else
     gone = stored(matched(entries, texts, classes).withColumn("gone", F.lit(True)), "line-gone")
     first = entries.drop("entry", "prefix").join(gone, _ENTRY, "left").select(*identity, F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), "gone")
     is_first = (F.col("doc") == F.col("first_doc")) & (F.col("line") == F.col("first_line"))
-    removed = sets.drop("prefix").join(first, identity).filter(F.coalesce("gone", F.lit(False)) | ~is_first)
+    removed = sets.join(first, identity).filter(F.coalesce("gone", F.lit(False)) | ~is_first)
     removed = removed.groupBy("doc", "text_h").agg(F.sort_array(F.collect_set("line")).alias("removed"))
     text = F.col(text_col).cast("string")
     rows = docs.select(
